@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_rules, sharding, substring_dedup, token_counts
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_sharding, op5_token_counts, op8_mixing, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_sharding, op5_token_counts, op8_mixing, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

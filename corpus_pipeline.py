@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolith.llm import decontamination, mixing, quality_rules, sharding
+from annolith.llm import decontamination, mixing, near_dedup, quality_rules, sharding
 from annolith.llm.common import staged, table
 
 
@@ -18,6 +18,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays, the one of the smallest doc_id."""
+    return near_dedup.keep_first(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold three quarters of a benchmark item's shingles go."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -33,7 +38,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
-STAGES = [("quality", quality), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: Hash draws and checksums that SQL does not have: tested against a brute-force version instead.
 ORACLE_SQL = None
