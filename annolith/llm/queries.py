@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts
+from . import decontamination, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup, token_counts
 from .common import table
 
 
@@ -28,10 +28,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,7 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_sharding, op5_token_counts, op8_mixing, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op2_near_dedup, op3_sharding, op4_quality_model, op5_token_counts,
+        op6_pii, op7_license_scan, op8_mixing, op9_quality_rules, op10_decontamination,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
