@@ -33,28 +33,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width
-from .textbytes import Words, flushes, grams, mixed, sliding_min
+from .textbytes import Words, flushes, grams, mixed, sliding_min, trim
 
 WINDOW = 13
 #: Words of the grams among which minimisers are chosen.
 GRAM = 3
 #: Bytes of text that a worker packs at once.
-FLUSH = 10 << 20
+FLUSH = 5 << 20
 #: Buckets a shuffle partition: the rows that a worker sorts at once shrink with it.
-BUCKETS_EACH = 8
+BUCKETS_EACH = 16
 NULL_ID = np.iinfo(np.int64).max
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 PACKED = "bucket int, kind int, doc_id long, n_words long, blob binary"
 
 
+_compressor: zstandard.ZstdCompressor | None = None
+
+
 def _press(*parts) -> bytes:
     """Arrays and byte strings, each with its length, as one compressed blob."""
+    global _compressor
+    _compressor = _compressor or zstandard.ZstdCompressor(level=3)
     out = []
     for p in parts:
         p = p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes()
         out += [len(p).to_bytes(8, "little"), p]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return _compressor.compress(b"".join(out))
 
 
 def _loosen(blob: bytes) -> list[bytes]:
@@ -287,17 +292,23 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             ids, texts = _texts(flush)
             blobs, done = pack(ids, _keys(ids, texts, repeated), texts, buckets)
             rows = [(b, 0, None, None, blob) for b, blob in blobs.items()]
-            rows += [(b % buckets, 1, None, b, blob) for b, blob in _places(*done, buckets)]
+            rows += [(b * BUCKETS_EACH, 1, None, b, blob) for b, blob in _places(*done, parts)]
             if rows:
                 yield _batch(rows)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; kind 1 passes through to the documents' parts."""
-        at, held, ready = None, [], []
+        at, held, ready, found, n_found = None, [], [], [], 0
 
-        def settle() -> None:
+        def settle(last: bool = False) -> None:
+            """Finds the places of the bucket at hand; packs those found once they are many."""
+            nonlocal n_found, found
             if held:
-                ready.extend((p, 0, None, None, blob) for p, blob in _places(*duplicates(held), buckets))
+                found.append(duplicates(held))
+                n_found += len(found[-1][0])
+            if found and (last or n_found > 100_000):
+                ready.extend((p, 0, None, None, blob) for p, blob in _places(*(np.concatenate(x) for x in zip(*found, strict=True)), parts))
+                found, n_found = [], 0
 
         for batch in batches:
             for bucket, kind, _, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -311,15 +322,16 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 if len(ready) >= 500:
                     yield _batch(ready)
                     ready = []
-        settle()
+        settle(last=True)
         if ready:
             yield _batch(ready)
+        trim()
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush in flushes(batches, 1, FLUSH):
             ids, texts = _texts(flush)
             keys = _keys(ids, texts, repeated)
-            part = _part(keys, buckets)
+            part = _part(keys, parts)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
             rows = []
@@ -361,6 +373,7 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                     columns.append(pa.array([x[2].decode() for x in out], pa.string()))
                     names.append("kept_text")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     packed = narrow.mapInArrow(split, PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
     places = packed.mapInArrow(match, PACKED)
