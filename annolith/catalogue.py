@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog_a
+from .plans import catalog_a, catalog_b
 
-QUERIES = {**catalog_a.QUERIES}
-ORACLES = {**catalog_a.ORACLES}
+QUERIES = {**catalog_a.QUERIES, **catalog_b.QUERIES}
+ORACLES = {**catalog_a.ORACLES, **catalog_b.ORACLES}

@@ -73,4 +73,6 @@ def scored_list(matched: DataFrame, image: str) -> DataFrame:
     misses = F.transform(
         F.filter(by_score(F.col("predictions")), lambda q: ~F.exists("matches", lambda m: m["p"] == q["ordinal"])), lambda q: F.struct(q["score"].alias("score"), F.lit(False).alias("is_tp"))
     )
-    return matched.select(image, F.posexplode(F.concat(hits, misses)).alias("place", "s")).select(image, "place", "s.score", "s.is_tp")
+    # The outer form: from the inner one Spark infers a filter on the array and evaluates the fold once for every prediction.
+    listed = matched.select(image, F.posexplode_outer(F.concat(hits, misses)).alias("place", "s")).filter("place is not null")
+    return listed.select(image, "place", "s.score", "s.is_tp")

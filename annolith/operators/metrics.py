@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..vocab import IOU_LADDER, WILSON_Z
 from . import matching as M
+from .splits import ranges
 
 
 def wilson(successes: Column, total: Column, z: float = WILSON_Z) -> Column:
@@ -40,16 +41,28 @@ def average_precision(scored: DataFrame, n_truth: Column, keys: list[str], score
     """(keys, ap): all-points interpolated average precision of each group's ranked list; n_truth is an aggregate over the group.
 
     Recall steps only where a true positive stands, and the envelope there is the best
-    precision from it on: two windows over a group's list.
+    precision from it on. A list is cut into ranges of its order; running counts
+    and envelopes are taken within a range and carried over from the small table of
+    ranges, so a long list is shared by as many tasks as there are ranges.
     """
-    order = [F.col(score).desc(), *tie]
-    by = W.partitionBy(*keys)
-    upto, onward = by.orderBy(*order).rowsBetween(W.unboundedPreceding, 0), by.orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-    hit = F.col(is_tp).cast("int")
-    ranked = scored.withColumns({"__tp": F.sum(hit).over(upto), "__rank": F.count("*").over(upto), "__n": n_truth.over(by)})
-    ranked = ranked.withColumn("__best", F.max(F.col("__tp") / F.col("__rank")).over(onward))
-    area = F.sum(F.when(F.col(is_tp), F.col("__best"))) / F.max("__n")
-    return ranked.groupBy(*keys).agg(F.when(F.max("__n") > 0, F.coalesce(area, F.lit(0.0))).otherwise(F.lit(0.0)).alias("ap"))
+    cut = ranges(scored.withColumn("__hit", F.col(is_tp).cast("int")), [*(F.col(k) for k in keys), F.col(score).desc(), *(F.col(t) for t in tie)], "ranked")
+    by = [*keys, "__part"]
+    totals = cut.groupBy(*by).agg(F.sum("__hit").alias("__h"), F.count("*").alias("__c"))
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(*by, F.coalesce(F.sum("__h").over(before), F.lit(0)).alias("__h0"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c0"))
+    upto = W.partitionBy(*by).orderBy(F.col(score).desc(), *tie).rowsBetween(W.unboundedPreceding, 0)
+    running = cut.withColumns({"__tp": F.sum("__hit").over(upto), "__rank": F.count("*").over(upto)}).join(carried, by)
+    precision = (F.col("__h0") + F.col("__tp")) / (F.col("__c0") + F.col("__rank"))
+    running = running.withColumn("__precision", precision)
+    later = W.partitionBy(*keys).orderBy(F.col("__part").desc()).rowsBetween(W.unboundedPreceding, -1)
+    peaks = running.groupBy(*by).agg(F.max("__precision").alias("__peak")).select(*by, F.max("__peak").over(later).alias("__later"))
+    # from the end of the range backwards: a frame that grows, where one that shrinks would be computed anew for every row
+    onward = W.partitionBy(*by).orderBy(F.col(score).asc(), *(F.col(t).desc() for t in tie)).rowsBetween(W.unboundedPreceding, 0)
+    best = running.withColumn("__onward", F.max("__precision").over(onward)).join(peaks, by)
+    best = best.withColumn("__best", F.greatest("__onward", F.coalesce("__later", F.lit(0.0))))
+    n = cut.groupBy(*keys).agg(n_truth.alias("__n"))
+    areas = best.groupBy(*keys).agg(F.sum(F.when(F.col("__hit") == 1, F.col("__best"))).alias("__area"))
+    return areas.join(n, keys).select(*keys, F.when(F.col("__n") > 0, F.coalesce(F.col("__area"), F.lit(0.0)) / F.col("__n")).otherwise(F.lit(0.0)).alias("ap"))
 
 
 def confusion(pairs: DataFrame, truth: str, predicted: str, classes: list) -> DataFrame:

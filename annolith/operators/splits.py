@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.hashing import cumulative_edges, hash_score, split_of
+from ..session import staged
 
 
 def stratified_split(df: DataFrame, key: str, strata: list[str], seed: int = V.SPLIT_SEED, weights: dict[str, float] | None = None) -> DataFrame:
@@ -119,12 +120,18 @@ def strided(df: DataFrame, order: str, n: int) -> DataFrame:
     return ranked.filter((i < n) & (F.floor(i * F.lit(step)) == F.col("position"))).drop("position")
 
 
-def positions(df: DataFrame, order: str) -> DataFrame:
-    """df with `position`, from 0 in the order: range partitions, a rank in each, and the rows before it."""
+def ranges(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df cut into ranges of the order, `__part` numbering them; staged, as range edges are sampled and must be the same for every reader."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    return staged(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name)
+
+
+def positions(df: DataFrame, order: str) -> DataFrame:
+    """df with `position`, from 0 in the order: a rank in each range, and the rows of the ranges before it."""
+    cut = ranges(df, [F.col(order)], "positions")
     within = cut.withColumn("__rank", F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1)
-    sizes = within.groupBy("__part").agg(F.count("*").alias("__n"))
+    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row for each range: as many as there are shuffle partitions
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return within.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("position", F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before")
 

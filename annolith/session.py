@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", **settings: str) -> SparkSession:
@@ -15,3 +15,24 @@ def local_session(cores: int | str = 8, memory: str = "8g", **settings: str) ->
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    import tempfile
+
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="annolith-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: what is sampled or drawn for it is drawn once, and lost executors lose nothing."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
