@@ -63,5 +63,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+gone AS (SELECT DISTINCT g.doc_id, g.i + k.k AS i FROM g JOIN m USING (s), (SELECT unnest(range(0, 13)) AS k) k WHERE g.doc_id > m.m),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) FILTER (gone.i IS NULL) AS kept, count(gone.i) AS n FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+OP2 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.i >= 75 * (x.n + y.n - p.i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS comp FROM r GROUP BY node),
+h AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS h FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.comp, d.doc_id) AS component_id, coalesce(c.comp, d.doc_id) = d.doc_id AS kept,
+CASE WHEN h.h IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY h.h) END AS class_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id"""
+
+_FOLD = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op7() -> str:
+    templates = ", ".join(
+        "(" + ", ".join([str(k), f"'{label}'", "[" + ", ".join(f"'{w.decode()}'" for w in sorted(words)) + "]"]) + ")"
+        for k, (label, words) in enumerate(license_scan.template_words(license_scan.TEMPLATES))
+    )
+    phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents), t(k, label, words) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+w AS (SELECT doc_id, {_FOLD.format("t")} AS w FROM d),
+b AS (SELECT doc_id, i - 1 AS pos, p.label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE list_contains(w, 'license')) x, p WHERE x.w[x.i:x.i + len(p.words) - 1] = p.words),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
+l AS (SELECT doc_id, list_distinct({_FOLD.format("line")}) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (SELECT l.doc_id, t.label, len(list_intersect(l.w, t.words))::double / len(t.words) AS share FROM l, t WHERE len(list_intersect(l.w, t.words)) >= {license_scan.CONTAINMENT} * len(t.words) - 1e-9),
+met AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score, count(*) AS n FROM m GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), ','), '') AS labels, coalesce(met.score, 0) AS score, coalesce(met.n, 0) AS n_blocks_met
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN met ON met.doc_id = w.doc_id"""
+
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]|!!')) AS noise, (('0x' || substr(md5(doc_id || ':mix-1'), 1, 13))::bigint + 0.5::double) / 4503599627370496.0 AS u FROM documents),
+k AS (SELECT *, -ln(u) / (2.0::double - 1.5::double * least(1.0::double, noise::double / greatest(size, 1))) AS key FROM d),
+s AS (SELECT source, sum(size)::double AS ss, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::double AS w FROM k GROUP BY source),
+v AS (SELECT *, (1.5 * sum(ss) OVER () - coalesce(sum(2 * ss) OVER (ORDER BY 2 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY 2 * ss / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT source, ss, CASE WHEN 2 * ss / w <= level THEN 2 * ss ELSE w * max(level) FILTER (2 * ss / w > level) OVER () END AS target FROM v),
+c AS (SELECT k.*, t.ss, t.target, CASE WHEN ss > 0 THEN floor(target / ss + 1e-12) ELSE 0 END AS epochs, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id) - size AS before FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, ss::bigint AS source_size, round(target, 6) AS target, (epochs * size + greatest(0, least(size, floor(target + 0.5) - epochs * ss - before)))::bigint AS taken, source, key AS draw_key FROM c"""
+
+OP10 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM i WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT a.doc_id, b.item_id, n.n AS n_item_shingles, count(*) AS n_shared, round(count(*)::double / n.n, 6) AS containment FROM a JOIN b USING (s) JOIN n USING (item_id) GROUP BY a.doc_id, b.item_id, n.n HAVING count(*) >= 0.75 * n.n - 1e-9"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others draw hashes, checksums or tokens that SQL does not have: tests hold them against brute force."""
+    return {"op1_substring_dedup": OP1, "op2_near_dedup": OP2, "op7_license_scan": _op7(), "op8_mixing": OP8, "op10_decontamination": OP10}

@@ -1,0 +1,351 @@
+"""Each corpus operator against a plain version or the library it stands for, with the edge cases its docstring states."""
+
+import hashlib
+import random
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from annolith.llm import decontamination, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup, token_counts
+from tests.llm import brute
+
+R = random.Random(3)
+BASE = [f"w{R.randrange(400)}" for _ in range(60)]
+SENTENCES = [" ".join(f"s{R.randrange(900)}" for _ in range(R.randrange(5, 30))) for _ in range(25)]
+
+
+def corpus():
+    """Copies, near copies, shared passages, repeats, blanks, odd white space and letters, long texts, repeated and null ids."""
+    rows = [(i, " ".join(R.choice(SENTENCES) for _ in range(R.randrange(1, 8)))) for i in range(60)]
+    rows += [(100 + i, " ".join([*BASE[:k], f"x{i}", *BASE[k + 1 :]])) for i, k in enumerate(R.sample(range(60), 25))]
+    rows += [(200 + i, " ".join(BASE[: 20 + 2 * i])) for i in range(20)]
+    rows += [(300, None), (301, ""), (302, " \n\t "), (303, "a b c"), (304, "A b  c"), (305, "É x y z q r"), (306, "é x y z q r")]
+    rows += [(307, "a\x0bb c d\ne f g\th i j k l m n ü 日本"), (308, "w " * 300), (309, "w " * 300 + "v"), (310, " ".join(BASE * 40))]
+    rows += [(None, " ".join(BASE)), (None, None), (100, rows[60][1]), (200, "entirely other words stand in this repeated row of an id " * 2)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    # an extra column, and one whose name clashes with results
+    df = spark.createDataFrame([(d, t, "en", R.choice(["a", "b", None]), 1, "n") for d, t in rows], "doc_id long, text string, lang string, source string, n_words int, kept string")
+    return df.repartition(5).cache()
+
+
+def same(df, expected):
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_substring_dedup(docs, rows):
+    same(substring_dedup.removed(docs), brute.removed(rows))
+    assert substring_dedup.removed(docs.limit(0)).count() == 0
+
+
+def test_substring_dedup_buckets_do_not_matter(spark, rows):
+    unique = list({d: (d, t) for d, t in rows if d is not None}.values())
+    df = spark.createDataFrame(unique, "doc_id long, text string").repartition(3)
+    same(substring_dedup.removed(df), brute.removed(unique))
+
+
+def test_substring_dedup_survives_hash_collisions(monkeypatch):
+    import numpy as np
+
+    # every window hashes alike: only the bytes tell them apart
+    real = substring_dedup.grams
+    monkeypatch.setattr(substring_dedup, "grams", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64) if n == 13 else real(h, n))
+    texts = [b" ".join(b"t%d" % (i + k) for i in range(20)) for k in (0, 5, 0)]
+    ids = np.array([1, 2, 3])
+    blobs, done = substring_dedup.pack(ids, ids, texts, 1)
+    found = substring_dedup.duplicates(list(blobs.values()))
+    flags = {(d, w) for places in (found, done) for d, a, b in zip(*places, strict=True) for w in range(a, b)}
+    assert flags == {(2, w) for w in range(15)} | {(3, w) for w in range(20)}
+
+
+def test_near_dedup(docs, rows):
+    same(near_dedup.components(docs).select("doc_id", "n_shingles", "component_id", "kept"), brute.components(rows))
+    assert near_dedup.components(docs.limit(0)).count() == 0
+
+
+def test_near_dedup_of_hot_regions(spark, monkeypatch):
+    """Regions far above the bounds: split by depth, then into chunks tied to the region's smallest id."""
+    monkeypatch.setattr(near_dedup, "HOT", 10)
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    rows = [(i, " ".join([*BASE * 3, f"y{i}"])) for i in range(80)] + [(500 + i, f"alone {i} one two three four five") for i in range(5)]
+    got = {r.doc_id: r.component_id for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, _, c, _ in brute.components(rows)}
+
+
+def test_near_dedup_keeps_one_of_each(docs, rows):
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    expected = sorted(str(d) for d, _, _, k in brute.components(rows) if k)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == expected
+
+
+def test_sharding(spark, docs, rows):
+    xxhash = pytest.importorskip("xxhash")
+    import math
+    import zlib
+
+    tree = sharding.shard_tree(40)
+
+    def place(key, t):
+        node = 0
+        for _ in range(3):
+            draws = []
+            for c in range(t.first[node], t.first[node] + t.count[node]):
+                h = xxhash.xxh64(struct.pack("<q", t.key[c]), xxhash.xxh64(struct.pack("<q", key), 42).intdigest()).intdigest()
+                draws.append((-math.log(((h >> 11) + 0.5) / 2**53) / t.weight[c], c))
+            node = min(draws)[1]
+        return t.leaf[node]
+
+    got = sharding.shard_documents(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = r.doc_id if r.doc_id is not None else -1 - r.text_crc32
+        assert r.shard == place(key, tree)
+        assert r.grown_shard == place(key, sharding.shard_tree(41, base=40)) and r.grown_shard in (r.shard, 40)
+    texts = {(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows}
+    assert {(r.doc_id, r.size, r.text_crc32) for r in got} == texts
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_sharding_moves_only_what_a_weight_moves(spark):
+    ids = spark.range(4000).withColumnRenamed("id", "k")
+    shares = lambda w: {r.k: (r.s_region, r.s) for r in sharding.descend(ids, sharding.shard_tree(40, weights=w), "k", "s").collect()}
+    before, after = shares({}), shares({3: 2.0})
+    moved = [(before[k], after[k]) for k in before if before[k] != after[k]]
+    # rows enter the heavier region, or move inside it
+    assert moved and all(b[0] == 0 for _, b in moved)
+    assert abs(sum(1 for s in before.values() if s[1] == 3) - 100) < 40 and 130 < sum(1 for s in after.values() if s[1] == 3) < 270
+
+
+def test_quality_model(spark):
+    rows = []
+    for i in range(900):
+        junk = i % 3 == 0
+        text = " ".join((R.choice(["GO!!", "BUY!!", "x###", "| y |"]) if junk and R.random() < 0.6 else f"word{R.randrange(300)}") for _ in range(R.randrange(12, 60)))
+        rows.append((i, text, 0 if junk else 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality_model.score(df.select("doc_id", "text"), df.select("doc_id", "quality")).join(df, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert 200 < len(held) < 400 and (held.predicted == held.quality).mean() > 0.95
+    assert got.score.between(0, 1).all()
+    import zlib
+
+    assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(got.doc_id, got.held_out, strict=True))
+
+
+def test_quality_model_of_odd_rows(docs, rows, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality_model.score(docs, none).collect()
+    assert len(got) == len(rows) and {r.score for r in got} == {0.5} and {r.predicted for r in got} == {1}
+    assert quality_model.score(docs.limit(0), none).count() == 0
+
+
+def test_quality_model_learns_nothing_from_held_out_rows(spark):
+    rows = [(i, f"word {i} " * (4 + i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = quality_model.features(df).cache()
+    label = lambda flip: df.select("doc_id", F.when(quality_model.held_out() & F.lit(flip), 0).otherwise((F.length("text") % 2).cast("int")).alias("quality"))
+    assert quality_model.train(table, label(False)) == quality_model.train(table, label(True))
+
+
+def test_token_counts(docs, rows):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    expected = [(d, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in rows]
+    same(token_counts.count_tokens(docs, path), expected)
+
+
+def test_tokens_of_odd_texts():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), token_counts.counter(path)
+    odd = ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endof", "  two  spaces \n\n\t x ", "I'll we've don't 'S", "日本語 😀👍🏽", "x" * 3000, "ab" * 2500, "1234567890" * 90, "­ é́", "   　 x", "!?#" * 400]
+    odd += ["".join(R.choice(" abcdeé'\n1!😀") for _ in range(R.randrange(40))) for _ in range(400)]
+    assert [own.count(t) for t in odd] == [len(library.encode(t, add_special_tokens=False).ids) for t in odd]
+
+
+def test_whole_tokens_are_proven():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    library, whole = tokenizers.Tokenizer.from_file(path), sorted(token_counts.vocabulary(path).whole)
+    assert len(whole) > 40_000 and all(len(e.ids) == 1 for e in library.encode_batch(whole, add_special_tokens=False))
+
+
+TRICKY = [
+    "a@b.c+d@e.f.", "@x.y a@ b@c d..e@f.g-h..i", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004 255.255.255.255",
+    "é ü 4111 1111 1111 1111 x4111-1111-1111-1112 4111111111111111 12", "+1 (555) 123-4567 +12 3 +123456789012345678 + 1 +49 (0) 30.1234-567)x",
+    None, "", "1" * 20000 + " a@b.co " + "x" * 20000 + "@y.zz", "日本語😀 +44 20 7946 0958 a.b@c.de😀\n10.0.0.1", "a@b.c@d.e 1-2 3-4 5 6 7 8 9 0 1 2 3",
+    " ".join(f"10.0.{i}.{i % 300}" for i in range(900)),
+]
+
+
+def test_pii_base(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string")
+    for r in pii.find(df).collect():
+        found = brute.pii_spans(TRICKY[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[0] for x in found) for k in brute.PII]
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and r.spans.startswith(told)
+
+
+def test_pii_terms_that_disclose(spark):
+    tell = "We met Zyxwvut near a@b.co today in town. "
+    rows = [(1, tell + "One."), (2, tell + "Two."), (3, "Plain words of the town, today and near."), (4, "near today town met " * 5), (5, None), (6, "c@d.ef met someone near town")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[0][1].index("Zyxwvut")
+    assert f"term:{at}:{at + 7}" in got[1].spans and f"term:{at}:{at + 7}" in got[2].spans
+    # common words tell little of an entity, and documents without one have no spans
+    assert "today" not in {rows[0][1][int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[1].spans.split(",")}
+    assert got[3].spans == got[4].spans == got[5].spans == "" and got[6].n_term == 0
+
+
+def test_pii_sanitised(spark):
+    rows = [(1, "We met Zyxwvut near a@b.co then."), (2, "We met Zyxwvut near a@b.co then."), (3, "clean"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    got = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert "a@b.co" not in got[1] and "Zyxwvut" not in got[1] and "<EMAIL>" in got[1] and "<TERM>" in got[1]
+    assert got[3] == "clean" and got[4] is None
+
+
+def test_pii_of_odd_tables(docs, rows):
+    assert pii.find(docs).count() == len(rows) and pii.find(docs.limit(0)).count() == 0
+
+
+def test_license_scan(spark):
+    rows = [
+        (1, "Text. \nReleased under the MIT License."), (2, "released UNDER the\nmit license"), (3, "mit-license mit license; General Public  License"),
+        (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), (6, None), (7, ""), (8, "permission is granted"), (None, "MIT License"),
+        (9, "a " * 500 + "Apache License"),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].base_labels == "mit" and got[1].labels == "mit" and got[1].score == 1.0 and (got[1].n_words, got[1].first_word) == (6, 4)
+    assert got[2].n_base == 1 and got[2].first_word == 3 and got[2].n_blocks_met == 0
+    assert got[3].base_labels == "gpl,mit" and got[3].n_base == 3 and (got[3].first_word, got[3].last_word) == (0, 4)
+    assert got[4].base_labels == "gpl" and got[4].labels == "gpl,gpl-3.0" and got[5].labels == "cc-by-nc-4.0" and got[5].base_labels == ""
+    assert got[6].n_words == 0 and got[6].first_word is None and got[7].labels == "" and got[8].score == 0.0 and got[None].labels == "mit" and got[9].first_word == 500
+
+
+def test_license_join_is_exact():
+    """Random blocks against random templates: the filters lose nothing and let nothing through."""
+    words = [b"w%d" % i for i in range(40)]
+    templates = [(f"t{k}", frozenset(R.sample(words, R.randrange(1, 12)))) for k in range(30)]
+    index = license_scan.Index(templates, {w: R.randrange(100) for w in words}, 0.7)
+    for _ in range(500):
+        block = [R.choice(words) for _ in range(R.randrange(25))]
+        expected = {k for k, (_, t) in enumerate(templates) if len(t & set(block)) >= 0.7 * len(t) - 1e-9}
+        assert {k for k, _ in index.meet(block)} == expected
+
+
+def test_mixing(docs, rows):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    by = {}
+    for r in got:
+        s = by.setdefault(r.source, [0, 0, r.target])
+        s[0] += r.size
+        s[1] += r.taken
+    assert all(abs(taken - target) <= 1 and target <= 2 * size + 1e-6 for size, taken, target in by.values())
+    assert abs(sum(s[2] for s in by.values()) - 1.5 * sum(s[0] for s in by.values())) < 1e-3
+    assert sorted(map(str, mixing.mix(docs.repartition(3)).collect())) == sorted(map(str, got))
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_targets_are_reshared(spark):
+    sizes = {"a": 100, "b": 1000, "c": 10, "d": 0, None: 500}
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    order, weight = ["a", "b", "c", "d", None], [3, 1, 2, 3, 1]
+    target, fixed = {}, set()
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in fixed)
+        free = [s for s in order if s not in fixed]
+        total = sum(weight[order.index(s)] for s in free)
+        target = {s: 2 * sizes[s] if s in fixed else left * weight[order.index(s)] / total for s in order}
+        above = [s for s in free if target[s] > 2 * sizes[s]]
+        if not above:
+            break
+        fixed |= set(above)
+    assert got == pytest.approx(target)
+
+
+def test_resampled_documents(docs, rows):
+    got = mixing.resample(docs)
+    assert got.columns == docs.columns and 0 < got.count() < 2.1 * len(rows)
+
+
+def test_quality_rules(spark, docs, rows):
+    labels = spark.createDataFrame([(d, 1, 0) for d, _ in rows if d is not None and d < 60], "doc_id long, quality int, toxic int")
+    got = quality_rules.judge(docs, labels).collect()
+    expected = sorted(((d, *brute.quality(t)) for d, t in rows), key=str)
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got), key=str) == expected
+    assert not any(r.kept and r.base_failed for r in got)
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert quality_rules.judge(docs.limit(0), labels).count() == 0
+    # without trusted documents only the base rules decide
+    assert all(r.kept != r.base_failed for r in quality_rules.judge(docs, labels.limit(0)).collect())
+
+
+def test_quality_counts_on_lines(spark):
+    texts = ["a b\na b\n\n \nc", "x y z w v x y z w v", "one\r\none", "#$ *%\n&|<>", "t1 t2 t3 t4 t5 t6 " * 4]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels).collect()
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(texts[r.doc_id])
+
+
+def test_log_ratios(spark):
+    """The ratios against counts taken by hand."""
+    import math
+
+    rows = [(1, "a b a"), (2, "c c"), (3, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    ratios = quality_rules.log_ratios(docs, labels, buckets=64).first().ratios
+    hashed = {g: spark.sql(f"select pmod(xxhash64({', '.join(repr(x) for x in g)}), 64)").first()[0] for g in [("a",), ("b",), ("c",), ("a", "b"), ("b", "a"), ("c", "c")]}
+    good, raw = [0] * 64, [0] * 64
+    for text, mine in (("a b a", True), ("c c", False)):
+        w = text.split()
+        for g in [(x,) for x in w] + list(zip(w, w[1:], strict=False)):
+            raw[hashed[g]] += 1
+            good[hashed[g]] += mine
+    expected = [math.log((g + 1) / (sum(good) + 64)) - math.log((r + 1) / (sum(raw) + 64)) for g, r in zip(good, raw, strict=True)]
+    assert ratios == pytest.approx(expected)
+
+
+def test_decontamination(spark, docs, rows):
+    items = [(1, " ".join(BASE[5:40])), (2, SENTENCES[0]), (3, "a b c"), (4, None), (5, "nowhere at all do these words stand"), (None, SENTENCES[1]), (6, " ".join([*BASE[:30], "zz", *BASE[31:40]]))]
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = decontamination.matches(docs, table)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute.leaks(rows, items)
+    leaked = {d for d, _ in brute.leaks(rows, items)}
+    clean = decontamination.clean(docs, table)
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _ in rows if d not in leaked)
+    assert decontamination.matches(docs.limit(0), table).count() == 0 and decontamination.matches(docs, table.limit(0)).count() == 0
+
+
+def test_sketches_cannot_miss(spark):
+    """Any document holding three quarters of an item's shingles meets its sketch."""
+    items = spark.createDataFrame([(i, " ".join(f"v{R.randrange(50)}" for _ in range(R.randrange(5, 60)))) for i in range(20)], "item_id long, text string")
+    shingles = decontamination.item_shingles(items)
+    full, sketch = {}, {}
+    for r in shingles.collect():
+        full.setdefault(r.item_id, set()).add(r["__h"])
+    for r in decontamination.sketches(shingles).collect():
+        sketch.setdefault(r.item_id, set()).add(r["__h"])
+    for i, s in full.items():
+        for _ in range(50):
+            need = -(-3 * len(s) // 4)
+            assert sketch[i] & set(R.sample(sorted(s), need))
