@@ -66,7 +66,8 @@ def correlated_pairs(df: DataFrame, key: str, vector: str, threshold: float) ->
             swap = found["first"] > found["second"]
             if not inside:
                 found.loc[swap, ["first", "second"]] = found.loc[swap, ["second", "first"]].to_numpy()
-            out.append(found[found["first"] < found["second"]])
+            found = found[found["first"] < found["second"]]
+            out.append(found.astype({"first": object, "second": object}) if kind == "string" else found)
         return pd.concat(out)
 
     return dealt.groupBy("i", "j").applyInPandas(pairs, f"first {kind}, second {kind}, score double")
