@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_sample, staged
 from .quality_rules import statistics
 
 #: Labelled rows that are learned from, at most.
@@ -164,10 +164,8 @@ def held_out() -> Column:
 def train(table: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """table: doc_id and features. The sample is the labelled training rows of the smallest hashes."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("__q"), F.max("quality").alias("__q2"))
-    sample = (
-        table.filter(~held_out()).join(known.filter("__q = __q2"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(rows).select(F.col("__q").cast("double").alias("__y"), *FEATURES).toPandas()
-    )
+    known = bounded_sample(known.filter("__q = __q2").filter(~held_out()).select("doc_id", F.col("__q").cast("double").alias("__y")), "doc_id", rows)
+    sample = table.join(F.broadcast(known), "doc_id").orderBy("doc_id", *FEATURES).limit(rows).select("__y", *FEATURES).toPandas()
     return fit(sample[list(FEATURES)].to_numpy(float), sample["__y"].to_numpy(float))
 
 
