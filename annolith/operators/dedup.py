@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,9 +43,6 @@ def correlated_pairs(df: DataFrame, key: str, vector: str, threshold: float) ->
     quadratic, as the operator is; a task's memory is not. Vectors of different lengths, and NULL ones, never pair;
     a constant vector correlates with nothing. For large tables use banded_pairs().
     """
-    import numpy as np
-    import pandas as pd
-
     kind = df.schema[key].dataType.simpleString()
     rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
@@ -79,9 +78,6 @@ def banded_pairs(df: DataFrame, key: str, vector: str, threshold: float, bands:
     A pair of correlation r agrees in a sign with probability 1 - acos(r) / pi; at 0.97 a
     band of ten signs meets with 0.44 and one of twelve bands with 0.999.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     @F.pandas_udf("struct<z: array<double>, keys: array<long>>")

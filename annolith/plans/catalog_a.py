@@ -239,7 +239,7 @@ def dimension_stats(spark, sf):
     return A.numeric_summary(I.table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"])
 
 
-@query("WITH v AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1), s AS (SELECT unnest([0.1, 0.5, 0.9, 0.99]) AS share) SELECT event_type, share, v[least(n - 1, floor(n * share))::int + 1] AS value FROM v, s")
+@query("WITH v AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1), s AS (SELECT unnest([0.1, 0.5, 0.9, 0.99]::double[]) AS share) SELECT event_type, share, v[least(n - 1, floor(n * share))::int + 1] AS value FROM v, s")
 def nearest_rank_percentiles(spark, sf):
     return A.nearest_rank(I.table(spark, sf, "events"), "value", [0.1, 0.5, 0.9, 0.99], ["event_type"])
 
