@@ -25,7 +25,7 @@ def corpus_dir(spark, tmp_path):
     rows = [(i, " ".join([*SENTENCES[i % 25].split(), *SENTENCES[(3 * i + 1) % 25].split(), f"u{i}"]), "en", f"s{i % 3}", 0) for i in range(50)]
     rows += [(60, " ".join(BASE), "en", "s0", 0), (61, " ".join([*BASE[:-1], "end"]), "en", "s1", 0), (62, "too short", "en", "s1", 0), (63, None, "en", None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in [*range(50), 60, 61]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, SENTENCES[4] + " " + SENTENCES[13])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return str(tmp_path)
 
