@@ -42,9 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by staged() in this process, in order.
+STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        STAGED.remove(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts the lineage, survives lost executors, is never recomputed."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

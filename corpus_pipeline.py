@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annolith.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from annolith.llm.common import staged, table
+from annolith.llm.common import STAGED, drop_staged, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other, each staged; what a stage wrote for itself goes once its result stands."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = len(STAGED)
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        done, last = last + STAGED[before:-1], STAGED[-1:]
+        drop_staged(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
