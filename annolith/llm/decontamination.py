@@ -23,14 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged, words
+from .common import SPACES, small, staged, words
 
 SHINGLE = 5
 CONTAINMENT = 0.75
 
 
 def _shingled(df: DataFrame, id_col: str) -> DataFrame:
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), words(F.lower("text")).alias("__w")).withColumn("__n", F.size("__w")).filter("__n > 0")
+    # Blank texts are told by their trimmed text: a filter on the words would be pushed to the scan and split every text twice.
+    filled = F.col(id_col).isNotNull() & (F.btrim("text", F.lit(SPACES)) != "")
+    return df.filter(filled).select(F.col(id_col), words(F.lower("text")).alias("__w")).withColumn("__n", F.size("__w"))
 
 
 def _by_place(w: Column, n: Column, make) -> Column:
