@@ -5,13 +5,13 @@
    values. Documents of equal sets form a class; its smallest doc_id stands for it.
 2. Each tree orders the representatives by its own DEPTH values. Neighbours
    with a common prefix of START values or more form a region; a region that
-   holds too many is split by the next value, so depth adapts to the region, and what
-   still is too large at full depth is cut into chunks tied to the region's smallest id.
-3. In a region the smallest unmatched id becomes a hub, and pairs of a hub and
+   holds too many is cut into parts, by the next values and at full depth by chunks.
+3. In a region, or in a part of one, the smallest unmatched id becomes a hub, and pairs of a hub and
    a member whose signatures agree in FLOOR of all values are candidates:
    a line per member and hub, never all pairs. Candidates are confirmed on full sets.
 4. Where confirmed links leave a region's members in different components, the
-   remaining similar pairs across components are compared too, each in the first tree that
+   remaining similar pairs across components are compared too, those of different parts
+   included, in blocks of two chunks where the region is large; each in the first tree that
    brings it together. A shingle that no other such member has can be in no intersection, which
    bounds the similarity of any pair from above and rules most of them out exactly; the rest
    meet with their full sets where the region is, and only links leave it. So a link is lost only if no
@@ -46,7 +46,7 @@ TREES, DEPTH, START = 16, 4, 2
 VALUES = TREES * DEPTH
 #: Agreeing values of a candidate pair: 4.6 standard deviations below the threshold.
 FLOOR = VALUES // 2
-#: Members above which a region is split by its next value, in a worker and before the shuffle.
+#: Members above which a region is split by its next value, in a worker and before the shuffle, and of a chunk.
 REGION, HOT = 8192, 20_000
 FLUSH = 6 << 20
 
@@ -144,21 +144,18 @@ def _region_rows(reps: DataFrame, start: int = START) -> DataFrame:
 
 
 def _deepened(rows: DataFrame) -> DataFrame:
-    """Rows with `key`, the deepest key whose region would else be hot, and `anchor`, the smallest id of a region cut into chunks."""
-    rows = rows.withColumn("key", F.col(f"k{START}")).withColumn("anchor", F.lit(None).cast("long"))
+    """Rows with `region`, `key`, the deepest key whose part would else be hot, and `cut`, whether the region has parts."""
+    rows = rows.withColumn("region", F.col(f"k{START}")).withColumn("key", F.col("region"))
     for d in range(START + 1, DEPTH + 2):
-        hot = staged(rows.groupBy("key").agg(F.count("*").alias("__m"), F.min("rep").alias("__least")).filter(F.col("__m") > HOT), "hot-regions")
+        hot = staged(rows.groupBy("key").agg(F.count("*").alias("__m")).filter(F.col("__m") > HOT), "hot-regions")
         n = hot.count()
         if not n:
             break
         marked = rows.join(small(hot.withColumnRenamed("key", "__hot"), n, 40), F.col("key") == F.col("__hot"), "left")
-        chunk = F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("__m") / HOT)))
+        chunk = F.xxhash64("key", F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("__m") / HOT)))
         deeper = F.col(f"k{d}") if d <= DEPTH else chunk
-        rows = marked.withColumn("key", F.when(F.col("__hot").isNotNull(), deeper).otherwise(F.col("key")))
-        if d > DEPTH:
-            rows = rows.withColumn("anchor", F.col("__least"))
-        rows = rows.drop("__hot", "__m", "__least")
-    return rows
+        rows = marked.withColumn("key", F.when(F.col("__hot").isNotNull(), deeper).otherwise(F.col("key"))).drop("__hot", "__m")
+    return rows.withColumn("cut", F.col("key") != F.col("region"))
 
 
 def _split_region(brief: np.ndarray, tree: int, at: np.ndarray, depth: int = START) -> Iterator[np.ndarray]:
@@ -193,17 +190,17 @@ def _stars(rep: np.ndarray, n: np.ndarray, brief: np.ndarray) -> Iterator[tuple[
             yield int(rep[k]), int(rep[j])
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Groups of rows that come sorted by their first column."""
+def _by_key(batches: Iterator[pa.RecordBatch], cut: int | None = None) -> Iterator[tuple[int, list[tuple]]]:
+    """Groups of two rows or more that come sorted by their first column; of one row too where its column `cut` is true."""
     at, held = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[0] != at:
-                if len(held) > 1:
+                if len(held) > 1 or (held and cut is not None and held[0][cut]):
                     yield at, held
                 at, held = row[0], []
             held.append(row)
-    if len(held) > 1:
+    if len(held) > 1 or (held and cut is not None and held[0][cut]):
         yield at, held
 
 
@@ -223,49 +220,66 @@ def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch
 
 
 def _candidates(rows: DataFrame, parts: int) -> DataFrame:
-    """(key, a, b, tree): a hub and a member of its region that look alike."""
+    """(region, part, a, b, tree): a hub and a member of its part that look alike; a = b for an unmatched row of a region in parts."""
 
     def pairs(batches):
-        for key, held in _by_key(batches):
+        for key, held in _by_key(batches, 6):
             rep, n, brief = _arrays(held)
-            anchor = held[0][5]
-            tree = held[0][4]
-            if anchor is not None and rep.min() != anchor:
-                yield key, anchor, int(rep.min()), tree
+            tree, region, cut = held[0][4:7]
             for at in _split_region(brief, tree, np.arange(len(rep))):
+                met = set()
                 for a, b in _stars(rep[at], n[at], brief[at]):
-                    yield key, a, b, tree
+                    met.update((a, b))
+                    yield region, key, a, b, tree
+                if cut:
+                    for a in set(rep[at].tolist()) - met:
+                        yield region, key, a, a, tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched(pairs(batches), ["key", "a", "b", "tree"])
+        yield from _batched(pairs(batches), ["region", "part", "a", "b", "tree"])
 
-    dealt = rows.select("key", "rep", "n", "brief", "tree", "anchor").repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, a long, b long, tree long")
+    dealt = rows.select("key", "rep", "n", "brief", "tree", "region", "cut").repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "region long, part long, a long, b long, tree long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members with `key`, a block of at most two chunks of their region, and their `chunk`; every two chunks of a region meet in a block."""
+    large = staged(members.groupBy("region").agg(F.count("*").alias("__m")).filter(F.col("__m") > HOT), "large-regions")
+    sized = members.join(small(large.withColumnRenamed("region", "__large"), large.count(), 40), F.col("region") == F.col("__large"), "left")
+    sized = sized.withColumn("__c", F.coalesce(F.ceil(F.col("__m") / HOT).cast("int"), F.lit(1)))
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("__c")).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))
+    block = F.xxhash64("region", F.least("chunk", "__o"), F.greatest("chunk", "__o"))
+    return sized.withColumn("key", F.when(F.col("__c") > 1, block).otherwise(F.col("region")))
 
 
 def _remaining(members: DataFrame, parts: int) -> DataFrame:
-    """(a, b): the links of a region across components, of pairs that look alike, may share enough and were no hub's pair."""
+    """(a, b): links of a region across components that join all which links of its pairs join: of pairs that look alike, may share enough and were no hub's pair."""
 
     def links(batches):
         for _, held in _by_key(batches):
             rep, n, brief = _arrays(held)
             comp, hub, shared = np.array([r[4] for r in held], np.int64), np.array([bool(r[5]) for r in held]), np.array([r[6] for r in held], np.int64)
             tree = held[0][7]
+            part, chunk = np.array([r[9] for r in held], np.int64), np.array([r[10] for r in held], np.int64)
+            # a block of two chunks holds the rows of both, and compares one's with the other's only
+            across = len(set(chunk.tolist())) > 1
             before = brief.reshape(len(rep), TREES, DEPTH)[:, :tree, :START]
-            for k in np.flatnonzero(~hub):
-                others = np.flatnonzero(~hub & (rep > rep[k]) & (comp != comp[k]))
+            for k in range(len(rep)) if (part != part[0]).any() else np.flatnonzero(~hub):
+                met = (part == part[k]) & (hub | hub[k])
+                others = np.flatnonzero(~met & (rep > rep[k]) & (comp != comp[k]) & ((chunk != chunk[k]) | (not across)))
                 most = np.minimum(shared[others], shared[k])
                 others = others[100 * most >= SIMILAR * (n[others] + n[k] - most)]
                 # an earlier tree that has both in one region has compared the pair
                 others = others[~(before[others] == before[k]).all(2).any(1)]
                 for j in _alike(brief, n, k, others):
-                    if _linked(held[k][8], held[j][8]):
+                    if comp[j] != comp[k] and _linked(held[k][8], held[j][8]):
+                        comp[comp == comp[j]] = comp[k]
                         yield int(rep[k]), int(rep[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(links(batches), ["a", "b"])
 
-    dealt = members.select("key", "rep", "n", "brief", "comp", "hub", "shared", "tree", "s").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = _blocks(members).select("key", "rep", "n", "brief", "comp", "hub", "shared", "tree", "s", "part", "chunk").repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -358,7 +372,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     tidy = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     pairs = staged(tidy(stars), "pairs")
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    ids = staged(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     sets = staged(_sets_of(docs, ids), "pair-sets")
     links = staged(confirmed(pairs, sets).unionByName(_own_links(every.filter(usable), classes)), "confirmed")
     comp = staged(connected(links), "components")
@@ -367,13 +381,13 @@ def components(docs: DataFrame) -> DataFrame:
     named = lambda c: comp.select(F.col("node").alias(f"__{c}"), F.col("comp").alias(f"__comp_{c}"))
     known = (
         stars.join(named("a"), F.col("a") == F.col("__a"), "left").join(named("b"), F.col("b") == F.col("__b"), "left")
-        .select("key", "tree", "a", "b", F.coalesce("__comp_a", "a").alias("ca"), F.coalesce("__comp_b", "b").alias("cb"))
+        .select("region", "part", "tree", "a", "b", F.coalesce("__comp_a", "a").alias("ca"), F.coalesce("__comp_b", "b").alias("cb"))
     )
     known = staged(known, "known")
-    open_keys = known.groupBy("key").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 1").select("key")
+    open_regions = known.groupBy("region").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 1").select("region")
     members = (
-        known.join(open_keys, "key").select("key", "tree", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("ca").alias("comp"), F.lit(1).alias("hub")), F.struct(F.col("b").alias("rep"), F.col("cb").alias("comp"), F.lit(0).alias("hub")))).alias("x"))
-        .groupBy("key", "tree", "x.rep", "x.comp").agg(F.max("x.hub").alias("hub"))
+        known.join(open_regions, "region").select("region", "part", "tree", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("ca").alias("comp"), F.lit(1).alias("hub")), F.struct(F.col("b").alias("rep"), F.col("cb").alias("comp"), F.lit(0).alias("hub")))).alias("x"))
+        .groupBy("region", "part", "tree", "x.rep", "x.comp").agg(F.max("x.hub").alias("hub"))
     )
     members = staged(members, "open-members")
     shared = staged(_shared(sets, members.select(F.col("rep").alias("id")).distinct()), "shared")

@@ -81,6 +81,22 @@ def test_near_dedup_of_hot_regions(spark, monkeypatch):
     assert got == {d: c for d, _, c, _ in brute.components(rows)}
 
 
+def chains():
+    """Texts that slide along 12 passages: each links with its neighbours only, so that one lost link parts a component."""
+    draw, rows = random.Random(11), []
+    for c in range(12):
+        w = [f"c{c}x{draw.randrange(5000)}" for _ in range(7 * 15 + 60)]
+        rows += [(100 * c + k, " ".join(w[7 * k : 7 * k + 60])) for k in draw.sample(range(15), 15)]
+    return rows
+
+
+def test_near_dedup_links_across_parts_of_hot_regions(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 2)
+    rows = chains()
+    got = {r.doc_id: r.component_id for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, _, c, _ in brute.components(rows)}
+
+
 def test_near_dedup_keeps_one_of_each(docs, rows):
     kept = near_dedup.keep_first(docs)
     assert kept.columns == docs.columns
