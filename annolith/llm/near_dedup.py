@@ -263,7 +263,7 @@ def _remaining(members: DataFrame, parts: int) -> DataFrame:
             part, chunk = np.array([r[9] for r in held], np.int64), np.array([r[10] for r in held], np.int64)
             # a block of two chunks holds the rows of both, and compares one's with the other's only
             across = len(set(chunk.tolist())) > 1
-            before = brief.reshape(len(rep), TREES, DEPTH)[:, :tree, :START]
+            before = np.frombuffer(b"".join(r[11] for r in held), np.uint32).reshape(len(rep), TREES, START)[:, :tree]
             for k in range(len(rep)) if (part != part[0]).any() else np.flatnonzero(~hub):
                 met = (part == part[k]) & (hub | hub[k])
                 others = np.flatnonzero(~met & (rep > rep[k]) & (comp != comp[k]) & ((chunk != chunk[k]) | (not across)))
@@ -279,7 +279,7 @@ def _remaining(members: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(links(batches), ["a", "b"])
 
-    dealt = _blocks(members).select("key", "rep", "n", "brief", "comp", "hub", "shared", "tree", "s", "part", "chunk").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = _blocks(members).select("key", "rep", "n", "brief", "comp", "hub", "shared", "tree", "s", "part", "chunk", "first").repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -413,12 +413,15 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def _briefs(reps: DataFrame) -> DataFrame:
+    """(rep, n, brief, first): 8 bits of every value, and the values in full of which each tree's regions are made."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            brief = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(brief, pa.binary())], ["rep", "n", "brief"])
+            sigs = [np.frombuffer(s, np.uint32) for s in batch.column(2).to_pylist()]
+            brief, first = [s.astype(np.uint8).tobytes() for s in sigs], [s.reshape(TREES, DEPTH)[:, :START].tobytes() for s in sigs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(brief, pa.binary()), pa.array(first, pa.binary())], ["rep", "n", "brief", "first"])
 
-    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, brief binary")
+    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, brief binary, first binary")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

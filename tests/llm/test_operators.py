@@ -97,6 +97,21 @@ def test_near_dedup_links_across_parts_of_hot_regions(spark, monkeypatch):
     assert got == {d: c for d, _, c, _ in brute.components(rows)}
 
 
+def test_near_dedup_of_regions_that_only_brief_values_share(spark):
+    """A pair whose first tree's values agree in their low 8 bits alone was not compared there."""
+    import numpy as np
+
+    full = np.arange(40, dtype=np.uint64).tobytes()
+    rows = []
+    for rep in (1, 2):
+        sig = np.arange(near_dedup.VALUES, dtype=np.uint32)
+        sig[: near_dedup.DEPTH] += 256 * rep
+        first = sig.reshape(near_dedup.TREES, near_dedup.DEPTH)[:, : near_dedup.START].tobytes()
+        rows.append((7, 7, 7, rep, 40, bytearray(sig.astype(np.uint8).tobytes()), bytearray(first), rep, 0, 40, 1, bytearray(full)))
+    members = spark.createDataFrame(rows, "key long, region long, part long, rep long, n long, brief binary, first binary, comp long, hub int, shared long, tree int, s binary")
+    assert [(r.a, r.b) for r in near_dedup._remaining(members, 2).collect()] == [(1, 2)]
+
+
 def test_near_dedup_keeps_one_of_each(docs, rows):
     kept = near_dedup.keep_first(docs)
     assert kept.columns == docs.columns
