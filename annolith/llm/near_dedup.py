@@ -226,14 +226,15 @@ def _candidates(rows: DataFrame, parts: int) -> DataFrame:
         for key, held in _by_key(batches, 6):
             rep, n, brief = _arrays(held)
             tree, region, cut = held[0][4:7]
-            for at in _split_region(brief, tree, np.arange(len(rep))):
-                met = set()
+            split = list(_split_region(brief, tree, np.arange(len(rep))))
+            for i, at in enumerate(split):
+                met, part = set(), key ^ i
                 for a, b in _stars(rep[at], n[at], brief[at]):
                     met.update((a, b))
-                    yield region, key, a, b, tree
-                if cut:
+                    yield region, part, a, b, tree
+                if cut or len(split) > 1:
                     for a in set(rep[at].tolist()) - met:
-                        yield region, key, a, a, tree
+                        yield region, part, a, a, tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(pairs(batches), ["region", "part", "a", "b", "tree"])

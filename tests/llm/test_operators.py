@@ -97,6 +97,20 @@ def test_near_dedup_links_across_parts_of_hot_regions(spark, monkeypatch):
     assert got == {d: c for d, _, c, _ in brute.components(rows)}
 
 
+def test_near_dedup_links_across_parts_split_in_the_worker(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    # every member a part of its own; by value, as workers import the module anew
+    monkeypatch.setattr(near_dedup, "_split_region", lambda brief, tree, at: iter(at.reshape(-1, 1)))
+    cloudpickle.register_pickle_by_value(near_dedup)
+    rows = chains()
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(near_dedup)
+    assert got == {d: c for d, _, c, _ in brute.components(rows)}
+
+
 def test_near_dedup_of_regions_that_only_brief_values_share(spark):
     """A pair whose first tree's values agree in their low 8 bits alone was not compared there."""
     import numpy as np
