@@ -1,13 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text, a template a short notice; both are sets of
-words. A block meets a template if it holds CONTAINMENT of the template's words.
+A block is a line of the text, or a run of words across line ends, blank lines
+included, that is 1 / CONTAINMENT times as long as the template: a notice wrapped
+over lines. A template is a short notice; both are sets of words. A block meets
+a template if it holds CONTAINMENT of the template's words; n_blocks_met counts the lines.
 All words of the templates are ordered by the number of blocks in the whole
 corpus that hold them, rarest first. By the prefix filter, a template of n
 words of which m are needed must have one of its n - m + 1 first words in the
 block; the length filter asks for m distinct words in the block, and the positional
 filter stops as soon as the words left cannot reach m. What passes is counted
-exactly, so every block at or above the threshold is found and no other.
+exactly, so every block at or above the threshold is found and no other. Runs are
+looked at only where the whole text passes the same filters as one block.
 
 Edge cases: null and empty texts have no words, no labels and score 0; blocks
 without words meet nothing; of equal scores nothing is chosen, all labels are
@@ -55,6 +58,11 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x0A if b == 0x0A else 0x20 for b in range(256))
 
 
+def _lengths(templates: dict[str, list[str]]) -> list[int]:
+    """Words of each template, repeats included, in the order of template_words()."""
+    return [len(t.encode().translate(_FOLD).split()) for notices in templates.values() for t in notices]
+
+
 def template_words(templates: dict[str, list[str]]) -> list[tuple[str, frozenset[bytes]]]:
     return [(label, frozenset(t.encode().translate(_FOLD).split())) for label, notices in templates.items() for t in notices]
 
@@ -73,6 +81,27 @@ class Index:
                 self.prefix.setdefault(w, []).append((k, i))
         self.keys = frozenset(self.prefix)
 
+    def meet_runs(self, words: list[bytes], lengths: list[int], containment: float) -> list[tuple[int, float]]:
+        """(template, highest containment in a run of words) of all templates that a run meets."""
+        found = []
+        for k, _ in self.meet(words):
+            holds, longest = frozenset(self.ordered[k]), int(lengths[k] / containment + 1e-9)
+            at = [i for i, w in enumerate(words) if w in holds]
+            inside: Counter[bytes] = Counter()
+            best = first = 0
+            for i in at:
+                inside[words[i]] += 1
+                while i - at[first] >= longest:
+                    gone = words[at[first]]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    first += 1
+                best = max(best, len(inside))
+            if best >= self.needed[k]:
+                found.append((k, best / len(holds)))
+        return found
+
     def meet(self, block: list[bytes]) -> list[tuple[int, float]]:
         """(template, containment) of all that the block meets."""
         if self.keys.isdisjoint(block):
@@ -115,7 +144,7 @@ def _block_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document: places of the base phrases, labels of phrases and of templates met, and the highest containment."""
-    listed = template_words(templates or TEMPLATES)
+    listed, lengths = template_words(templates or TEMPLATES), _lengths(templates or TEMPLATES)
     frequency = _block_frequencies(docs, frozenset().union(*(w for _, w in listed)))
     index = Index(listed, frequency, containment)
     phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
@@ -142,10 +171,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
                 words = [w for b in blocks for w in b]
                 places, labels = base(words)
                 met = [hit for b in blocks for hit in index.meet(b)]
-                every = labels | {index.templates[k][0] for k, _ in met}
+                wrapped = index.meet_runs(words, lengths, containment) if len(blocks) > 1 else []
+                every = labels | {index.templates[k][0] for k, _ in met + wrapped}
                 rows.append((
                     len(words), len(places), min(places, default=None), max(places, default=None),
-                    ",".join(sorted(labels)), ",".join(sorted(every)), max((s for _, s in met), default=0.0), len(met),
+                    ",".join(sorted(labels)), ",".join(sorted(every)), max((s for _, s in met + wrapped), default=0.0), len(met),
                 ))
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]

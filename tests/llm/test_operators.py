@@ -284,6 +284,20 @@ def test_license_scan(spark):
     assert got[6].n_words == 0 and got[6].first_word is None and got[7].labels == "" and got[8].score == 0.0 and got[None].labels == "mit" and got[9].first_word == 500
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    notices = {label: found[-1] for label, found in license_scan.TEMPLATES.items()}
+    rows = []
+    for i, (label, notice) in enumerate(notices.items()):
+        w = notice.split()
+        lines = ["# Some prose of a file comes first.", "", *("# " + " ".join(w[k : k + 5]) for k in range(0, len(w), 5)), "", "# and more of it comes after."]
+        rows.append((i, "\n".join(lines)))
+    # the words of a notice, far apart
+    rows.append((50, "\n".join(f"{w} {'other words of a text ' * 4}" for w in notices["gpl-3.0"].split())))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in enumerate(notices))
+    assert got[50].labels == "" and got[50].score == 0.0
+
+
 def test_license_join_is_exact():
     """Random blocks against random templates: the filters lose nothing and let nothing through."""
     words = [b"w%d" % i for i in range(40)]
