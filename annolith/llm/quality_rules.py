@@ -1,7 +1,7 @@
 """Quality rules: repetition counts and a hashed n-gram log-likelihood ratio.
 
 Unigrams and bigrams are hashed into BUCKETS counters, once over the trusted
-target (documents that `labels` marks as good, a bounded sample of them) and once over the whole raw
+target (all documents that `labels` marks as good) and once over the whole raw
 corpus. A document's score is the mean over its n-grams of
 ln(p_target / p_raw), both multinomials smoothed; it is kept if its base rules
 hold and the score reaches THRESHOLD.
@@ -17,15 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, staged, words
+from .common import small, staged, words
 
 BUCKETS = 1 << 16
 #: Added to every counter.
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of an n-gram.
 THRESHOLD = -0.25
-#: Trusted documents at most; the raw corpus is counted whole.
-TRUSTED_ROWS = 20_000
 MIN_WORDS = 10
 WINDOW = 5
 #: Percentage of words in repeated windows above which a document fails.
@@ -43,12 +41,12 @@ def _with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__w", words(F.col("text"))).withColumn("__n", F.size("__w"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: `ratios`, an array of ln(p_target / p_raw) by counter. Its size depends on `buckets` alone."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    good = bounded_sample(good, "__id", trusted_rows).withColumn("__good", F.lit(1))
+    good = staged(good.withColumn("__good", F.lit(1)), "trusted-ids")
     counted = (
-        _with_words(docs.select("doc_id", "text")).join(F.broadcast(good), F.col("doc_id") == F.col("__id"), "left")
+        _with_words(docs.select("doc_id", "text")).join(small(good, good.count(), 24), F.col("doc_id") == F.col("__id"), "left")
         .select(F.coalesce("__good", F.lit(0)).alias("__good"), F.explode(_buckets(F.col("__w"), F.col("__n"), buckets)).alias("bucket"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__good").alias("good"))
     )

@@ -384,6 +384,13 @@ def test_log_ratios(spark):
     assert ratios == pytest.approx(expected)
 
 
+def test_log_ratios_count_every_trusted_document(spark):
+    """A target that is the whole corpus has the corpus' own shares, however many documents it holds."""
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    ratios = quality_rules.log_ratios(docs, docs.select("doc_id", F.lit(1).alias("quality")), buckets=64).first().ratios
+    assert ratios == [0.0] * 64
+
+
 def test_decontamination(spark, docs, rows):
     items = [(1, " ".join(BASE[5:40])), (2, SENTENCES[0]), (3, "a b c"), (4, None), (5, "nowhere at all do these words stand"), (None, SENTENCES[1]), (6, " ".join([*BASE[:30], "zz", *BASE[31:40]]))]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
