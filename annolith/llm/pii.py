@@ -3,14 +3,15 @@
 Base: emails, IP addresses, payment cards and phone numbers by pattern and check, leftmost
 and non-overlapping per kind. Each distinct value found is a protected entity.
 
-Method: the words within REACH characters of an entity are terms. Over the
+Method: the words of four letters or more outside emails are terms. Over the
 whole corpus, with N documents, n(e) that hold entity e, n(t) that hold term t
-anywhere and n(t, e) that hold t near e, a term tells
+and n(t, e) that hold both, a term tells
     PMI(t; e) = log2(N n(t, e) / (n(t) n(e)))
 of the entity's information IC(e) = -log2(n(e) / N). A term seen with the entity in
 EVIDENCE documents or more that tells DISCLOSURE of IC(e) or more is a span of
-its own, kind `term`, wherever it stands near that entity; sanitised() removes direct
-identifiers and generalises such terms.
+its own, kind `term`, wherever it stands in any text; sanitised() removes direct
+identifiers and generalises such terms. As n(t, e) is n(e) at most, only terms of at
+most N^(1 - DISCLOSURE) n(e)^DISCLOSURE documents can tell so much; no others are paired.
 
 All of it is Spark expressions: positions come from the lengths of the pieces
 between matches, prefix-summed in blocks.
@@ -38,9 +39,8 @@ KINDS = {
 }
 #: What a text must hold for a kind to be worth matching.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-TERM = r"(?<=[^\p{L}])\p{L}{4,}(?=[^\p{L}])"
+TERM = r"(?<!\p{L})\p{L}{4,}+(?!\p{L})"
 
-REACH = 80
 EVIDENCE = 2
 DISCLOSURE = 0.9
 BLOCK = 256
@@ -112,52 +112,47 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return df
 
 
-def _near(df: DataFrame) -> DataFrame:
-    """A row for each term near an entity: __row, entity, term, start, end; df has __row, text and the kinds."""
-    named = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(k + ":"), s["value"]).alias("entity"))
-    entities = F.concat(*(F.transform(F.col(k), named(k)) for k in KINDS))
-    each = df.select("__row", "text", F.explode(entities).alias("x")).select("__row", "text", "x.*")
-    left = F.greatest(F.col("start") - REACH, F.lit(0))
-    sides = F.array(
-        F.struct(left.alias("at"), F.substring(F.col("text"), left + 1, F.col("start") - left).alias("window")),
-        F.struct(F.col("end").alias("at"), F.substring(F.col("text"), F.col("end") + 1, F.lit(REACH)).alias("window")),
-    )
-    each = each.select("__row", "entity", F.explode(sides).alias("s")).select("__row", "entity", "s.at", F.col("s.window").alias("window"))
-    each = with_spans(each, F.col("window"), TERM, "terms", F.lit(True))
-    return each.select("__row", "entity", "at", F.explode("terms").alias("t")).select(
-        "__row", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")
-    )
-
-
-def disclosing(near: DataFrame, base: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
-    """(entity, term, tells): terms that tell `disclosure` or more of an entity's information."""
-    pairs = near.select("__row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= evidence)
-    pairs = staged(pairs, "entity-terms")
-    terms = pairs.select("term").distinct()
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
-    of_term = held.join(small(terms, pairs.count(), 48), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    of_entity = near.select("__row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    rows = base.agg(F.count("*").cast("double")).scalar()
-    pmi = F.log2(F.lit(1.0) * rows * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    content = -F.log2(F.col("n_e") / rows)
+def _terms() -> Column:
+    """The distinct terms of the column text, lower-cased; those of emails are none."""
+    bare = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", KINDS["email"], " ")).otherwise(F.col("text"))
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def disclosing(base: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
+    """(entity, term, tells): terms that tell `disclosure` or more of an entity's information; base has __row, text and the kinds."""
+    named = lambda k: lambda s: F.concat(F.lit(k + ":"), s["value"])
+    held = base.select("__row", F.explode(F.array_distinct(F.concat(*(F.transform(F.col(k), named(k)) for k in KINDS)))).alias("entity"))
+    # an entity of fewer documents than the evidence asks for has no terms
+    of_entity = staged(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= evidence), "entities")
+    n, most = of_entity.agg(F.count("*"), F.coalesce(F.max("n_e"), F.lit(0))).first()
+    held = staged(held.join(small(of_entity, n, 64), "entity"), "held-entities")
+    rows = float(base.count())
+    bound = lambda n_e: F.lit(rows ** (1 - disclosure) * (1 + 1e-9)) * F.pow(n_e, F.lit(disclosure))
+    of_term = base.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    of_term = staged(of_term.filter((F.col("n_t") >= evidence) & (F.col("n_t") <= bound(F.lit(most).cast("double")))), "term-counts")
+    holders = held.select("__row").distinct()
+    seen = base.join(small(holders, holders.count(), 16), "__row", "left_semi").select("__row", F.explode(_terms()).alias("term"))
+    seen = staged(seen.join(small(of_term, of_term.count(), 64), "term"), "rare-terms")
+    pairs = seen.join(held, "__row").filter(F.col("n_t") <= bound(F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= evidence)
+    pmi = F.log2(F.lit(rows) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    content = -F.log2(F.col("n_e") / F.lit(rows))
     told = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    return pairs.join(of_term, "term").join(of_entity, "entity").withColumn("tells", told).filter(F.col("tells") >= disclosure).select("entity", "term", "tells")
+    return pairs.withColumn("tells", told).filter(F.col("tells") >= disclosure).select("entity", "term", "tells")
 
 
 def _all_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """__row, doc_id, the four kinds and `term`, a sorted array of spans that disclose; `keep` names columns to carry."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
-    spotted = base_spans(plain).withColumn("__row", F.monotonically_increasing_id())
-    # Texts go no further than the rows that hold an entity.
-    some = F.greatest(*(F.size(k) for k in KINDS)) > 0
-    base = staged(spotted.withColumn("text", F.when(some, F.col("text"))), "direct-identifiers")
-    near = staged(_near(base.filter(some)), "near-terms")
-    told = staged(disclosing(near, base, plain), "disclosing-terms")
-    terms = (
-        near.join(small(told, told.count(), 96), ["entity", "term"]).groupBy("__row")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("term").alias("value")))).alias("term"))
-    )
-    return base.join(terms, "__row", "left").withColumn("term", F.coalesce("term", F.array().cast(SPAN)))
+    base = staged(base_spans(plain).withColumn("__row", F.monotonically_increasing_id()), "direct-identifiers")
+    told = staged(disclosing(base).select("term").distinct(), "disclosing-terms")
+    holds = base.select("__row", F.explode(_terms()).alias("term")).join(small(told, told.count(), 48), "term", "left_semi")
+    holds = staged(holds.groupBy("__row").agg(F.collect_set("term").alias("__told")), "disclosed-rows")
+    marked = with_spans(base.select("__row", "text", "email").join(small(holds, holds.count(), 256), "__row"), F.col("text"), TERM, "__t", F.lit(True))
+    free = lambda s: ~F.exists("email", lambda e: (s["start"] < e["end"]) & (s["end"] > e["start"]))
+    spans = F.filter("__t", lambda s: F.array_contains(F.col("__told"), F.lower(s["value"])) & free(s))
+    terms = marked.select("__row", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"))).alias("term"))
+    terms = staged(terms, "term-spans")
+    return base.join(small(terms, terms.count(), 256), "__row", "left").withColumn("term", F.coalesce("term", F.array().cast(SPAN)))
 
 
 def _told(kinds: tuple[str, ...]) -> Column:

@@ -258,6 +258,17 @@ def test_pii_terms_that_disclose(spark):
     assert got[3].spans == got[4].spans == got[5].spans == "" and got[6].n_term == 0
 
 
+def test_pii_terms_far_from_entities(spark):
+    """At both ends of a text, far from the entity, and in a text without any."""
+    far = "plain filler words " * 20
+    rows = [(1, f"Zyxwvut {far} a@b.co"), (2, f"a@b.co {far} Zyxwvut"), (3, "zyxwvut"), *((10 + i, far) for i in range(200))]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows[:3]:
+        at = text.lower().index("zyxwvut")
+        assert got[d].spans.split(",")[-1] == f"term:{at}:{at + 7}" and got[d].n_term == 1
+    assert all(got[d].spans == "" for d, _ in rows[3:])
+
+
 def test_pii_sanitised(spark):
     rows = [(1, "We met Zyxwvut near a@b.co then."), (2, "We met Zyxwvut near a@b.co then."), (3, "clean"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
