@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="annolith-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -67,6 +69,13 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among gone's, staged and distinct; docs may have columns of any name."""
+    row = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*(F.col(c) for c in docs.columns)).alias("__row"))
+    kept = row.join(small(gone.select(F.col("doc_id").alias("__id")), gone.count(), 24), "__id", "left_anti")
+    return kept.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,7 @@ Items are partitioned by the size of their shingle set (powers of two). Within
 a partition whose largest set has u shingles, an item's sketch is its
 bottom-k MinHash values with k = u - ceil(t * u) + 1: a document that holds the
 share t of the item's shingles misses fewer than k of them, so it must hit
-the sketch. That bounds the work by the short side: documents of any length are
+the sketch, in k minus what it may miss of the item's own values. That bounds the work by the short side: documents of any length are
 probed by membership and need no signature of their own. Candidates are then
 verified by exact containment of shingle strings.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, small, staged, words
+from .common import SPACES, small, staged, without_ids, words
 
 SHINGLE = 5
 CONTAINMENT = 0.75
@@ -64,7 +64,11 @@ def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     k = F.col("__u") - F.ceil(F.col("__u") * F.lit(containment) - F.lit(1e-9)) + 1
     # Items are short texts: an item's values are one array of its own.
     bottom = classed.groupBy("item_id", "n_shingles", "size_class").agg(F.sort_array(F.collect_set("__h")).alias("__all")).join(largest, "size_class")
-    return bottom.select("item_id", "n_shingles", "size_class", F.explode(F.slice("__all", F.lit(1), k.cast("int"))).alias("__h"))
+    kept = F.slice("__all", F.lit(1), k.cast("int"))
+    # Of the sketch, a document that holds the share of the item's shingles misses no more than it may miss of them all.
+    spare = F.col("n_shingles") - F.ceil(F.col("n_shingles") * F.lit(containment) - F.lit(1e-9))
+    hits = F.greatest(F.lit(1), F.size(kept) - spare).cast("int")
+    return bottom.select("item_id", "n_shingles", "size_class", hits.alias("hits_needed"), F.explode(kept).alias("__h"))
 
 
 def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -72,11 +76,11 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT)
     shingles = staged(item_shingles(items), "item-shingles")
     sketch = staged(sketches(shingles, containment), "item-sketches")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    probe = _shingled(narrow, "doc_id").select("doc_id", "__n", F.explode(_hashes(F.col("__w"), F.col("__n"))).alias("__h"))
-    # The length filter: a document of too few windows cannot hold the share of the item's shingles.
-    fits = F.greatest(F.col("__n") - SHINGLE + 1, F.lit(1)) >= F.col("n_shingles") * F.lit(containment) - F.lit(1e-9)
-    hits = probe.join(small(sketch, sketch.count(), 40), "__h").filter(fits)
-    found = staged(hits.select("doc_id", "item_id").distinct(), "leak-candidates")
+    probe = _shingled(narrow, "doc_id").select("doc_id", F.explode(_hashes(F.col("__w"), F.col("__n"))).alias("__h"))
+    hits = probe.join(small(sketch, sketch.count(), 40), "__h").select("doc_id", "item_id", "hits_needed", "__h").distinct()
+    # The rows of a doc_id count together, so nothing is asked of one row alone.
+    found = hits.groupBy("doc_id", "item_id", "hits_needed").agg(F.count("*").alias("__met")).filter("__met >= hits_needed")
+    found = staged(found.select("doc_id", "item_id"), "leak-candidates")
 
     ids = found.select("doc_id").distinct()
     held = narrow.join(small(ids, found.count(), 24), "doc_id", "left_semi")
@@ -91,5 +95,5 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT)
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """docs without those that hold an item."""
-    leaked = staged(matches(docs, items, containment).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(small(leaked, leaked.count(), 24), F.col("doc_id") == F.col("__leaked"), "left_anti")
+    leaked = staged(matches(docs, items, containment).select("doc_id").distinct(), "leaked")
+    return without_ids(docs, leaked)
