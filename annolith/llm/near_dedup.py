@@ -2,11 +2,11 @@
 
 1. Every document becomes its set of five-word shingles, hashed to 64 bits, a
    128-bit fingerprint of the set and a signature of TREES * DEPTH MinHash
-   values. Documents of equal sets form a class; its smallest doc_id stands for it.
+   values. Documents of equal sets form a class; the row of its smallest doc_id stands for it.
 2. Each tree orders the representatives by its own DEPTH values. Neighbours
    with a common prefix of START values or more form a region; a region that
    holds too many is cut into parts, by the next values and at full depth by chunks.
-3. In a region, or in a part of one, the smallest unmatched id becomes a hub, and pairs of a hub and
+3. In a region, or in a part of one, the first unmatched class becomes a hub, and pairs of a hub and
    a member whose signatures agree in FLOOR of all values are candidates:
    a line per member and hub, never all pairs. Candidates are confirmed on full sets.
 4. Where confirmed links leave a region's members in different components, the
@@ -22,9 +22,8 @@ nothing is collected.
 
 Edge cases: null and blank texts have empty sets, link with nothing and are
 kept; fewer than five words make one shingle, the whole sequence; a null doc_id
-links with nothing, its component_id is null and kept is true; rows of one doc_id with
-words are one node, which has the links of all their texts; an empty table gives no rows; extra columns are ignored by
-components() and kept by keep_first().
+links with nothing, its component_id is null and kept is true; the texts of one doc_id are
+in one component, which has the links of them all; a blank row among them is a component of its own, named by its id; an empty table gives no rows; extra columns, of any name, are ignored by components() and kept by keep_first().
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, small, staged
+from .common import shuffle_width, small, staged, without_ids
 from .textbytes import Words, flushes, grams, mixed
 
 SHINGLE = 5
@@ -176,7 +175,7 @@ def _alike(brief: np.ndarray, n: np.ndarray, k: int, others: np.ndarray) -> np.n
 
 
 def _stars(rep: np.ndarray, n: np.ndarray, brief: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(hub, member): the smallest unmatched id is the next hub and meets all others of the region."""
+    """(hub, member): the first unmatched class is the next hub and meets all others of the region."""
     order = np.lexsort((n, rep))
     free = np.ones(len(rep), bool)
     for k in order:
@@ -305,16 +304,28 @@ def _shared(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return each.join(common, "h").groupBy("id").agg(F.count("*").alias("shared")).withColumnRenamed("id", "rep")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the full shingle set of every row whose doc_id is among ids, as the bytes of its sorted hashes."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids, ids.count(), 24), F.col("doc_id") == F.col("id"), "left_semi")
+def _sets_of(docs: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, s): the full shingle set of every node, as the bytes of its sorted hashes; nodes (id, doc_id, fp1, fp2).
+
+    A node is found again by its doc_id and the fingerprint of its set. `repeated` names the nodes whose row
+    stands in docs more than once.
+    """
+    ids = nodes.select(F.col("doc_id").alias("__id")).distinct()
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids, nodes.count(), 24), F.col("doc_id") == F.col("__id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush in flushes(batches, 1, FLUSH):
             sets = shingle_sets([t.as_py() or b"" for t in flush.column(1).cast(pa.binary())])
-            yield pa.RecordBatch.from_arrays([flush.column(0).combine_chunks(), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"])
+            marks = [_fingerprint(s) if len(s) else (None, None) for s in sets]
+            columns = [flush.column(0).combine_chunks(), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp1", "fp2", "s"])
 
-    return held.mapInArrow(run, "id long, s binary")
+    found = held.mapInArrow(run, "doc_id long, fp1 long, fp2 long, s binary").join(nodes, ["doc_id", "fp1", "fp2"]).select("id", "s")
+    if not repeated.isEmpty():
+        found = staged(found, "repeated-sets")
+        again = found.join(repeated, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s"))
+        found = found.join(repeated, "id", "left_anti").unionByName(again)
+    return found
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -350,32 +361,35 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
 
 
-def _own_links(every: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): links between the classes of one doc_id that has texts of several, by way of their representatives and the id."""
-    several = every.select("doc_id", "fp1", "fp2").distinct().groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    own = every.select("doc_id", "fp1", "fp2").join(several, "doc_id", "left_semi").distinct().join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"])
-    return own.filter("rep <> doc_id").select(F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b"))
-
-
 def components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and class_id, the smallest doc_id of the same set."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and class_id, the smallest doc_id of the same set.
+
+    The nodes of all steps are classes of equal sets, known by the row of their smallest doc_id, so that a
+    doc_id of several texts is as many nodes, which are linked through it.
+    """
     parts = shuffle_width(docs.sparkSession)
-    every = staged(signed(docs), "signed")
-    usable = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
-    classes = staged(every.filter(usable).groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "classes")
-    reps = (
-        every.filter(usable).join(classes.select("fp1", "fp2", F.col("rep").alias("__rep")), (every.fp1 == classes.fp1) & (every.fp2 == classes.fp2) & (F.col("doc_id") == F.col("__rep")))
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig")
-    )
+    every = staged(signed(docs).withColumn("row", F.monotonically_increasing_id()), "signed")
+    usable = every.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
+    classes = usable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep_doc"), F.min_by("row", "doc_id").alias("node"), F.count("*").alias("m"))
+    classes = staged(classes, "classes")
+    reps = usable.join(classes.select("node"), F.col("row") == F.col("node")).select(F.col("node").alias("rep"), F.col("n_shingles").alias("n"), "sig")
     reps = staged(reps, "representatives")
     rows = _deepened(_region_rows(reps))
     stars = staged(_candidates(rows, parts), "stars")
 
-    tidy = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    pairs = staged(tidy(stars), "pairs")
-    ids = staged(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    sets = staged(_sets_of(docs, ids), "pair-sets")
-    links = staged(confirmed(pairs, sets).unionByName(_own_links(every.filter(usable), classes)), "confirmed")
+    # Ids of several rows: those of one text repeat a node's row, those of several texts link their classes.
+    several = staged(usable.groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"), "repeated-ids")
+    many = staged(usable.join(small(several, several.count(), 24), "doc_id", "left_semi").select("doc_id", "fp1", "fp2").distinct().join(classes.select("fp1", "fp2", "node", "rep_doc"), ["fp1", "fp2"]), "ids-of-classes")
+    repeated = many.filter("doc_id = rep_doc").select(F.col("node").alias("id")).distinct()
+    hubs = many.groupBy("doc_id").agg(F.min("node").alias("a"))
+    own = many.join(hubs, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    pairs = staged(pairs, "pairs")
+    ids = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = staged(ids.join(classes.select(F.col("node").alias("id"), F.col("rep_doc").alias("doc_id"), "fp1", "fp2"), "id"), "pair-nodes")
+    sets = staged(_sets_of(docs, nodes, repeated), "pair-sets")
+    links = staged(confirmed(pairs, sets).unionByName(own), "confirmed")
     comp = staged(connected(links), "components")
 
     # Regions whose members' components still differ.
@@ -393,17 +407,23 @@ def components(docs: DataFrame) -> DataFrame:
     members = staged(members, "open-members")
     shared = staged(_shared(sets, members.select(F.col("rep").alias("id")).distinct()), "shared")
     # Members that hold too few shared shingles can link with nothing that is left.
-    held = members.join(shared, "rep").join(_briefs(reps), "rep").filter(100 * F.col("shared") >= SIMILAR * F.col("n"))
-    held = held.join(sets.groupBy("id").agg(F.first("s").alias("s")).withColumnRenamed("id", "rep"), "rep")
+    held = members.join(shared, "rep").join(_briefs(reps), "rep").filter(100 * F.col("shared") >= SIMILAR * F.col("n")).join(sets.withColumnRenamed("id", "rep"), "rep")
     second = staged(_remaining(held, parts).distinct(), "confirmed-2")
     merged = second.join(named("a"), F.col("a") == F.col("__a"), "left").join(named("b"), F.col("b") == F.col("__b"), "left").select(F.coalesce("__comp_a", "a").alias("a"), F.coalesce("__comp_b", "b").alias("b"))
     joined = staged(connected(merged), "components-2")
 
+    # A component is named by its smallest doc_id; classes that stand alone are not joined to anything.
+    later = joined.select(F.col("node").alias("__was"), F.col("comp").alias("__top"))
+    tops = (
+        comp.join(later, F.col("comp") == F.col("__was"), "left").select("node", F.coalesce("__top", "comp").alias("top"))
+        .unionByName(joined.join(comp, "node", "left_anti").select("node", F.col("comp").alias("top")))
+    )
+    linked = staged(classes.join(tops, "node").select("fp1", "fp2", "rep_doc", "top"), "linked-classes")
+    least = linked.groupBy("top").agg(F.min("rep_doc").alias("__comp"))
     whole = (
-        classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        .join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("__top")), "comp", "left")
-        .select(F.col("fp1").alias("__f1"), F.col("fp2").alias("__f2"), F.col("rep").alias("class_id"), F.coalesce("__top", "comp").alias("__comp"), "m")
-        .filter("m > 1 or __comp <> class_id")
+        linked.join(least, "top").select("fp1", "fp2", "rep_doc", "__comp")
+        .unionByName(classes.filter("m > 1").join(linked.select("fp1", "fp2"), ["fp1", "fp2"], "left_anti").select("fp1", "fp2", "rep_doc", F.col("rep_doc").alias("__comp")))
+        .select(F.col("fp1").alias("__f1"), F.col("fp2").alias("__f2"), F.col("rep_doc").alias("class_id"), "__comp")
     )
     whole = staged(whole, "class-components")
     found = every.drop("sig").join(whole, (F.col("fp1") == F.col("__f1")) & (F.col("fp2") == F.col("__f2")) & F.col("doc_id").isNotNull(), "left")
@@ -427,5 +447,5 @@ def _briefs(reps: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id; of rows that repeat it, all stay."""
-    gone = staged(components(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(small(gone, gone.count(), 24), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = staged(components(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    return without_ids(docs, gone)
