@@ -1,14 +1,18 @@
 """Quality rules: repetition counts and a hashed n-gram log-likelihood ratio.
 
-Unigrams and bigrams are hashed into BUCKETS counters, once over the trusted
-target (all documents that `labels` marks as good) and once over the whole raw
-corpus. A document's score is the mean over its n-grams of
-ln(p_target / p_raw), both multinomials smoothed; it is kept if its base rules
-hold and the score reaches THRESHOLD.
+Unigrams and bigrams are hashed into counters, once over the trusted target (all
+documents that `labels` marks as good) and once over the whole raw corpus. The
+number of counters grows with the square root of the corpus' bytes. A document's score
+is the mean over its n-grams of ln(p_target / p_raw), both multinomials
+smoothed; it is kept if its base rules hold and the score reaches THRESHOLD.
+
+Words are exploded within the scan and summed by row before anything is shuffled, so hashing, lookup
+and sums are compiled code and a document travels as one row of numbers. Up to IN_ARRAY counters
+the ratios go to the tasks as one array; more are joined by a shuffle of each document's distinct n-grams.
 
 Edge cases: null and blank texts have no words, fail the base rule and score 0;
 null doc_ids match no label; repeated rows are judged alike; an empty corpus or no trusted document at all makes
-all ratios 0, so only the base rules decide; extra columns are ignored by
+all ratios 0, so only the base rules decide; extra columns, of any name, are ignored by
 judge() and kept by keep_good().
 """
 
@@ -19,7 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import small, staged, words
 
+#: Counters, at least; a power of two.
 BUCKETS = 1 << 16
+#: Counters for each square root of a byte of text.
+PER_ROOT_BYTE = 16
+#: Counters whose ratios are held as one array, 4 bytes each, by every task.
+IN_ARRAY = 1 << 24
+#: Counters of a part of that array that is put together at once.
+CHUNK = 4096
 #: Added to every counter.
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of an n-gram.
@@ -29,41 +40,61 @@ WINDOW = 5
 #: Percentage of words in repeated windows above which a document fails.
 MAX_REPEATED = 20
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
-def _buckets(w: Column, n: Column, buckets: int) -> Column:
-    """Counter of every unigram, then of every bigram."""
-    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    pair = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i)), F.lit(buckets)).cast("int"))
-    return F.when(n >= 2, F.concat(single, pair)).otherwise(single)
+def counters_for(docs: DataFrame) -> int:
+    """The number of counters for a corpus: the power of two at or above PER_ROOT_BYTE roots of its bytes."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(BUCKETS, 1 << int(PER_ROOT_BYTE * size**0.5).bit_length())
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__w", words(F.col("text"))).withColumn("__n", F.size("__w"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row: `ratios`, an array of ln(p_target / p_raw) by counter. Its size depends on `buckets` alone."""
+def _pairs(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """keys and, a row a word: the counters of the word and of the bigram that it begins, null for the last word; a row of nulls for a text without words."""
+    after = F.slice("__w", F.lit(2), F.greatest(F.col("__n") - 1, F.lit(0)))
+    each = df.select(*keys, F.explode_outer(F.arrays_zip(F.col("__w").alias("a"), after.alias("b"))).alias("__p")).select(*keys, F.col("__p.a").alias("a"), F.col("__p.b").alias("b"))
+    # the hash skips nulls, so that of a pair without its second word must be left out
+    at = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    return each.select(*keys, F.when(F.col("a").isNotNull(), at("a")).alias("one"), F.when(F.col("b").isNotNull(), at("a", "b")).alias("two"))
+
+
+def _grams(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """keys and `bucket`, a row an n-gram."""
+    return _pairs(df, buckets, *keys).select(*keys, F.explode(F.array("one", "two")).alias("bucket")).filter("bucket is not null")
+
+
+def counted(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, raw, good): n-grams of the corpus and of its trusted documents by counter, staged."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
     good = staged(good.withColumn("__good", F.lit(1)), "trusted-ids")
-    counted = (
-        _with_words(docs.select("doc_id", "text")).join(small(good, good.count(), 24), F.col("doc_id") == F.col("__id"), "left")
-        .select(F.coalesce("__good", F.lit(0)).alias("__good"), F.explode(_buckets(F.col("__w"), F.col("__n"), buckets)).alias("bucket"))
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__good").alias("good"))
-    )
-    # The list of non-empty counters has `buckets` entries at most; the others all share one ratio.
-    listed = counted.agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("good", "raw")))).alias("m"),
-        F.coalesce(F.sum("good"), F.lit(0)).alias("tg"), F.coalesce(F.sum("raw"), F.lit(0)).alias("tr"), F.array_sort(F.collect_list(F.struct("bucket", "good", "raw"))).alias("l"),
-    )
-    tg, tr, a = F.col("tg").cast("double"), F.col("tr").cast("double"), F.lit(SMOOTHING)
-    total = F.lit(SMOOTHING * buckets)
-    ratio = lambda g, r: F.log((g + a) / (tg + total)) - F.log((r + a) / (tr + total))
-    gap = lambda n: F.when(n > 0, F.array_repeat(ratio(F.lit(0.0), F.lit(0.0)), n)).otherwise(F.array().cast("array<double>"))
-    dense = F.flatten(F.transform(F.col("l"), lambda x, i: F.concat(
-        gap(x["bucket"] - F.when(i > 0, F.get(F.col("l"), i - 1)["bucket"]).otherwise(F.lit(-1)) - 1), F.array(ratio(x["good"], x["raw"]))
-    )))
-    last = F.when(F.size("l") > 0, F.element_at("l", -1)["bucket"]).otherwise(F.lit(-1))
-    return listed.drop("m").select(F.when(tg > 0, F.concat(dense, gap(F.lit(buckets - 1) - last))).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("ratios"))
+    marked = _with_words(docs.select("doc_id", "text")).join(small(good, good.count(), 24), F.col("doc_id") == F.col("__id"), "left")
+    grams = _grams(marked.withColumn("__good", F.coalesce("__good", F.lit(0))), buckets, "__good")
+    return staged(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__good").alias("good")), "counters")
+
+
+def _with_ratios(counters: DataFrame, buckets: int, every: bool) -> DataFrame:
+    """(bucket, ratio) of all counters, or of those that are not empty."""
+    tg, tr = counters.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first()
+    if every:
+        counters = counters.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counters, "bucket", "left")
+    share = lambda n, total: F.log((F.coalesce(n, F.lit(0)) + F.lit(SMOOTHING)) / F.lit(total + SMOOTHING * buckets))
+    ratio = share("good", tg) - share("raw", tr) if tg else F.lit(0.0)
+    return counters.select("bucket", ratio.cast("float").alias("ratio"))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row: `ratios`, an array of ln(p_target / p_raw) by counter, 4 bytes each."""
+    return _as_array(_with_ratios(counted(docs, labels, buckets), buckets, every=True))
+
+
+def _as_array(ratios: DataFrame) -> DataFrame:
+    values = lambda s: F.transform(F.array_sort(F.collect_list(s)), lambda x: x["v"])
+    chunks = ratios.groupBy(F.floor(F.col("bucket") / CHUNK).alias("c")).agg(values(F.struct("bucket", F.col("ratio").alias("v"))).alias("v"))
+    return chunks.agg(F.flatten(values(F.struct("c", "v"))).alias("ratios"))
 
 
 def _repeated_words(n: Column) -> Column:
@@ -85,8 +116,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     """docs with __w, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; all of it inside one scan, no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = _with_words(docs)
-    five = [F.col("__w")]
-    hashes = F.transform(F.sequence(F.lit(0), F.col("__n") - WINDOW), lambda i: F.xxhash64(*(F.get(five[0], i + k) for k in range(WINDOW))))
+    # windows are zipped first, so that the lambda holds nothing but their hash
+    shifted = [F.slice("__w", F.lit(k + 1), F.greatest(F.col("__n") - WINDOW + 1, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
+    hashes = F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(x))
     df = df.withColumn("__h", F.when(F.col("__n") > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
     # Only documents with an equal pair of windows are sorted; each array is a column of its own so that no lambda recomputes it.
     twice = F.size(F.array_distinct("__h")) < F.size("__h")
@@ -108,35 +140,46 @@ def statistics(docs: DataFrame) -> DataFrame:
     }).drop("__h", "__s", "__p", "__lines")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """All columns of docs under names of their own, `__keep_`, and the counts, the ratio and the verdicts."""
-    ratios = log_ratios(docs, labels, buckets).scalar()
-    df = statistics(docs.select("doc_id", "text", *(F.col(c).alias(f"__keep_{c}") for c in docs.columns))).withColumn("__r", ratios)
-    # One walk over the words: a word's ratio and that of the bigram that it ends, with no array of counters in between.
-    at = lambda *x: F.get(F.col("__r"), F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int"))
-    w = F.col("__w")
-    total = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0))), F.lit(0.0),
-        lambda acc, i: acc + at(F.get(w, i)) + F.when(i > 0, at(F.get(w, i - 1), F.get(w, i))).otherwise(F.lit(0.0)),
-    )
-    grams = F.when(F.col("__n") >= 2, 2 * F.col("__n") - 1).otherwise(F.col("__n"))
-    df = df.withColumn("llr", F.when(F.col("__n") > 0, F.round(total / grams, 6)).otherwise(F.lit(0.0)))
-    df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int | None, *keys: str) -> DataFrame:
+    """keys, functions of a row that are cheap to carry, the counts, the ratio and the verdicts of every row."""
+    buckets = buckets or counters_for(docs)
+    counters = counted(docs, labels, buckets)
+    table = statistics(docs.select("text", *keys)).withColumn("__i", F.monotonically_increasing_id())
+    carried = [*keys, *COUNTS]
+    if buckets <= IN_ARRAY:
+        at = lambda c: F.coalesce(F.get(F.col("__r"), F.col(c)).cast("double"), F.lit(0.0))
+        ratios = _as_array(_with_ratios(counters, buckets, every=True)).scalar()
+        each = _pairs(table, buckets, "__i", *carried).withColumn("__r", ratios)
+        summed = each.groupBy("__i").agg(F.sum(at("one") + at("two")).alias("__sum"), *(F.first(c).alias(c) for c in carried))
+    else:
+        rows = staged(table.select("__i", "__w", "__n", *carried), "word-rows")
+        met = _grams(rows, buckets, "__i").groupBy("__i", "bucket").agg(F.count("*").alias("__m")).join(_with_ratios(counters, buckets, every=False), "bucket")
+        sums = met.groupBy("__i").agg(F.sum(F.col("__m") * F.col("ratio").cast("double")).alias("__sum"))
+        summed = rows.drop("__w", "__n").join(sums, "__i", "left")
+    n = F.col("n_words")
+    grams = F.when(n >= 2, 2 * n - 1).otherwise(n)
+    df = summed.withColumn("llr", F.when(n > 0, F.round(F.col("__sum") / grams, 6)).otherwise(F.lit(0.0)))
+    df = df.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * n))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
     """One row per document: the base counts, base_failed, kept and the mean log-likelihood ratio."""
-    df = _judged(docs.select("doc_id", "text"), labels, threshold, buckets)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scored(narrow, labels, threshold, buckets, "doc_id").select("doc_id", *COUNTS, "base_failed", "kept", "llr")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """docs without the documents that judge() rejects. Verdicts are staged with their rows.
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
+    """docs without the documents that judge() rejects.
 
-    A filter right above them would be pushed below the statistics, and there be
-    computed with every array written out inside the lambdas that look into it.
+    A verdict follows from the text, so rejected texts are known by 128 bits of hash and no text is shuffled
+    while their hashes are few enough to broadcast.
     """
-    df = _judged(docs, labels, threshold, buckets)
-    judged = staged(df.select("kept", *(F.col(f"__keep_{c}") for c in docs.columns)), "judged")
-    return judged.filter("kept").select(*(F.col(f"__keep_{c}").alias(c) for c in docs.columns))
+    mark = lambda t: (F.xxhash64(t), F.xxhash64(F.lit("quality"), F.length(t), t))
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.select("doc_id", t.alias("text"), mark(t)[0].alias("__m1"), mark(t)[1].alias("__m2"))
+    judged = _scored(marked, labels, threshold, buckets, "__m1", "__m2")
+    bad = staged(judged.filter(~F.col("kept")).select("__m1", "__m2").distinct(), "rejected-texts")
+    row = docs.select(*(m.alias(f"__m{k + 1}") for k, m in enumerate(mark(t))), F.struct(*(F.col(c) for c in docs.columns)).alias("__row"))
+    kept = row.join(small(bad, bad.count(), 32), ["__m1", "__m2"], "left_anti")
+    return kept.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
