@@ -1,16 +1,18 @@
 """Token counts by the whole-token shortcut.
 
-Offline, once per vocabulary: every vocabulary string that is a single
-pre-token is encoded by the library, and those that come back as one token
-are proven whole. Online, texts are cut into pre-tokens by the tokenizer's own
-pattern; a pre-token in the proven set counts one, and only the rest is merged,
-each distinct string once for as long as a worker's bounded memory holds it.
+Offline, on the driver, once per vocabulary file: every vocabulary string that is a
+single pre-token is encoded by the library, and those that come back as that one
+token are proven whole. They travel to the workers with the merge ranks in one broadcast, whose size
+the vocabulary bounds; executors need neither the file nor the library. Online, texts are cut
+into pre-tokens by the tokenizer's own pattern; a pre-token in the proven set counts one, and only
+the rest is merged, each distinct string once for as long as a worker's bounded memory holds it.
 
 Merging adjacent symbols by rank is done here; the tests hold the counts
 against the library on whole texts.
 
 Edge cases: null and empty texts have 0 tokens; special strings inside texts
-count as one token each, the library's default; repeated rows are counted
+count as one token each, the library's default; a vocabulary whose special strings take white space or
+word ends with them, or that normalises texts, is refused; repeated rows are counted
 alike; null doc_ids are kept; an empty table gives no rows; extra columns are
 ignored.
 """
@@ -41,20 +43,35 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def cutter():
+    import regex
+
+    return regex.compile(PRE_TOKENS)
+
+
 class Vocabulary:
-    """Merge ranks, special strings and the proven whole tokens of one byte-level BPE file."""
+    """Merge ranks, special strings and the proven whole tokens of one byte-level BPE file; picklable."""
 
     def __init__(self, path: str):
-        import regex
-
         spec = json.load(open(path, encoding="utf-8"))
+        if spec.get("normalizer") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path} normalises texts or has special strings that take more than themselves")
         self.byte = {c: bytes([b]) for b, c in byte_alphabet().items()}
         raw = lambda s: b"".join(self.byte[c] for c in s)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cut = regex.compile(PRE_TOKENS)
-        self.whole = {text for s in spec["model"]["vocab"] if (text := self.text(s)) is not None and self.cut.fullmatch(text) and self.merged(text) == 1}
+        # the longest of the special strings that begin at a place is the one found there
+        self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.whole = self._proven(path, spec["model"]["vocab"])
+
+    def _proven(self, path: str, vocab: dict[str, int]) -> frozenset[str]:
+        """Vocabulary strings that are one pre-token and that the library encodes as the one token they name."""
+        import tokenizers
+
+        cut = cutter()
+        known = [(t, k) for s, k in vocab.items() if (t := self.text(s)) is not None and cut.fullmatch(t)]
+        encoded = tokenizers.Tokenizer.from_file(path).encode_batch([t for t, _ in known], add_special_tokens=False)
+        return frozenset(t for (t, k), e in zip(known, encoded, strict=True) if e.ids == [k])
 
     def text(self, s: str) -> str | None:
         try:
@@ -122,15 +139,14 @@ class Counter:
     def __init__(self, vocab: Vocabulary):
         import regex
 
-        self.vocab, self.known = vocab, {}
-        self.split = regex.compile("|".join(map(regex.escape, vocab.special))).split if vocab.special else lambda t: [t]
-        self.find = regex.compile("|".join(map(regex.escape, vocab.special))).findall if vocab.special else lambda t: []
+        self.vocab, self.known, self.find = vocab, {}, cutter().findall
+        self.split = regex.compile("|".join(map(regex.escape, vocab.special))).split if vocab.special else None
 
     def count(self, text: str) -> int:
-        pieces = self.split(text) if "<" in text else [text]
+        pieces = self.split(text) if any(s in text for s in self.vocab.special) else [text]
         total, whole, known = len(pieces) - 1, self.vocab.whole, self.known
         for piece in pieces:
-            tokens = self.vocab.cut.findall(piece)
+            tokens = self.find(piece)
             rest = [t for t in tokens if t not in whole]
             total += len(tokens) - len(rest)
             for t in rest:
@@ -148,18 +164,19 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
-    """One per worker process and file, kept between batches and tasks."""
+def counter(path: str, shipped=None) -> Counter:
+    """One per worker process and file, kept between batches and tasks; `shipped` is the broadcast vocabulary."""
     if path not in _counters:
-        _counters[path] = Counter(vocabulary(path))
+        _counters[path] = Counter(shipped.value if shipped else vocabulary(path))
     return _counters[path]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """One row per document. A scan and one Python pass over Arrow batches: no shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own = counter(path, shipped)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column(1):
