@@ -2,7 +2,7 @@
 
 A block is a line of the text, or a run of words across line ends, blank lines
 included, that is 1 / CONTAINMENT times as long as the template: a notice wrapped
-over lines. A template is a short notice; both are sets of words. A block meets
+over lines, or a paragraph or several of a license's body. A template is a notice or a paragraph of a body; both are sets of words. A block meets
 a template if it holds CONTAINMENT of the template's words; n_blocks_met counts the lines.
 All words of the templates are ordered by the number of blocks in the whole
 corpus that hold them, rarest first. By the prefix filter, a template of n
@@ -27,30 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import LICENSE_TEXTS
+
 #: Phrases whose plain presence labels a document.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Share of a template's words that a block must hold.
 CONTAINMENT = 0.9
 
-#: Short public notices, a label for each.
-TEMPLATES = {
-    "mit": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    ],
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses LICENSE-2.0",
-    ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    ],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-}
+#: A label for each license, and the notices and paragraphs that show it.
+TEMPLATES = LICENSE_TEXTS
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks_met long"
 
@@ -58,9 +43,9 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x0A if b == 0x0A else 0x20 for b in range(256))
 
 
-def _lengths(templates: dict[str, list[str]]) -> list[int]:
-    """Words of each template, repeats included, in the order of template_words()."""
-    return [len(t.encode().translate(_FOLD).split()) for notices in templates.values() for t in notices]
+def run_lengths(templates: dict[str, list[str]], containment: float = CONTAINMENT) -> list[int]:
+    """Words of the runs that are met with each template, in the order of template_words(): its own, repeats included, over the containment."""
+    return [int(len(t.encode().translate(_FOLD).split()) / containment + 1e-9) for notices in templates.values() for t in notices]
 
 
 def template_words(templates: dict[str, list[str]]) -> list[tuple[str, frozenset[bytes]]]:
@@ -81,11 +66,11 @@ class Index:
                 self.prefix.setdefault(w, []).append((k, i))
         self.keys = frozenset(self.prefix)
 
-    def meet_runs(self, words: list[bytes], lengths: list[int], containment: float) -> list[tuple[int, float]]:
+    def meet_runs(self, words: list[bytes], longest_runs: list[int]) -> list[tuple[int, float]]:
         """(template, highest containment in a run of words) of all templates that a run meets."""
         found = []
         for k, _ in self.meet(words):
-            holds, longest = frozenset(self.ordered[k]), int(lengths[k] / containment + 1e-9)
+            holds, longest = frozenset(self.ordered[k]), longest_runs[k]
             at = [i for i, w in enumerate(words) if w in holds]
             inside: Counter[bytes] = Counter()
             best = first = 0
@@ -144,7 +129,7 @@ def _block_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document: places of the base phrases, labels of phrases and of templates met, and the highest containment."""
-    listed, lengths = template_words(templates or TEMPLATES), _lengths(templates or TEMPLATES)
+    listed, longest_runs = template_words(templates or TEMPLATES), run_lengths(templates or TEMPLATES, containment)
     frequency = _block_frequencies(docs, frozenset().union(*(w for _, w in listed)))
     index = Index(listed, frequency, containment)
     phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
@@ -171,7 +156,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
                 words = [w for b in blocks for w in b]
                 places, labels = base(words)
                 met = [hit for b in blocks for hit in index.meet(b)]
-                wrapped = index.meet_runs(words, lengths, containment) if len(blocks) > 1 else []
+                wrapped = index.meet_runs(words, longest_runs) if len(blocks) > 1 else []
                 every = labels | {index.templates[k][0] for k, _ in met + wrapped}
                 rows.append((
                     len(words), len(places), min(places, default=None), max(places, default=None),
