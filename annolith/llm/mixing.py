@@ -29,7 +29,7 @@ SHARE = 1.5
 #: Most times that a document may be taken.
 MAX_EPOCHS = 2.0
 #: Key ranges of each source of which words are summed; the one that holds the target's end is looked into.
-SLICES = 1 << 16
+SLICES = 4096
 #: Copies of one row that are made from one array.
 COPIES_AT_ONCE = 1000
 SEED = "mix-1"
