@@ -19,7 +19,12 @@ def text_or_empty(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text_or_empty(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text_or_empty(c), F.lit(V.WHITE_SPACE))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), the value being computed once however often `use` names it: neither projections nor filters that are merged copy it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def collapsed(c: Column) -> Column:
@@ -40,19 +45,24 @@ def parse_bool(c: Column) -> Column:
     return F.when(word.isin(*V.TRUE_WORDS), True).when(word.isin(*V.FALSE_WORDS), False)
 
 
+_DIGITS = r"[0-9](?:_?[0-9])*"
+NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+
+
+def _double(c: Column) -> Column:
+    """A double, which may be infinite, or NULL; each step names the one before it once."""
+    shaped = F.regexp_extract(F.replace(stripped(c), F.lit(","), F.lit(".")), NUMBER, 0)
+    return F.replace(shaped, F.lit("_"), F.lit("")).try_cast("double")
+
+
 def parse_number(c: Column) -> Column:
     """A finite double, a decimal comma allowed, or NULL. Digits may be grouped by single underscores."""
-    cell = F.replace(stripped(c), F.lit(","), F.lit("."))
-    digits = r"[0-9](?:_?[0-9])*"
-    shape = rf"^[+-]?(?:{digits}\.?(?:{digits})?|\.{digits})(?:[eE][+-]?{digits})?$"
-    number = F.replace(cell, F.lit("_"), F.lit("")).try_cast("double")
-    return F.when(cell.rlike(shape) & (F.abs(number) < float("inf")), number)
+    return once(_double(c), lambda v: F.when(F.abs(v) < float("inf"), v))
 
 
 def numbers(*cells: Column) -> Column:
     """array<double> of all cells, or NULL if one of them is no number."""
-    values = F.array(*(parse_number(c) for c in cells))
-    return F.when(~F.exists(values, lambda v: v.isNull()), values)
+    return once(F.array(*(_double(c) for c in cells)), lambda a: F.when(F.forall(a, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))), a))
 
 
 def split_tags(c: Column) -> Column:
@@ -145,19 +155,24 @@ def _format_fault(plate: Column, kind: str) -> Column:
     return fault.otherwise(_region_fault(region))
 
 
-def validate_plate(c: Column, plate_type: Column | None = None) -> Column:
-    """struct(is_valid, normalized, reason, format). A typed plate must follow its type; else the first structure that fits decides."""
-    plate, kind = normal_plate(c), F.lit(None).cast("string") if plate_type is None else plate_type
+def _verdict(plate: Column, kind: Column) -> Column:
     standard, short = _format_fault(plate, STANDARD), _format_fault(plate, SHORT)
     chosen = (
         F.when(kind.isin("type1", "type1a"), F.lit(STANDARD)).when(kind == "type1b", F.lit(SHORT))
         .when(plate.rlike(PATTERNS[SHORT]) & ~plate.rlike(PATTERNS[STANDARD]), F.lit(SHORT)).otherwise(F.lit(STANDARD))
     )
-    fault = F.when(plate == "", F.lit("empty text")).when(chosen == STANDARD, standard).otherwise(short)
-    return F.struct(
-        fault.isNull().alias("is_valid"), plate.alias("normalized"), text_or_empty(fault).alias("reason"),
-        F.when(fault.isNull(), chosen).otherwise(F.lit("")).alias("format"),
-    )
+    fault = lambda how: F.when(plate == "", F.lit("empty text")).when(how == STANDARD, standard).otherwise(short)
+    told = once(chosen, lambda how: F.struct(how.alias("how"), fault(how).alias("fault")))
+    return once(told, lambda t: F.struct(
+        t["fault"].isNull().alias("is_valid"), plate.alias("normalized"), text_or_empty(t["fault"]).alias("reason"),
+        F.when(t["fault"].isNull(), t["how"]).otherwise(F.lit("")).alias("format"),
+    ))
+
+
+def validate_plate(c: Column, plate_type: Column | None = None) -> Column:
+    """struct(is_valid, normalized, reason, format). A typed plate must follow its type; else the first structure that fits decides."""
+    kind = F.lit(None).cast("string") if plate_type is None else plate_type
+    return once(normal_plate(c), lambda plate: _verdict(plate, kind))
 
 
 def trainable(plate: Column, plate_type: Column) -> Column:

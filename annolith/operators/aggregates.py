@@ -16,31 +16,29 @@ def counted(df: DataFrame, *keys: Column) -> DataFrame:
 def dataset_stats(meta: DataFrame) -> DataFrame:
     """(metric, key, value) in long form, from rules.typed(); a row counts a tag once however often it names it.
 
-    Every row is exploded into the things it counts, so that one aggregation makes all
-    counts; distinct counts follow from distinct (metric, key, item) triples.
+    Every row is exploded into the things it counts, plain ones without an item. They are counted by metric, key and item
+    first, so that a distinct count is a count of rows and no set is held; one pass over the parsed rows makes all.
     """
     synthetic, real = F.coalesce(F.col("synthetic"), F.lit(False)), F.coalesce(~F.col("synthetic"), F.lit(False))
-    from ..functions.text import stripped
+    source, licence, image = F.col("source_name"), F.col("licence"), F.col("image_path")
+
+    def one(metric: str, key: Column | None = None, item: Column | None = None) -> Column:
+        text = lambda c, other: F.lit(other).cast("string") if c is None else c
+        return F.struct(F.lit(metric).alias("metric"), text(key, "").alias("key"), text(item, None).alias("item"))
 
-    source, licence = stripped(F.col("source")), stripped(F.col("license"))
-    one = lambda metric, key="": F.struct(F.lit(metric).alias("metric"), (key if isinstance(key, Column) else F.lit(key)).alias("key"))
     counts = F.concat(
         F.array(
             one("total_rows"), F.when(synthetic, one("synthetic_rows")), F.when(real, one("real_rows")), F.when(F.col("is_background"), one("background_rows")),
             one("by_plate_type", F.when(F.col("kind") == "", "<blank>").otherwise(F.col("kind"))), F.when(F.size("tags") == 0, one("rows_without_conditions")),
             F.when(source != "", one("by_source", source)), F.when((source == "") & ~synthetic, one("rows_missing_source")),
             F.when(licence != "", one("by_license", licence)), F.when((licence == "") & ~synthetic, one("rows_missing_license")),
+            F.when(synthetic, one("synthetic_images", None, image)), F.when(real, one("real_images", None, image)),
+            F.when(synthetic | real, one("total_images", None, image)), F.when(F.col("plate") != "", one("unique_plates", F.col("kind"), F.col("plate"))),
         ),
         F.transform(F.array_distinct("tags"), lambda t: one("by_condition", t)),
     )
-    plain = meta.select(F.explode(F.filter(counts, lambda c: c.isNotNull())).alias("c")).groupBy("c.metric", "c.key").agg(F.count("*").alias("value"))
-    item = lambda metric, key, x: F.struct(F.lit(metric).alias("metric"), key.alias("key"), x.alias("item"))
-    items = F.array(
-        F.when(synthetic, item("synthetic_images", F.lit(""), F.col("image_path"))), F.when(real, item("real_images", F.lit(""), F.col("image_path"))),
-        F.when(synthetic | real, item("total_images", F.lit(""), F.col("image_path"))), F.when(F.col("plate") != "", item("unique_plates", F.col("kind"), F.col("plate"))),
-    )
-    distinct = meta.select(F.explode(F.filter(items, lambda c: c.isNotNull())).alias("c")).select("c.*").distinct().groupBy("metric", "key").agg(F.count("*").alias("value"))
-    return plain.unionByName(distinct)
+    each = meta.select(F.explode(F.filter(counts, lambda c: c.isNotNull())).alias("c")).groupBy("c.metric", "c.key", "c.item").agg(F.count("*").alias("n"))
+    return each.groupBy("metric", "key").agg(F.sum(F.when(F.col("item").isNull(), F.col("n")).otherwise(1)).alias("value"))
 
 
 def numeric_summary(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:

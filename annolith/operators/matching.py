@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 
-MATCHES = "array<struct<t:int,p:int>>"
+MATCHES = "array<struct<t:int,p:int,score:double>>"
+CANDIDATES = "array<struct<rank:struct<k:double,p:int,k2:double,o:int>,overlap:double>>"
 
 
 def by_score(predictions: Column) -> Column:
@@ -16,17 +17,29 @@ def by_score(predictions: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["p"])
 
 
-def greedy_matches(truth: Column, predictions: Column, threshold: float | Column) -> Column:
-    """array<struct(t, p)> of ordinals: each prediction in score order takes the free truth of highest IoU at or above the threshold, the later one on ties."""
+def with_candidates(images: DataFrame, image: str, least: float) -> DataFrame:
+    """images (image, truth, predictions) with `candidates`: pairs whose IoU reaches `least`, in the order in which a greedy match tries them.
+
+    Pairs are exploded and scored as compiled code, and only those at or above the least threshold come back to
+    their image: predictions by falling score, ties in input order; for each the truths by falling IoU, the later one on ties.
+    """
+    pairs = images.select(image, F.explode("truth").alias("t"), "predictions").select(image, "t", F.explode("predictions").alias("p"))
+    close = pairs.select(image, "t", "p", iou(F.col("t.box"), F.col("p.box")).alias("overlap")).filter(F.col("overlap") >= least)
+    rank = F.struct((-F.col("p.score")).alias("k"), F.col("p.ordinal").cast("int").alias("p"), (-F.col("overlap")).alias("k2"), (-F.col("t.ordinal")).cast("int").alias("o"))
+    listed = close.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("overlap").alias("overlap")))).alias("candidates"))
+    return images.join(listed, image, "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(CANDIDATES)))
+
+
+def greedy_matches(candidates: Column, threshold: float | Column) -> Column:
+    """array<struct(t, p, score)> of ordinals: each prediction in score order takes the free truth of highest IoU at or above the threshold, the later one on ties."""
     least = threshold if isinstance(threshold, Column) else F.lit(threshold)
 
-    def step(acc: Column, p: Column) -> Column:
-        scored = F.transform(truth, lambda t: F.struct((-iou(t["box"], p["box"])).alias("k"), (-t["ordinal"]).alias("o")))
-        free = F.filter(scored, lambda s: (-s["k"] >= least) & ~F.exists(acc, lambda m: m["t"] == -s["o"]))
-        best = F.get(F.array_sort(free), F.lit(0))
-        return F.when(best.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct((-best["o"]).cast("int").alias("t"), p["ordinal"].cast("int").alias("p")))))
+    def step(acc: Column, c: Column) -> Column:
+        t, p = (-c["rank"]["o"]).cast("int"), c["rank"]["p"]
+        taken = F.exists(acc, lambda m: (m["t"] == t) | (m["p"] == p))
+        return F.when((c["overlap"] < least) | taken, acc).otherwise(F.concat(acc, F.array(F.struct(t.alias("t"), p.alias("p"), (-c["rank"]["k"]).alias("score")))))
 
-    return F.aggregate(by_score(predictions), F.array().cast(MATCHES), step)
+    return F.aggregate(candidates, F.array().cast(MATCHES), step)
 
 
 def suppressed(boxes: Column, threshold: float) -> Column:
@@ -59,20 +72,24 @@ def grouped_boxes(df: DataFrame, image: str, ordinal: Column, box: Column, score
     return df.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
-def matched_images(truth: DataFrame, predictions: DataFrame, image: str, threshold: float) -> DataFrame:
-    """Truth images with their matches; predictions of unknown images are ignored. truth (image, truth), predictions (image, predictions)."""
+def paired(truth: DataFrame, predictions: DataFrame, image: str) -> DataFrame:
+    """Truth images with their predictions by score; predictions of unknown images are ignored. truth (image, truth), predictions (image, predictions)."""
     empty = F.array().cast(predictions.schema["predictions"].dataType)
-    joined = truth.join(predictions, image, "left").withColumn("predictions", F.coalesce("predictions", empty))
-    return joined.withColumn("matches", greedy_matches(F.col("truth"), F.col("predictions"), threshold))
-
-
-def scored_list(matched: DataFrame, image: str) -> DataFrame:
-    """(image, place, score, is_tp): the list that average precision ranks; by image, all matches first, then the unmatched."""
-    score = lambda p: F.get(F.filter(F.col("predictions"), lambda q: q["ordinal"] == p), F.lit(0))["score"]
-    hits = F.transform("matches", lambda m: F.struct(score(m["p"]).alias("score"), F.lit(True).alias("is_tp")))
-    misses = F.transform(
-        F.filter(by_score(F.col("predictions")), lambda q: ~F.exists("matches", lambda m: m["p"] == q["ordinal"])), lambda q: F.struct(q["score"].alias("score"), F.lit(False).alias("is_tp"))
-    )
-    # The outer form: from the inner one Spark infers a filter on the array and evaluates the fold once for every prediction.
-    listed = matched.select(image, F.posexplode_outer(F.concat(hits, misses)).alias("place", "s")).filter("place is not null")
-    return listed.select(image, "place", "s.score", "s.is_tp")
+    return truth.join(predictions.withColumn("predictions", by_score(F.col("predictions"))), image, "left").withColumn("predictions", F.coalesce("predictions", empty))
+
+
+def matched_images(truth: DataFrame, predictions: DataFrame, image: str, threshold: float) -> DataFrame:
+    """Truth images with their predictions and matches at one threshold."""
+    found = with_candidates(paired(truth, predictions, image), image, threshold)
+    return found.withColumn("matches", greedy_matches(F.col("candidates"), threshold)).drop("candidates")
+
+
+def scored_list(matched: DataFrame, *keys: str) -> DataFrame:
+    """(keys, place, score, is_tp): the list that average precision ranks; by image, all matches first, then the unmatched by score."""
+    hits = F.transform("matches", lambda m: F.struct(m["score"].alias("score"), F.lit(True).alias("is_tp")))
+    own = F.transform("matches", lambda m: m["p"])
+    free = F.filter("predictions", lambda q: ~F.array_contains(own, q["ordinal"]))
+    misses = F.transform(free, lambda q: F.struct(q["score"].alias("score"), F.lit(False).alias("is_tp")))
+    # The outer form: from the inner one Spark infers a filter on the array and evaluates the fold once more.
+    listed = matched.select(*keys, F.posexplode_outer(F.concat(hits, misses)).alias("place", "s")).filter("place is not null")
+    return listed.select(*keys, "place", "s.score", "s.is_tp")

@@ -141,12 +141,12 @@ def reading_report(readings: DataFrame, dimensions: dict[str, Column], tags: Col
 def detection_report(truth: DataFrame, predictions: DataFrame, image: str = "image", ladder: tuple[float, ...] = IOU_LADDER) -> DataFrame:
     """(threshold, ap, n_truth) over a ladder of IoU thresholds; truth (image, truth), predictions (image, predictions).
 
-    Images are matched once for every threshold, in their own rows; only scored lists are shuffled.
+    Overlapping pairs are found once, for the least threshold; every threshold then folds over an image's short list of them.
     """
-    matched = truth.join(predictions, image, "left").withColumn("predictions", F.coalesce("predictions", F.array().cast(predictions.schema["predictions"].dataType)))
-    matched = matched.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in ladder))))
-    matched = matched.withColumn("matches", M.greedy_matches(F.col("truth"), F.col("predictions"), F.col("threshold"))).withColumn("__key", F.struct(image, "threshold"))
-    scored = M.scored_list(matched, "__key").select(F.col("__key.threshold").alias("threshold"), F.col(f"__key.{image}").alias("image"), "place", "score", "is_tp")
+    found = M.with_candidates(M.paired(truth, predictions, image), image, min(ladder))
+    found = found.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in ladder))))
+    matched = found.withColumn("matches", M.greedy_matches(F.col("candidates"), F.col("threshold")))
+    scored = M.scored_list(matched, "threshold", image).withColumnRenamed(image, "image")
     total = truth.agg(F.sum(F.size("truth")).alias("n")).scalar()
     ap = average_precision(scored, F.max(total), ["threshold"], "score", "is_tp", ["image", "place"])
     return ap.withColumn("n_truth", total)

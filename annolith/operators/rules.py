@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -58,7 +57,10 @@ def typed(meta: DataFrame) -> DataFrame:
     df = meta.withColumns({
         "image_path": X.forward_slashes(F.col("image")), "plate": X.stripped(F.col("plate_num")), "kind": X.stripped(F.col("plate_type")),
         "synthetic": X.parse_bool(F.col("is_synthetic")), "bbox": boxes, "quad": quads, "tags": X.split_tags(F.col("conditions")),
+        "source_name": X.stripped(F.col("source")), "licence": X.stripped(F.col("license")),
     })
+    # Columns of their own, as rules name them more than once.
+    df = df.withColumns({"verdict": X.validate_plate(F.col("plate"), F.col("kind")), "licence_clause": X.license_clause(F.col("licence")), "licence_open": X.redistributable(F.col("licence"))})
     return df.withColumn("is_background", (F.col("kind") == "other") & zero(F.col("bbox")) & zero(F.col("quad")))
 
 
@@ -94,7 +96,7 @@ def image_rules() -> list[Rule]:
 def plate_rules() -> list[Rule]:
     plate, kind = F.col("plate"), F.col("kind")
     text_type = kind.isin(*V.TEXT_TYPES)
-    verdict = X.validate_plate(plate, kind)
+    verdict = F.col("verdict")
     masked = F.instr(plate, V.HIDDEN) > 0
     fits = F.when(kind == "type1b", plate.rlike(X.MASKED["type1b"])).otherwise(plate.rlike(X.MASKED["type1"]))
     generated = F.coalesce(F.col("synthetic"), F.lit(False)) & (plate != "") & text_type
@@ -134,15 +136,14 @@ def tag_rules() -> list[Rule]:
 def provenance_rules(rejected: dict[str, str]) -> list[Rule]:
     """rejected: source to reason."""
     real = ~F.coalesce(F.col("synthetic"), F.lit(False))
-    source, licence = X.stripped(F.col("source")), X.stripped(F.col("license"))
-    clause = X.license_clause(licence)
-    out = [Rule(f"{c}_blank", WARNING, c, real & (X.stripped(F.col(c)) == ""), F.lit(f"{c} is blank for a real image")) for c in V.PROVENANCE_COLUMNS]
+    source, licence, clause = F.col("source_name"), F.col("licence"), F.col("licence_clause")
+    out = [Rule(f"{c}_blank", WARNING, c, real & (value == ""), F.lit(f"{c} is blank for a real image")) for c, value in zip(V.PROVENANCE_COLUMNS, (source, licence), strict=True)]
     if rejected:
         out.append(Rule("source_rejected", ERROR, "source", real & source.isin(*rejected), _said("source ", _quoted(source), " is rejected: ", F.try_element_at(X.lookup(rejected), source))))
     return [
         *out,
         Rule("license_barred", ERROR, "license", real & (licence != "") & clause.isNotNull(), _said("license ", _quoted(licence), " carries a ", clause, f" clause and cannot be redistributed as part of a {V.DATASET_LICENSE} dataset")),
-        Rule("license_unconfirmed", WARNING, "license", real & (licence != "") & clause.isNull() & ~X.redistributable(licence), _said("license ", _quoted(licence), " is not on the confirmed-redistributable list")),
+        Rule("license_unconfirmed", WARNING, "license", real & (licence != "") & clause.isNull() & ~F.col("licence_open"), _said("license ", _quoted(licence), " is not on the confirmed-redistributable list")),
     ]
 
 
@@ -182,18 +183,24 @@ def missing_files(meta: DataFrame, files: DataFrame, line: str = "line") -> Data
 
 
 def duplicate_findings(meta: DataFrame, line: str = "line") -> DataFrame:
-    """Later rows that repeat a row, a plate on one image, or a file name under another path; each told with the first line."""
-    cells = F.concat_ws("\x1f", *(X.stripped(F.col(c)) for c in V.META_COLUMNS))
+    """Later rows that repeat a row, a plate on one image, or a file name under another path; each told with the first line.
+
+    First places are aggregates of the keys that occur more than once, joined back, so that a blank name or path, however
+    common, is one row after each task's own aggregation.
+    """
+    cells = F.md5(F.concat_ws("\x1f", *(X.stripped(F.col(c)) for c in V.META_COLUMNS)))
     keyed = meta.select(F.col(line).alias("row"), cells.alias("__cells"), "image_path", "plate", X.path_name(F.col("image_path")).alias("__name"))
-    first = lambda *by: F.min("row").over(W.partitionBy(*by))
-    keyed = keyed.withColumn("__row0", first("__cells")).withColumn("__plate0", first("image_path", "plate"))
-    keyed = keyed.withColumn("__path0", F.min(F.struct("row", "image_path")).over(W.partitionBy("__name"))["image_path"])
-    rules = [
-        Rule("row_repeated", ERROR, None, F.col("row") > F.col("__row0"), _said("row is an exact duplicate of line ", F.col("__row0").cast("string"))),
-        Rule("plate_repeated", ERROR, None, F.col("row") > F.col("__plate0"), _said("plate ", _quoted(F.col("plate")), " is annotated twice on ", _quoted(F.col("image_path")), " (first at line ", F.col("__plate0").cast("string"), ")")),
-        Rule("name_reused", WARNING, "image", (F.col("__name") != "") & (F.col("__path0") != F.col("image_path")), _said("file name ", _quoted(F.col("__name")), " is used by two different paths")),
+    several = lambda *by: keyed.groupBy(*by).agg(F.min("row").alias("__first"), F.count("*").alias("__m")).filter("__m > 1").drop("__m")
+    paths = keyed.filter("__name <> ''").groupBy("__name").agg(F.min_by("image_path", "row").alias("__path0"), F.min("image_path").alias("__lo"), F.max("image_path").alias("__hi")).filter("__lo <> __hi").drop("__lo", "__hi")
+    line_of = F.col("__first").cast("string")
+    rule = lambda name, severity, column, when, message: [Rule(name, severity, column, when, message)]
+    later = F.col("row") > F.col("__first")
+    found = [
+        findings(keyed.join(several("__cells"), "__cells"), rule("row_repeated", ERROR, None, later, _said("row is an exact duplicate of line ", line_of)), F.col("row")),
+        findings(keyed.join(several("image_path", "plate"), ["image_path", "plate"]), rule("plate_repeated", ERROR, None, later, _said("plate ", _quoted(F.col("plate")), " is annotated twice on ", _quoted(F.col("image_path")), " (first at line ", line_of, ")")), F.col("row")),
+        findings(keyed.join(paths, "__name"), rule("name_reused", WARNING, "image", F.col("__path0") != F.col("image_path"), _said("file name ", _quoted(F.col("__name")), " is used by two different paths")), F.col("row")),
     ]
-    return findings(keyed, rules, F.col("row"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def ordered(found: DataFrame, severity: str) -> DataFrame:

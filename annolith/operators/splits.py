@@ -14,18 +14,24 @@ from ..session import staged
 def stratified_split(df: DataFrame, key: str, strata: list[str], seed: int = V.SPLIT_SEED, weights: dict[str, float] | None = None) -> DataFrame:
     """df with `split`: within each stratum by hash score, cut at the cumulative shares, half-even rounding.
 
-    A stratum's rows are ranked in one window; strata are as wide as the caller's
-    keys make them. Keys must be unique.
+    Rows are cut into ranges of (stratum, score) and ranked within a range; the rows of the ranges before it
+    come from the small table of ranges, so a stratum is shared by as many tasks as it has ranges. Keys must be unique.
     """
     weights = weights or V.SYNTHETIC_WEIGHTS
     total = sum(weights.values())
     first, second = (weights.get(s, 0.0) / total for s in V.SYNTHETIC_SPLITS[:2])
-    within = W.partitionBy(*strata).orderBy(hash_score(F.col(key), seed), F.col(key))
-    n = F.count("*").over(W.partitionBy(*strata))
+    names = [f"__s{k}" for k in range(len(strata))]
+    scored = df.withColumns({"__score": hash_score(F.col(key), seed), **{n: F.struct(c) for n, c in zip(names, strata, strict=True)}})
+    cut = ranges(scored, [*(F.col(n) for n in names), F.col("__score"), F.col(key)], "strata")
+    within = W.partitionBy(*names, "__part").orderBy("__score", key)
+    sizes = cut.groupBy(*names, "__part").agg(F.count("*").alias("__m"))
+    before = W.partitionBy(*names).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*names, "__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(W.partitionBy(*names)).alias("__n"))
+    placed = cut.withColumn("__rank", F.row_number().over(within) - 1).join(offsets, [*names, "__part"])
+    n, place = F.col("__n"), F.col("__before") + F.col("__rank")
     cut1 = F.least(F.bround(n * F.lit(first), 0), n)
     cut2 = F.greatest(cut1, F.least(F.bround(n * F.lit(first + second), 0), n))
-    place = F.row_number().over(within) - 1
-    return df.withColumn("split", F.when(place < cut1, V.SYNTHETIC_SPLITS[0]).when(place < cut2, V.SYNTHETIC_SPLITS[1]).otherwise(V.SYNTHETIC_SPLITS[2]))
+    return placed.select(*df.columns, F.when(place < cut1, V.SYNTHETIC_SPLITS[0]).when(place < cut2, V.SYNTHETIC_SPLITS[1]).otherwise(V.SYNTHETIC_SPLITS[2]).alias("split"))
 
 
 def group_split(group: Column, seed: int, weights: dict[str, float] | None = None) -> Column:

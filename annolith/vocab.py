@@ -23,6 +23,9 @@ REAL_PREFIX, SYNTHETIC_PREFIX = "images/real/", "images/synthetic/"
 HIDDEN = "#"
 QUAD_TOLERANCE = 0.25
 
+#: What parts words: the white space of Unicode and the four ASCII separators.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Licences.
 DATASET_LICENSE = "CC BY 4.0"
 REDISTRIBUTABLE = ("own work", "public domain", "cc0", "cc0 1.0", "cc by 1.0", "cc by 2.0", "cc by 2.5", "cc by 3.0", "cc by 4.0")

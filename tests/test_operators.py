@@ -126,7 +126,7 @@ def test_greedy_matching(spark):
         [(i, [(k, b) for k, b in enumerate(t)], [(k, s, b) for k, (b, s) in enumerate(p)]) for i, t, p in images],
         f"image int, truth array<struct<ordinal:int,box:{box}>>, predictions array<struct<ordinal:int,score:double,box:{box}>>",
     )
-    got = {r.image: [tuple(m) for m in r.m] for r in df.select("image", M.greedy_matches(F.col("truth"), F.col("predictions"), 0.3).alias("m")).collect()}
+    got = {r.image: [(m.t, m.p) for m in r.m] for r in M.matched_images(df.select("image", "truth"), df.select("image", "predictions"), "image", 0.3).withColumnRenamed("matches", "m").collect()}
     assert got == {i: greedy(t, p, 0.3) for i, t, p in images}
 
 
