@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import vocab as V
+
 
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))
@@ -125,5 +127,32 @@ def hex_colour(rgb: Column) -> Column:
     return F.lower(F.concat(F.lit("#"), *(F.lpad(F.hex(rgb[k]), 2, "0") for k in "rgb")))
 
 
+def yellowness(cb: Column, cr: Column) -> Column:
+    """How far a colour lies towards yellow: blue difference down, red difference up."""
+    return (V.NEUTRAL_CHROMA - cb) + (cr - V.NEUTRAL_CHROMA)
+
+
+def scaled_box(cx: Column, cy: Column, w: Column, h: Column, scale: float) -> Column:
+    """array(x1, y1, x2, y2) of a box in shares of the image, scaled about its centre and clipped."""
+    low = lambda c, d: F.greatest(F.lit(0.0), c - d * scale / 2)
+    high = lambda c, d: F.least(F.lit(1.0), c + d * scale / 2)
+    return F.array(low(cx, w), low(cy, h), high(cx, w), high(cy, h))
+
+
+def ring_value(outer: Column, inner: Column) -> Column:
+    """The mean of the ring between the inner share of a box and the scaled box around it, from the means of both."""
+    own, around = V.INNER_SHARE**2, V.RING_SCALE**2
+    return (outer * around - inner * own) / (around - own)
+
+
+def keypoint_line(b: Column, quad: Column, width: Column, height: Column) -> Column:
+    """`0 cx cy w h` and each corner as `x y 2`, in shares of the image, clipped, six decimals; NULL for a box outside it."""
+    six = lambda v: F.format_string("%.6f", F.bround(v, 6))
+    inside = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    points = F.transform(quad, lambda v, i: F.concat(six(inside(v / F.when(i % 2 == 0, width).otherwise(height))), F.when(i % 2 == 1, " 2").otherwise("")))
+    box_part = yolo_line(b, width, height, F.lit(0))
+    return F.when(box_part.isNotNull(), F.concat_ws(" ", box_part, F.array_join(points, " ")))
+
+
 def yellow_candidate(reliable: Column, y: Column, cb: Column, cr: Column, margin: Column) -> Column:
     return reliable & (y >= 55) & (cb <= 115) & (cr >= 133) & (margin >= 12)

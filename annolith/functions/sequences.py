@@ -31,3 +31,13 @@ def best_path(steps: Column, blank: int = 0) -> Column:
         return F.struct(out.alias("out"), s["code"].cast("int").alias("last"))
 
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+
+def gaps(boxes: Column, left: Column, right: Column) -> Column:
+    """array<struct(centre, width)> of the gaps before, between and after boxes struct(x1, x2) along a line, widest first, the leftmost on ties."""
+    sortd = F.array_sort(boxes)
+    starts = F.concat(F.transform(sortd, lambda b: b["x1"]), F.array(right))
+    ends = F.concat(F.array(left), F.transform(sortd, lambda b: b["x2"]))
+    placed = F.zip_with(ends, starts, lambda a, b: F.struct((a - b).alias("k"), ((a + b) / 2).alias("centre")))
+    order = F.array_sort(F.transform(placed, lambda g, i: F.struct(g["k"].alias("k"), i.alias("i"), g["centre"].alias("centre"))))
+    return F.transform(order, lambda g: F.struct(g["centre"].alias("centre"), (-g["k"]).alias("width")))

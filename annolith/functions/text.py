@@ -175,6 +175,12 @@ def validate_plate(c: Column, plate_type: Column | None = None) -> Column:
     return once(normal_plate(c), lambda plate: _verdict(plate, kind))
 
 
+def fits_type(plate: Column, plate_type: Column) -> Column:
+    """Whether a plate, as written, has the structure of its type; NULL for a type without one."""
+    short = _format_fault(plate, SHORT).isNull()
+    return F.when(plate_type.isin("type1", "type1a"), _format_fault(plate, STANDARD).isNull()).when(plate_type == "type1b", short)
+
+
 def trainable(plate: Column, plate_type: Column) -> Column:
     return (text_or_empty(plate) != "") & (F.instr(text_or_empty(plate), V.HIDDEN) == 0) & (plate_type != "other")
 

@@ -88,3 +88,47 @@ def samples_per_image(df: DataFrame, image: str, ordinal: str) -> DataFrame:
 
 def largest_group(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.max("n").alias("largest_group"))
+
+
+def resolutions(images: DataFrame, most: int = 10) -> DataFrame:
+    """(resolution, n, distinct) of the most common sizes of readable images, ties by text; distinct counts all sizes."""
+    sized = images.filter("width is not null and height is not null").groupBy(F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string")).alias("resolution")).agg(F.count("*").alias("n"))
+    return sized.orderBy(F.col("n").desc(), "resolution").limit(most).join(F.broadcast(sized.agg(F.count("*").alias("distinct"))))
+
+
+def span(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, min, median, max) of whole numbers, the median cut to a whole number."""
+    return df.groupBy(*(keys or [])).agg(F.min(value).alias("min"), F.floor(F.percentile(value, 0.5)).cast("long").alias("median"), F.max(value).alias("max"))
+
+
+def annotation_totals(labels: DataFrame) -> DataFrame:
+    """One row of labels (image, boxes array, problems array): boxes, and label files with a problem and the problems themselves."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return labels.agg(n(F.greatest(F.size("boxes"), F.lit(0))).alias("boxes"), n(F.size("problems") > 0).alias("invalid_files"), n(F.greatest(F.size("problems"), F.lit(0))).alias("problems"))
+
+
+def has_findings(counts: DataFrame) -> DataFrame:
+    """One row `found`: whether any of an audit's counts (name, n) is above 0."""
+    return counts.agg(F.coalesce(F.max(F.col("n") > 0), F.lit(False)).alias("found"))
+
+
+def sample_summary(samples: DataFrame) -> DataFrame:
+    """(metric, key, value): rows, images, plates that can be read, distinct plates, and rows by class, split and tag.
+
+    samples (image, plate_num, plate_type, split, tags). Distinct counts are counts of rows after a first aggregation.
+    """
+    from ..functions.text import trainable
+
+    def one(metric: str, key: Column | None = None, item: Column | None = None) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), (F.lit("") if key is None else key).alias("key"), (F.lit(None).cast("string") if item is None else item).alias("item"))
+
+    plate, kind = F.col("plate_num"), F.col("plate_type")
+    each = F.concat(
+        F.array(
+            one("rows"), one("images", None, F.col("image").cast("string")), one("by_class", kind), one("by_split", F.col("split")),
+            F.when(trainable(plate, kind), one("readable")), F.when(plate != "", one("plates", None, plate)),
+        ),
+        F.transform("tags", lambda t: one("by_tag", t)),
+    )
+    counted_items = samples.select(F.explode(F.filter(each, lambda c: c.isNotNull())).alias("c")).groupBy("c.metric", "c.key", "c.item").agg(F.count("*").alias("n"))
+    return counted_items.groupBy("metric", "key").agg(F.sum(F.when(F.col("item").isNull(), F.col("n")).otherwise(1)).alias("value"))

@@ -64,12 +64,12 @@ def postprocess(boxes: Column, size: float, scale_x: Column, scale_y: Column, sc
     ))
 
 
-def grouped_boxes(df: DataFrame, image: str, ordinal: Column, box: Column, score: Column | None = None, name: str = "boxes") -> DataFrame:
-    """One row per image: its boxes in order of their ordinals."""
+def grouped_boxes(df: DataFrame, image: str, ordinal: Column, box: Column, score: Column | None = None, name: str = "boxes", more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per image: its boxes in order of their ordinals, with the columns `more`. An image's boxes fit one row."""
     fields = [ordinal.cast("int").alias("ordinal"), box.alias("box")]
     if score is not None:
         fields.insert(1, score.cast("double").alias("score"))
-    return df.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    return df.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(*fields, *more))).alias(name))
 
 
 def paired(truth: DataFrame, predictions: DataFrame, image: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as X
 from ..vocab import IOU_LADDER, WILSON_Z
 from . import matching as M
 from .splits import ranges
@@ -161,6 +162,38 @@ def operating_point(truth: DataFrame, predictions: DataFrame, confidence: float,
     return sums.withColumn("r", rates(F.col("tp"), F.col("fp"), F.col("fn"))).select("tp", "fp", "fn", "images_with_fp", "r.precision", "r.recall", "r.f1")
 
 
+def end_to_end(truth: DataFrame, predictions: DataFrame, confidence: float = 0.0, threshold: float = 0.5, image: str = "image") -> DataFrame:
+    """(outcome, n) of every truth and every false detection: a plate that no detection meets is a failure, not an absence.
+
+    truth (image, truth array of ordinal, box, plate_num, plate_type), predictions (image, predictions array of ordinal, score, box,
+    plate_num, plate_type); detections below the confidence count for nothing.
+    """
+    kept = predictions.withColumn("predictions", F.filter("predictions", lambda p: p["score"] >= confidence))
+    m = M.matched_images(truth, kept, image, threshold)
+    at = lambda rows, ordinal: F.get(F.filter(rows, lambda r: r["ordinal"] == ordinal), F.lit(0))
+
+    def outcome(pair: Column) -> Column:
+        t, p = at(F.col("truth"), pair["t"]), at(F.col("predictions"), pair["p"])
+        type_ok, text_ok = t["plate_type"] == F.coalesce(p["plate_type"], F.lit("other")), t["plate_num"] == X.stripped(p["plate_num"])
+        unread = F.when(type_ok, "unreadable_label").otherwise("unreadable_label+type_wrong")
+        wrong = F.concat_ws("+", F.when(~text_ok, F.lit("string_wrong")), F.when(~type_ok, F.lit("type_wrong")))
+        return F.when(type_ok & text_ok, "correct").when(~X.trainable(t["plate_num"], t["plate_type"]), unread).otherwise(wrong)
+
+    missed, extra = F.size("truth") - F.size("matches"), F.size("predictions") - F.size("matches")
+    counted = F.concat(
+        F.transform("matches", lambda pair: F.struct(outcome(pair).alias("outcome"), F.lit(1).alias("n"))),
+        F.array(F.struct(F.lit("not_detected").alias("outcome"), missed.alias("n")), F.struct(F.lit("false_positive_detection").alias("outcome"), extra.alias("n"))),
+    )
+    return m.select(F.explode(counted).alias("c")).groupBy("c.outcome").agg(F.sum("c.n").alias("n")).filter("n > 0")
+
+
+def end_to_end_rate(outcomes: DataFrame) -> DataFrame:
+    """One row: correct plates of all plates, with the interval; false detections are no plates."""
+    plates = outcomes.filter("outcome <> 'false_positive_detection'")
+    sums = plates.agg(F.coalesce(F.sum(F.when(F.col("outcome") == "correct", F.col("n"))), F.lit(0)).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return sums.select(proportion(F.col("s"), F.col("n")).alias("p")).select("p.*")
+
+
 def recall_by(truth_rows: DataFrame, dimensions: dict[str, Column], tags: Column | None = None) -> DataFrame:
     """(dimension, value, found, total, recall and its interval); truth_rows has a boolean `found`."""
     each = exploded_dimensions(truth_rows, {"all": F.lit("all"), "width": G.width_bin(F.col("width")), **dimensions}, tags)

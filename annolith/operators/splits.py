@@ -142,6 +142,33 @@ def positions(df: DataFrame, order: str) -> DataFrame:
     return within.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("position", F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before")
 
 
+def stepped(df: DataFrame, order: str, n: int) -> DataFrame:
+    """Every step-th row of the order from its first, n at most, the step being the rows over n cut to a whole number."""
+    step = max(1, df.count() // n)
+    place = F.col("position")
+    return positions(df, order).filter((place % step == 0) & (place < n * step)).drop("position")
+
+
+def zipped(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Rows of both tables that stand at the same position of their orders, with `position`; what the longer one has left over goes."""
+    return positions(left, left_order).join(positions(right, right_order), "position")
+
+
+def training_pool(samples: DataFrame) -> DataFrame:
+    return samples.filter(F.col("split") == "synthetic:train")
+
+
+def grouped_items(meta: DataFrame, groups: DataFrame) -> DataFrame:
+    """(image, group, source, problem) a row an image of meta (line, image, source): its source is that of its first line.
+
+    groups (image, group); an image in none, or in one without a name, has a problem instead.
+    """
+    first = meta.groupBy("image").agg(F.min_by("source", "line").alias("source"))
+    known = groups.groupBy("image").agg(F.max("group").alias("group"))
+    joined = first.join(known, "image", "left").withColumn("group", F.when(F.col("group") != "", F.col("group")))
+    return joined.select("image", "group", "source", F.when(F.col("group").isNull(), F.concat(F.col("image").cast("string"), F.lit(" has no group"))).alias("problem"))
+
+
 def largest_remainder(df: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """(key, weight, share): whole shares of total by weight, the rest to the largest fractions, ties by key."""
     exact = F.lit(float(total)) * F.col(weight) / F.sum(weight).over(W.partitionBy())

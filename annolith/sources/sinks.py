@@ -29,7 +29,7 @@ def three_decimals(value: Column) -> Column:
 
 
 def _single(df: DataFrame, path: str, header: bool, delimiter: str = ";") -> None:
-    df.coalesce(1).write.mode("errorifexists").csv(path, sep=delimiter, header=header, lineSep="\n", quote='"', escape='"', emptyValue="", nullValue="")
+    df.coalesce(1).write.mode("errorifexists").csv(path, sep=delimiter, header=header, lineSep="\n", quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_submission(records: DataFrame, path: str, header: bool = False) -> int:

@@ -97,3 +97,32 @@ SPLIT_MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("image
 SYNTHETIC_MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("image", "split", "plate_type", "difficulty", "stratum")])
 CANDIDATE_MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in CANDIDATE_FIELDS])
 META = T.StructType([T.StructField(c, T.StringType()) for c in META_COLUMNS])
+
+# Review flags, reasons and limits.
+REVIEW_FLAGS = {
+    "renamed": "extension_mismatch",
+    "unreadable": "unreadable_image",
+    "empty": "no_annotation",
+    "several": "multiple_plates",
+    "wide": "one_line_shape",
+    "square": "square_or_two_line_candidate",
+    "between": "ambiguous_shape",
+    "tiny": "tiny_plate",
+    "small": "small_plate",
+    "edge": "plate_touches_edge",
+}
+WIDE_ASPECT, SQUARE_ASPECT = 3.2, 2.4
+TINY_WIDTH, SMALL_WIDTH = 30.0, 80.0
+ABSTAIN, PENDING = "needs_human_review", "pending"
+REASON_YELLOW, REASON_MOST_YELLOW = "yellow_plate_colour", "most_yellow_in_dataset"
+YELLOW_SHORTLIST = 40
+STRONG_YELLOWNESS = 45.0
+NEUTRAL_CHROMA = 128.0
+INNER_SHARE, RING_SCALE = 0.8, 2.2
+
+# Condition tags by measured strength.
+ANGLE_DEGREES, BLUR_PIXELS, DIRT_STRENGTH = 15.0, 3.0, 0.25
+
+# Discovery.
+LEAST_SIDE = 400
+ORIGINALS = "originals"
