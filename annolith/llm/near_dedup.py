@@ -6,7 +6,7 @@
 2. Each tree orders the representatives by its own DEPTH values. Neighbours
    with a common prefix of START values or more form a region; a region that
    holds too many is cut into parts, by the next values and at full depth by chunks.
-3. In a region, or in a part of one, the first unmatched class becomes a hub, and pairs of a hub and
+3. In a region, or in a part of one, the unmatched class nearest its centre becomes a hub, and pairs of a hub and
    a member whose signatures agree in FLOOR of all values are candidates:
    a line per member and hub, never all pairs. Candidates are confirmed on full sets.
 4. Where confirmed links leave a region's members in different components, the
@@ -174,19 +174,33 @@ def _alike(brief: np.ndarray, n: np.ndarray, k: int, others: np.ndarray) -> np.n
     return fits[(brief[fits] == brief[k]).sum(1) >= FLOOR] if len(fits) else fits
 
 
+def _central(brief: np.ndarray) -> np.ndarray:
+    """How many of each row's values are the most frequent ones of their places: near copies of one text agree most with that text."""
+    common = [np.bincount(column, minlength=256).argmax() for column in brief.T]
+    return (brief == np.asarray(common, np.uint8)).sum(1)
+
+
 def _stars(rep: np.ndarray, n: np.ndarray, brief: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(hub, member): the first unmatched class is the next hub and meets all others of the region."""
-    order = np.lexsort((n, rep))
+    """(hub, member): the most central unmatched class is the next hub and meets all others of the region.
+
+    A hub at the centre of its near copies leaves few of them to be hubs. Centres are sought anew each time that half of
+    those without a match are gone.
+    """
     free = np.ones(len(rep), bool)
-    for k in order:
-        if not free[k]:
-            continue
-        free[k] = False
-        others = np.flatnonzero(rep != rep[k])
-        near = _alike(brief, n, k, others)
-        free[near] = False
-        for j in near:
-            yield int(rep[k]), int(rep[j])
+    while len(left := np.flatnonzero(free)):
+        order = left[np.lexsort((rep[left], -_central(brief[left])))] if len(left) > 2 else left[np.argsort(rep[left])]
+        enough = len(left) // 2
+        for k in order:
+            if not free[k]:
+                continue
+            free[k] = False
+            others = np.flatnonzero(rep != rep[k])
+            near = _alike(brief, n, k, others)
+            free[near] = False
+            for j in near:
+                yield int(rep[k]), int(rep[j])
+            if len(near) and np.count_nonzero(free) <= enough:
+                break
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], cut: int | None = None) -> Iterator[tuple[int, list[tuple]]]:
@@ -399,9 +413,10 @@ def components(docs: DataFrame) -> DataFrame:
         .select("region", "part", "tree", "a", "b", F.coalesce("__comp_a", "a").alias("ca"), F.coalesce("__comp_b", "b").alias("cb"))
     )
     known = staged(known, "known")
-    open_regions = known.groupBy("region").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 1").select("region")
+    differing = known.groupBy("region").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 1").select("region")
+    open_regions = staged(differing, "open-regions")
     members = (
-        known.join(open_regions, "region").select("region", "part", "tree", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("ca").alias("comp"), F.lit(1).alias("hub")), F.struct(F.col("b").alias("rep"), F.col("cb").alias("comp"), F.lit(0).alias("hub")))).alias("x"))
+        known.join(small(open_regions, open_regions.count(), 16), "region").select("region", "part", "tree", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("ca").alias("comp"), F.lit(1).alias("hub")), F.struct(F.col("b").alias("rep"), F.col("cb").alias("comp"), F.lit(0).alias("hub")))).alias("x"))
         .groupBy("region", "part", "tree", "x.rep", "x.comp").agg(F.max("x.hub").alias("hub"))
     )
     members = staged(members, "open-members")
