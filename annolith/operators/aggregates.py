@@ -41,23 +41,48 @@ def dataset_stats(meta: DataFrame) -> DataFrame:
     return each.groupBy("metric", "key").agg(F.sum(F.when(F.col("item").isNull(), F.col("n")).otherwise(1)).alias("value"))
 
 
+def counted_places(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, value, __from, __to, __n): the places that each distinct value takes among its group's sorted values, and their number.
+
+    Values are counted, cut into ranges of (keys, value) and summed within a range; the small table of ranges carries the
+    sums on, so a group of very many distinct values is shared by as many tasks as it has ranges.
+    """
+    from .splits import ranges
+
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    cut = ranges(counts.withColumns({n: F.struct(k) for n, k in zip(names, keys, strict=True)}), [*(F.col(n) for n in names), F.col(value)], "counted-values")
+    within = W.partitionBy(*names, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*names).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = cut.groupBy(*names, "__part").agg(F.sum("__c").alias("__s"))
+    carried = sums.select(*names, "__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"), F.sum("__s").over(W.partitionBy(*names)).alias("__n"))
+    placed = cut.withColumn("__run", F.sum("__c").over(within)).join(carried, [*names, "__part"]).withColumn("__to", F.col("__before") + F.col("__run"))
+    return placed.select(*keys, value, (F.col("__to") - F.col("__c")).alias("__from"), "__to", "__n")
+
+
+def _median(places: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, median): the mean of the two middle values."""
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    at = lambda place: F.max(F.when((place >= F.col("__from")) & (place < F.col("__to")), F.col(value)))
+    both = places.groupBy(*keys).agg(at(low).alias("__a"), at(high).alias("__b"))
+    return both.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) / 2).alias("median"))
+
+
 def numeric_summary(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """(keys, column, min, median, mean, max): the median interpolated, the mean to one decimal."""
+    by = [*(keys or []), "column"]
     long = df.select(*(keys or []), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*(keys or []), "x.*")
-    return long.groupBy(*(keys or []), "column").agg(F.min("v").alias("min"), F.percentile("v", 0.5).alias("median"), F.bround(F.avg("v"), 1).alias("mean"), F.max("v").alias("max"))
+    sums = long.groupBy(*by).agg(F.min("v").alias("min"), F.bround(F.avg("v"), 1).alias("mean"), F.max("v").alias("max"))
+    middle = _median(counted_places(long, "v", by), "v", by).select(F.struct(*by).alias("__key"), "median")
+    # keys may be null, which structs of them are not
+    return sums.withColumn("__key", F.struct(*by)).join(middle, "__key", "left").select(*by, "min", "median", "mean", "max")
 
 
 def nearest_rank(df: DataFrame, value: str, shares: list[float], keys: list[str], index: str = "floor") -> DataFrame:
-    """(keys, share, value) at place floor(n * share), or round_half_even(share * (n - 1)), of the sorted values; exact.
-
-    Values are counted first, so that the places are found among distinct values and no list of all rows is made.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    by = W.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("__to", F.sum("__c").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(W.partitionBy(*keys)))
-    each = ranked.withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares))))
+    """(keys, share, value) at place floor(n * share), or round_half_even(share * (n - 1)), of the sorted values; exact."""
+    each = counted_places(df, value, keys).withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares))))
     place = F.least(F.col("__n") - 1, F.floor(F.col("__n") * F.col("share"))) if index == "floor" else F.bround(F.col("share") * (F.col("__n") - 1), 0)
-    return each.filter((place >= F.col("__to") - F.col("__c")) & (place < F.col("__to"))).select(*keys, "share", F.col(value).alias("value"))
+    return each.filter((place >= F.col("__from")) & (place < F.col("__to"))).select(*keys, "share", F.col(value).alias("value"))
 
 
 def upper_median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -79,7 +104,8 @@ def run_stats(records: DataFrame, stage_columns: list[str]) -> DataFrame:
     """(stage, mean, median, p95, n) of milliseconds by stage; p95 at the half-even place."""
     long = records.select(F.explode(F.array(*(F.struct(F.lit(c).alias("stage"), F.col(c).cast("double").alias("ms")) for c in stage_columns))).alias("x")).select("x.*")
     p95 = nearest_rank(long, "ms", [0.95], ["stage"], "round").select("stage", F.col("value").alias("p95"))
-    return long.groupBy("stage").agg(F.avg("ms").alias("mean"), F.percentile("ms", 0.5).alias("median"), F.count("ms").alias("n")).join(p95, "stage")
+    middle = _median(counted_places(long, "ms", ["stage"]), "ms", ["stage"])
+    return long.groupBy("stage").agg(F.avg("ms").alias("mean"), F.count("ms").alias("n")).join(middle, "stage").join(p95, "stage").select("stage", "mean", "median", "n", "p95")
 
 
 def samples_per_image(df: DataFrame, image: str, ordinal: str) -> DataFrame:

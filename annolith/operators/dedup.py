@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 
 def duplicate_groups(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, n, names): keys of more than one row. Names are collected for such keys only."""
+    """(key, n, names): keys of more than one row, with their names in one row each; duplicate_members() is for keys of very many rows."""
     several = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
     return df.join(several, key).groupBy(key, "n").agg(F.array_sort(F.collect_list(name)).alias("names"))
 
 
+def duplicate_members(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name, first) a row a name whose key has several rows, first being the smallest: the form for keys that a third of all rows may share."""
+    several = df.groupBy(key).agg(F.min(name).alias("first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    return df.join(several, key).select(key, F.col(name).alias("name"), "first")
+
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -53,13 +53,14 @@ def group_split(spark, sf):
 
 
 @query(f"""
-WITH frozen AS (SELECT o_orderkey AS image, o_custkey AS grp, {_edges(_score('o_custkey', 5))} AS split FROM orders WHERE o_orderkey % 2 = 0),
+WITH frozen AS (SELECT o_orderkey AS image, o_custkey AS grp, {_edges(_score('o_custkey', 5))} AS split FROM orders WHERE o_orderstatus <> 'O'),
 g AS (SELECT grp, max(split) AS gs FROM frozen GROUP BY grp)
 SELECT o.o_orderkey AS image, o.o_custkey AS "group", coalesce(f.split, g.gs, {_edges(_score('o.o_custkey', 23))}) AS split, f.image IS NOT NULL AS frozen
 FROM orders o LEFT JOIN frozen f ON f.image = o.o_orderkey LEFT JOIN g ON g.grp = o.o_custkey""")
 def frozen_split_growth(spark, sf):
-    items = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_custkey").alias("group"), F.lit("orders").alias("source"))
-    frozen = items.filter("image % 2 = 0").select("image", "group", S.group_split(F.col("group"), 5).alias("split"), "source", F.lit("day 1").alias("assigned_on"), F.lit("").alias("note"))
+    orders = I.table(spark, sf, "orders")
+    items = orders.select(F.col("o_orderkey").alias("image"), F.col("o_custkey").alias("group"), F.lit("orders").alias("source"))
+    frozen = items.join(orders.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("image")), "image", "left_semi").select("image", "group", S.group_split(F.col("group"), 5).alias("split"), "source", F.lit("day 1").alias("assigned_on"), F.lit("").alias("note"))
     grown = S.grow_manifest(items, frozen, 23, assigned_on="day 2")
     return grown.select("image", "group", "split", (F.col("assigned_on") == "day 1").alias("frozen"))
 
@@ -114,14 +115,14 @@ def keep_last(spark, sf):
     return D.keep_last(I.table(spark, sf, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT 'unassigned' AS state, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'stale', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3) AND FALSE")
+@query("SELECT 'unassigned' AS state, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'stale', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def coverage_unlabelled(spark, sf):
     return C.coverage(I.table(spark, sf, "documents"), I.table(spark, sf, "labels"), "doc_id")
 
 
-@query("SELECT 'stale' AS state, doc_id FROM labels WHERE doc_id % 10 = 3")
+@query("SELECT 'stale' AS state, doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def coverage_orphan(spark, sf):
-    docs = I.table(spark, sf, "documents").filter("doc_id % 10 <> 3")
+    docs = I.table(spark, sf, "documents").filter("lang = 'en'")
     return C.coverage(docs, I.table(spark, sf, "labels"), "doc_id").filter("state = 'stale'")
 
 
@@ -131,21 +132,21 @@ def coverage_overlap(spark, sf):
 
 
 @query("""
-WITH syn AS (SELECT doc_id AS image, lang AS split FROM documents WHERE doc_id % 3 <> 0), re AS (SELECT doc_id AS image, source AS grp, lang AS split FROM documents WHERE doc_id % 5 = 0),
-m AS (SELECT doc_id AS image, sha256(text) AS plate FROM documents WHERE doc_id % 7 <> 0),
+WITH d AS (SELECT doc_id AS image, lang, source, substr(text, 1, 12) AS plate, sha256(text) AS h, n_chars FROM documents),
+syn AS (SELECT image, lang AS split FROM d WHERE image IN (SELECT doc_id FROM labels)), re AS (SELECT image, source AS grp, lang AS split FROM d WHERE image IN (SELECT page_id FROM pages)), m AS (SELECT image, plate, h FROM d WHERE n_chars > 200),
 comb AS (SELECT image, 'real:' || split AS split FROM re UNION ALL SELECT image, 'synthetic:' || split FROM syn WHERE image NOT IN (SELECT image FROM re))
 SELECT 'in_both' AS "check", count(*) AS n FROM (SELECT image FROM syn INTERSECT SELECT image FROM re)
 UNION ALL SELECT 'unassigned', count(*) FROM m WHERE image NOT IN (SELECT image FROM comb)
 UNION ALL SELECT 'stale', count(*) FROM comb WHERE image NOT IN (SELECT image FROM m)
-UNION ALL SELECT 'plate_spans', count(*) FROM (SELECT plate FROM comb JOIN m USING (image) GROUP BY plate HAVING count(DISTINCT split) > 1)
-UNION ALL SELECT 'group_spans', count(*) FROM (SELECT grp FROM re GROUP BY grp HAVING count(DISTINCT split) > 1)
-UNION ALL SELECT 'hash_spans', count(*) FROM (SELECT plate FROM comb JOIN m USING (image) GROUP BY plate HAVING count(DISTINCT split) > 1)""")
+UNION ALL SELECT 'plate_spans', count(*) FROM (SELECT trim(plate, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM comb JOIN m USING (image) GROUP BY 1 HAVING count(DISTINCT split) > 1 AND p <> '')
+UNION ALL SELECT 'group_spans', count(*) FROM (SELECT grp FROM re WHERE grp IS NOT NULL GROUP BY grp HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'hash_spans', count(*) FROM (SELECT h FROM comb JOIN d USING (image) WHERE h IS NOT NULL GROUP BY h HAVING count(DISTINCT split) > 1)""")
 def split_audit(spark, sf):
-    docs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("image"), "lang", "source", F.sha2("text", 256).alias("sha256"))
-    synthetic = docs.filter("image % 3 <> 0").select("image", F.col("lang").alias("split"))
-    real = docs.filter("image % 5 = 0").select("image", F.col("source").alias("group"), F.col("lang").alias("split"))
-    meta = docs.filter("image % 7 <> 0").select("image", F.col("sha256").alias("plate_num"), "sha256")
-    return C.split_audit(synthetic, real, meta, meta.select("image", "sha256"))
+    docs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("image"), "lang", "source", F.substring("text", 1, 12).alias("plate_num"), F.sha2("text", 256).alias("sha256"), "n_chars")
+    named = lambda table, key: I.table(spark, sf, table).select(F.col(key).alias("image")).distinct()
+    synthetic = docs.join(named("labels", "doc_id"), "image", "left_semi").select("image", F.col("lang").alias("split"))
+    real = docs.join(named("pages", "page_id"), "image", "left_semi").select("image", F.col("source").alias("group"), F.col("lang").alias("split"))
+    return C.split_audit(synthetic, real, docs.filter("n_chars > 200").select("image", "plate_num"), docs.select("image", "sha256"))
 
 
 _Z_SQL = """
@@ -174,10 +175,10 @@ def promotable_images(spark, sf):
     return C.promotable(docs, named(labels.filter("quality = 1"), "doc_id"), named(labels.filter("toxic = 0"), "doc_id"), named(I.table(spark, sf, "pages"), "page_id"))
 
 
-@query("SELECT doc_id, FALSE AS clash FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, doc_id % 2 = 0 FROM labels")
+@query("SELECT doc_id, FALSE AS clash FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') FROM labels")
 def clash_free_union(spark, sf):
-    docs = I.table(spark, sf, "documents").select("doc_id")
-    return C.clash_free_union(docs.filter("doc_id % 2 = 0"), I.table(spark, sf, "labels").select("doc_id"), "doc_id")
+    docs = I.table(spark, sf, "documents").filter("lang = 'en'").select("doc_id")
+    return C.clash_free_union(docs, I.table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
 @query("""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN ['long'] WHEN b.path IS NULL THEN ['english'] ELSE ['english', 'long'] END AS reasons, b.n_chars AS colour
@@ -224,6 +225,11 @@ def counts_ordered(spark, sf):
     return A.counted(I.table(spark, sf, "documents"), F.col("source"))
 
 
+@query("SELECT h AS sha256, doc_id AS name, min(doc_id) OVER (PARTITION BY h) AS first FROM (SELECT doc_id, sha256(text) AS h, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
+def duplicate_members(spark, sf):
+    return D.duplicate_members(I.table(spark, sf, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256")), "sha256", "doc_id")
+
+
 @query("SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
 def duplicates_having(spark, sf):
     return D.duplicate_keys(I.table(spark, sf, "documents").select("text"), "text")

@@ -47,6 +47,14 @@ WHEN {k} IN ('type1', 'type1a') OR ({k} NOT IN ('type1', 'type1a', 'type1b') AND
 ELSE regexp_full_match({p}, '{_SHORT}') AND length({p}) = 7 AND NOT ({_REGION(p, 6)}) END"""
 )
 
+_AS_STANDARD = f"(k IN ('type1', 'type1a') OR (k <> 'type1b' AND NOT (regexp_full_match(p, '{_SHORT}') AND NOT regexp_full_match(p, '{_STD}'))))"
+_WHY = (  # region r
+    lambda r: f"""CASE WHEN length({r}) = 3 AND substr({r}, 1, 1) NOT IN ('1', '2', '7') THEN '3-digit region ''' || {r} || ''' must start with 1, 2 or 7'
+WHEN regexp_full_match({r}, '0+') THEN 'region ''' || {r} || ''' is not assigned' END"""
+)
+_REASON = f"""CASE WHEN p = '' THEN 'empty text' WHEN {_AS_STANDARD} THEN CASE WHEN NOT regexp_full_match(p, '{_STD}') THEN 'does not match [LETTER][3 DIGITS][2 LETTERS][REGION]' ELSE {_WHY('substr(p, 7)')} END
+WHEN NOT regexp_full_match(p, '{_SHORT}') THEN 'does not match [2 LETTERS][3 DIGITS][REGION]' WHEN length(p) <> 7 THEN 'type1b region ''' || substr(p, 6) || ''' must have 2 digits' ELSE {_WHY('substr(p, 6)')} END"""
+
 _TYPED = f"""
 m AS ({I.META_SQL}),
 b AS (SELECT *, trim(image) AS image_path, trim(plate_num) AS plate, trim(plate_type) AS kind, {_BOOL('is_synthetic')} AS synthetic, {_TAGS('conditions')} AS tags,
@@ -138,10 +146,10 @@ def plate_normalise(spark, sf):
     return I.table(spark, sf, "orders").selectExpr("o_orderkey", f"{I.PLATE} AS p").select("o_orderkey", X.normal_plate(F.col("p")).alias("normal"))
 
 
-@query(f"WITH p AS (SELECT o_orderkey, {_PLATE(I.PLATE)} AS p, {I.PLATE_TYPE} AS k FROM orders) SELECT o_orderkey, {_VALID('p', 'k')} AS is_valid, p AS normalized FROM p")
+@query(f"WITH p AS (SELECT o_orderkey, {_PLATE(I.PLATE)} AS p, {I.PLATE_TYPE} AS k FROM orders) SELECT o_orderkey, {_VALID('p', 'k')} AS is_valid, p AS normalized, coalesce({_REASON}, '') AS reason, CASE WHEN {_REASON} IS NULL THEN CASE WHEN {_AS_STANDARD} THEN 'type1' ELSE 'type1b' END ELSE '' END AS format FROM p")
 def plate_validate(spark, sf):
     rows = I.table(spark, sf, "orders").selectExpr("o_orderkey", f"{I.PLATE} AS p", f"{I.PLATE_TYPE} AS k")
-    return rows.withColumn("v", X.validate_plate(F.col("p"), F.col("k"))).select("o_orderkey", "v.is_valid", "v.normalized")
+    return rows.withColumn("v", X.validate_plate(F.col("p"), F.col("k"))).select("o_orderkey", "v.is_valid", "v.normalized", "v.reason", "v.format")
 
 
 _CELLS = "case cast(event_id % 12 as int) when 0 then ' 12,5 ' when 1 then 'nan' when 2 then '1_000' when 3 then '1.5d' when 4 then '-.5e3' when 5 then '' when 6 then '1e999' when 7 then 'Infinity' when 8 then '7.' when 9 then '1__0' when 10 then cast(value as varchar(30)) else 'Yes' end"
@@ -260,10 +268,12 @@ def detection_ladder(spark, sf):
     return T.detection_report(truth, predictions).withColumn("ap", F.round("ap", 9))
 
 
-@query(f"WITH RECURSIVE {_MATCH} SELECT count(*) FILTER (t IS NOT NULL) AS tp, count(*) FILTER (rank > 0 AND t IS NULL) AS fp, (SELECT count(*) FROM b) - count(*) FILTER (t IS NOT NULL) AS fn FROM w")
+@query(f"""WITH RECURSIVE {_MATCH} SELECT count(*) FILTER (t IS NOT NULL) AS tp, count(*) FILTER (rank > 0 AND t IS NULL) AS fp, (SELECT count(*) FROM b) - count(*) FILTER (t IS NOT NULL) AS fn, count(DISTINCT image) FILTER (rank > 0 AND t IS NULL) AS images_with_fp,
+round(count(*) FILTER (t IS NOT NULL) / count(*) FILTER (rank > 0), 9) AS precision, round(count(*) FILTER (t IS NOT NULL) / (SELECT count(*) FROM b), 9) AS recall, round(2 * count(*) FILTER (t IS NOT NULL) / (count(*) FILTER (rank > 0) + (SELECT count(*) FROM b)), 9) AS f1 FROM w""")
 def operating_point(spark, sf):
     truth, predictions = _images(spark, sf)
-    return T.operating_point(truth, predictions, 0.0).select("tp", "fp", "fn")
+    rates = (F.round(c, 9).alias(c) for c in ("precision", "recall", "f1"))
+    return T.operating_point(truth, predictions, 0.0).select("tp", "fp", "fn", "images_with_fp", *rates)
 
 
 _WILSON = """(p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) {sign} 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)"""
@@ -352,10 +362,14 @@ def width_bins(spark, sf):
     return A.counted(I.table(spark, sf, "lineitem"), G.width_bin(F.col("l_quantity") * 4).alias("width"), G.height_bin(F.col("l_quantity")).alias("height"))
 
 
-@query("SELECT 'all' AS dimension, 'all' AS value, count(*) FILTER (l_discount > 0.05) AS found, count(*) AS total FROM lineitem UNION ALL SELECT 'width', CASE WHEN l_quantity * 4 < 80 THEN '<80px' WHEN l_quantity * 4 < 150 THEN '80-150px' ELSE '>=150px' END, count(*) FILTER (l_discount > 0.05), count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'flag', l_returnflag, count(*) FILTER (l_discount > 0.05), count(*) FROM lineitem GROUP BY 2")
+_WIDTH = "CASE WHEN l_quantity * 4 < 80 THEN '<80px' WHEN l_quantity * 4 < 150 THEN '80-150px' ELSE '>=150px' END"
+_FOUND_BY = " UNION ALL ".join(f"SELECT {d} AS dimension, {v} AS value, count(*) FILTER (l_discount > 0.05) AS found, count(*) AS total FROM lineitem GROUP BY 2" for d, v in (("'all'", "'all'"), ("'width'", _WIDTH), ("'flag'", "l_returnflag")))
+
+
+@query(f"WITH g AS ({_FOUND_BY}), p AS (SELECT *, total::double AS n, found / total AS p FROM g) SELECT dimension, value, found, total, p AS recall, round_even(greatest(0.0, {_WILSON.format(sign='-')}), 4) AS low, round_even(least(1.0, {_WILSON.format(sign='+')}), 4) AS high FROM p")
 def recall_by(spark, sf):
     rows = I.table(spark, sf, "lineitem").select((F.col("l_discount") > 0.05).alias("found"), (F.col("l_quantity") * 4).alias("width"), "l_returnflag")
-    return T.recall_by(rows, {"flag": F.col("l_returnflag")}).select("dimension", "value", "found", "total")
+    return T.recall_by(rows, {"flag": F.col("l_returnflag")})
 
 
 @query("SELECT user_id, event_id AS best_epoch FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(value, 0) DESC, event_id % 3, event_id) AS r FROM events) WHERE r = 1")
@@ -364,9 +378,10 @@ def selection_key(spark, sf):
     return T.best_epoch(log, ["user_id"], "value", "cer", "event_id")
 
 
-@query("WITH w AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT user_id, event_id, b IS NULL OR value > b AS improved FROM w")
+@query("""WITH w AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best_so_far FROM events),
+i AS (SELECT *, b IS NULL OR value > b AS improved FROM w) SELECT user_id, event_id, improved, best_so_far, event_id - max(CASE WHEN improved THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS stale FROM i""")
 def early_stop_scan(spark, sf):
-    return T.improvements(I.table(spark, sf, "events").select("user_id", "event_id", "value"), "value", "event_id", ["user_id"]).select("user_id", "event_id", "improved")
+    return T.improvements(I.table(spark, sf, "events").select("user_id", "event_id", "value"), "value", "event_id", ["user_id"]).select("user_id", "event_id", "improved", "best_so_far", "stale")
 
 
 @query("SELECT round(max(abs(l_tax - l_discount)), 9) AS max_difference, round(avg((abs(l_tax - l_discount) <= 1e-4)::int), 9) AS match_rate, count(*) AS n FROM lineitem")
