@@ -3,8 +3,9 @@
 Unigrams and bigrams are hashed into counters, once over the trusted target (all
 documents that `labels` marks as good) and once over the whole raw corpus. The
 number of counters grows with the square root of the corpus' bytes. A document's score
-is the mean over its n-grams of ln(p_target / p_raw), both multinomials
-smoothed; it is kept if its base rules hold and the score reaches THRESHOLD.
+is the mean over its n-grams of ln(p_target / p_raw), both multinomials smoothed in the same
+proportion and the raw count less the document's own n-gram; so what a document alone says
+is no evidence for or against it. It is kept if its base rules hold and the score reaches THRESHOLD.
 
 Words are exploded within the scan and summed by row before anything is shuffled, so hashing, lookup
 and sums are compiled code and a document travels as one row of numbers. Up to IN_ARRAY counters
@@ -31,7 +32,7 @@ PER_ROOT_BYTE = 16
 IN_ARRAY = 1 << 24
 #: Counters of a part of that array that is put together at once.
 CHUNK = 4096
-#: Added to every counter.
+#: Added to every counter of the target, and as much in proportion to every raw one.
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of an n-gram.
 THRESHOLD = -0.25
@@ -81,8 +82,9 @@ def _with_ratios(counters: DataFrame, buckets: int, every: bool) -> DataFrame:
     tg, tr = counters.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first()
     if every:
         counters = counters.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counters, "bucket", "left")
-    share = lambda n, total: F.log((F.coalesce(n, F.lit(0)) + F.lit(SMOOTHING)) / F.lit(total + SMOOTHING * buckets))
-    ratio = share("good", tg) - share("raw", tr) if tg else F.lit(0.0)
+    # (good + a) / (tg + a B) over (raw - 1 + a tr / tg) / (tr + a B tr / tg): the totals cancel out
+    others = F.greatest(F.coalesce(F.col("raw"), F.lit(0)) - 1, F.lit(0))
+    ratio = F.log((F.coalesce("good", F.lit(0)) + F.lit(SMOOTHING)) / (others * F.lit(tg / tr) + F.lit(SMOOTHING))) if tg else F.lit(0.0)
     return counters.select("bucket", ratio.cast("float").alias("ratio"))
 
 
@@ -116,8 +118,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     """docs with __w, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; all of it inside one scan, no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = _with_words(docs)
-    # windows are zipped first, so that the lambda holds nothing but their hash
-    shifted = [F.slice("__w", F.lit(k + 1), F.greatest(F.col("__n") - WINDOW + 1, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
+    # A window is the hash of its words' hashes; they are zipped first, so that the lambdas hold nothing but a hash.
+    df = df.withColumn("__v", F.transform("__w", lambda x: F.xxhash64(x)))
+    shifted = [F.slice("__v", F.lit(k + 1), F.greatest(F.col("__n") - WINDOW + 1, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
     hashes = F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(x))
     df = df.withColumn("__h", F.when(F.col("__n") > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
     # Only documents with an equal pair of windows are sorted; each array is a column of its own so that no lambda recomputes it.
@@ -137,7 +140,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": F.when(F.size("__p") > 0, covered).otherwise(F.lit(0)).cast("long"),
-    }).drop("__h", "__s", "__p", "__lines")
+    }).drop("__v", "__h", "__s", "__p", "__lines")
 
 
 def _scored(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int | None, *keys: str) -> DataFrame:

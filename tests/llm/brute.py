@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -110,3 +111,53 @@ def leaks(docs, items):
         if d is not None:
             union[d] |= grams(WORD.findall((t or "").lower()))
     return {(d, i) for d, s in union.items() for i, w in low if i is not None and (g := grams(w)) and len(g & s) >= 0.75 * len(g) - 1e-9}
+
+
+def hashed(seed, *words):
+    """xxhash64 of strings in a row, as a signed number."""
+    import xxhash
+
+    for w in words:
+        seed = xxhash.xxh64(w.encode(), seed & (1 << 64) - 1).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def llr(rows, good_ids, buckets, threshold):
+    """(score to 5 digits, kept) of every row."""
+    grams = []
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        grams.append((d in good_ids and d is not None, [hashed(42, x) % buckets for x in w] + [hashed(42, a, b) % buckets for a, b in zip(w, w[1:], strict=False)]))
+    raw, good = Counter(b for _, g in grams for b in g), Counter(b for mine, g in grams for b in g if mine)
+    tr, tg = sum(raw.values()), sum(good.values())
+    ratio = lambda b: math.log((good[b] + 1) / (max(raw[b] - 1, 0) * tg / tr + 1)) if tg else 0.0
+    out = []
+    for (_, t), (_, g) in zip(rows, grams, strict=True):
+        score = sum(map(ratio, g)) / len(g) if g else 0.0
+        out.append((score, not quality(t)[-1] and score >= threshold))
+    return out
+
+
+def disclosed(rows, disclosure=0.9, evidence=2):
+    """Terms that tell enough of an entity, from counts over documents."""
+    holds, terms = [], []
+    for _, t in rows:
+        t = t or ""
+        holds.append({f"{k}:{t[a:b]}" for k, a, b in pii_spans(t)})
+        bare = re.sub(PII["email"], " ", t)
+        terms.append({x.lower() for x in re.findall(r"[^\W\d_]+", bare) if len(x) >= 4})
+    n, n_e, n_t = len(rows), Counter(e for h in holds for e in h), Counter(x for ts in terms for x in ts)
+    both = Counter((e, x) for h, ts in zip(holds, terms, strict=True) for e in h for x in ts)
+    found = set()
+    for (e, x), k in both.items():
+        content = -math.log2(n_e[e] / n)
+        if k >= evidence and content > 0 and math.log2(n * k / (n_t[x] * n_e[e])) / content >= disclosure:
+            found.add(x)
+    return found
+
+
+def term_spans(text, told):
+    """Places of told terms outside emails."""
+    text = text or ""
+    mails = [(a, b) for k, a, b in pii_spans(text) if k == "email"]
+    return [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in told and not any(m.start() < b and m.end() > a for a, b in mails)]

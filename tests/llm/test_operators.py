@@ -239,6 +239,28 @@ def test_quality_model(spark):
     assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(got.doc_id, got.held_out, strict=True))
 
 
+def test_compiled_score_is_the_fitted_one(spark):
+    """The column against the rules and weights it was compiled from, and the lasso against its optimality conditions."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    x = draw.random((500, len(quality_model.FEATURES))).round(3)
+    y = ((x[:, 1] > 0.5) & (x[:, 3] < 0.7)).astype(float)
+    model = quality_model.fit(x, y)
+    names = list(quality_model.FEATURES)
+    total = np.full(len(x), model.bias)
+    for rule, weight in zip(model.rules, model.weights, strict=True):
+        total += weight * np.logical_and.reduce([(x[:, names.index(f)] > cut) == above for f, above, cut in rule])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names)).withColumn("i", F.monotonically_increasing_id())
+    got = [r.s for r in df.withColumn("s", quality_model.compiled(model)).orderBy("i").collect()]
+    assert got == pytest.approx(list(1 / (1 + np.exp(-total)))) and model.rules and ((np.array(got) > 0.5) == (y == 1)).mean() > 0.97
+    r = (draw.random((300, 6)) > 0.5).astype(float)
+    label = (r[:, 0] + draw.random(300) > 0.8).astype(float)
+    w, b = quality_model._lasso(r, label, 0.01, steps=4000)
+    slope = r.T @ (1 / (1 + np.exp(-(r @ w + b))) - label) / 300
+    assert all(abs(g + 0.01 * np.sign(v)) < 1e-4 if abs(v) > 1e-6 else abs(g) <= 0.01 + 1e-4 for g, v in zip(slope, w, strict=True)) and np.count_nonzero(np.abs(w) > 1e-6) < 6
+
+
 def test_quality_model_of_odd_rows(docs, rows, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_model.score(docs, none).collect()
@@ -306,6 +328,24 @@ def test_pii_terms_that_disclose(spark):
     assert got[3].spans == got[4].spans == got[5].spans == "" and got[6].n_term == 0
 
 
+def test_pii_terms_against_counts(spark):
+    """Random corpora with entities and terms of every frequency."""
+    draw, words = random.Random(12), [f"term{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    mails = [f"u{k}@mail.org" for k in range(25)]
+    rows = []
+    for i in range(260):
+        topic = draw.randrange(25)
+        own = draw.sample(words[topic * 12 : topic * 12 + 12], 4)
+        parts = own + draw.choices(words, k=1) + ["ordinary", "Words"] * 3 + ([mails[topic]] if draw.random() < 0.3 else [])
+        draw.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    told = brute.disclosed(rows)
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        assert sorted(s for s in got[d].split(",") if s.startswith("term:")) == sorted(f"term:{a}:{b}" for a, b in brute.term_spans(text, told))
+    assert told and "ordinary" not in told
+
+
 def test_pii_terms_far_from_entities(spark):
     """At both ends of a text, far from the entity, and in a text without any."""
     far = "plain filler words " * 20
@@ -459,6 +499,40 @@ def test_quality_counts_on_lines(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(texts[r.doc_id])
 
 
+@pytest.mark.parametrize("in_array", [1 << 24, 1])
+def test_quality_scores_and_verdicts(spark, docs, rows, monkeypatch, in_array):
+    """Whether the ratios travel as one array or are joined."""
+    pytest.importorskip("xxhash")
+    monkeypatch.setattr(quality_rules, "IN_ARRAY", in_array)
+    good = {d for d, _ in rows if d is not None and d < 40}
+    labels = spark.createDataFrame([(d, 1) for d in good] + [(41, 0)], "doc_id long, quality int")
+    expected = brute.llr(rows, good, 1 << 12, -0.1)
+    got = {(r.doc_id, r.n_words, r.n_symbols, round(r.llr, 4), r.kept) for r in quality_rules.judge(docs, labels, -0.1, 1 << 12).collect()}
+    want = {(d, *brute.quality(t)[:1], brute.quality(t)[2], round(score, 4), kept) for (d, t), (score, kept) in zip(rows, expected, strict=True)}
+    assert {x[:3] for x in got} == {x[:3] for x in want} and {(*x[:3], x[4]) for x in got} == {(*x[:3], x[4]) for x in want}
+    near = lambda s: sorted((str(x[0]), x[1], x[3]) for x in s)
+    assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-4) for a, b in zip(near(got), near(want), strict=True))
+    assert len({kept for _, kept in expected}) == 2
+    kept = quality_rules.keep_good(docs, labels, -0.1, 1 << 12)
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(row) for row, (_, k) in zip(rows, expected, strict=True) if k)
+
+
+def test_counters_grow_with_the_corpus(spark):
+    of = lambda n: quality_rules.counters_for(spark.range(n).select(F.repeat(F.lit("x"), 1 << 20).alias("text")))
+    assert [of(0), of(1), of(32), of(128)] == [1 << 16, 1 << 16, 1 << 17, 1 << 18]
+
+
+def test_clean_unlabelled_documents_stay(spark):
+    """A clean half of the corpus without labels is kept beside labelled clean and junk halves."""
+    draw = random.Random(4)
+    prose = lambda: " ".join(draw.choice(["the", "of", "and", f"noun{draw.randrange(400)}", f"verb{draw.randrange(200)}"]) for _ in range(80))
+    junk = lambda: " ".join(draw.choice(["BUY", "NOW!!", "###", f"x{draw.randrange(50)}|"]) for _ in range(80))
+    rows = [(i, prose() if i % 3 else junk()) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect() if r.kept}
+    assert {i for i in range(600) if i % 3} - kept == set() and not any(i % 3 == 0 for i in kept)
+
+
 def test_log_ratios(spark):
     """The ratios against counts taken by hand."""
     import math
@@ -473,7 +547,7 @@ def test_log_ratios(spark):
         for g in [(x,) for x in w] + list(zip(w, w[1:], strict=False)):
             raw[hashed[g]] += 1
             good[hashed[g]] += mine
-    expected = [math.log((g + 1) / (sum(good) + 64)) - math.log((r + 1) / (sum(raw) + 64)) for g, r in zip(good, raw, strict=True)]
+    expected = [math.log((g + 1) / (max(r - 1, 0) * sum(good) / sum(raw) + 1)) for g, r in zip(good, raw, strict=True)]
     assert ratios == pytest.approx(expected)
 
 
@@ -481,7 +555,8 @@ def test_log_ratios_count_every_trusted_document(spark):
     """A target that is the whole corpus has the corpus' own shares, however many documents it holds."""
     docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
     ratios = quality_rules.log_ratios(docs, docs.select("doc_id", F.lit(1).alias("quality")), buckets=64).first().ratios
-    assert ratios == [0.0] * 64
+    # but for the document's own n-gram
+    assert len(ratios) == 64 and all(0 < r < 0.01 for r in ratios)
 
 
 def test_decontamination(spark, docs, rows):
