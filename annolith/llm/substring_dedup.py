@@ -14,6 +14,11 @@ packed string travels once, for the smallest doc_id that holds it, as the
 larger ones are decided on the spot. A bucket receives at most one copy of a
 string from every flush.
 
+Hot minimisers are split: those that a sample of documents shows to fill a bucket of their own are
+replaced by the hash of each window, so that their windows travel alone, to buckets of their own; and a task remembers
+such windows between flushes and sends one again only for a smaller doc_id. The sample decides
+where windows meet, never which are equal.
+
 Edge cases: null and blank texts have no words and the hash of the empty
 string; documents below 13 words lose nothing; rows of equal doc_id never
 remove each other's words, and are told apart by their text; a null doc_id
@@ -42,7 +47,12 @@ GRAM = 3
 FLUSH = 5 << 20
 #: Buckets a shuffle partition: the rows that a worker sorts at once shrink with it.
 BUCKETS_EACH = 16
-NULL_ID = np.iinfo(np.int64).max
+#: Documents, about, from which hot minimisers are told, and the share of a bucket's mean load above which one is hot.
+SAMPLED, HOT = 20_000, 0.5
+#: Distinct hot windows that a task remembers before it starts afresh.
+REMEMBERED = 200_000
+NULL_ID = int(np.iinfo(np.int64).max)
+NONE = np.empty(0, np.uint64)
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 PACKED = "bucket int, kind int, doc_id long, n_words long, blob binary"
@@ -76,22 +86,33 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flags)
 
 
-def pack(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int) -> tuple[dict[int, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(texts: list[bytes], hot: np.ndarray) -> tuple[bytes, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one buffer, its words, the places where each text's words end, each word's text, and by window its key and whether that is hot."""
+    buffer = b"\n".join(texts) + b"\n"
+    w = Words(buffer)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    word_ends = np.searchsorted(w.start, ends, "left")
+    doc = np.repeat(np.arange(len(texts)), np.diff(word_ends, prepend=0))
+    if len(doc) < WINDOW:
+        return buffer, w, word_ends, doc, np.empty(0, np.uint64), np.empty(0, bool)
+    least = sliding_min(grams(w.hash, GRAM), WINDOW - GRAM + 1)
+    is_hot = np.isin(least, hot) if len(hot) else np.zeros(len(least), bool)
+    if is_hot.any():
+        least = np.where(is_hot, grams(w.hash, WINDOW), least)
+    return buffer, w, word_ends, doc, least, is_hot
+
+
+def pack(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int, hot: np.ndarray = NONE, known: dict[bytes, int] | None = None) -> tuple[dict[int, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blobs of super-k-mers by bucket, and the places (row key, first word, end word) that are decided already.
 
     Texts have single spaces between words. keys is ids unless ids repeat.
     """
     order = np.argsort(ids, kind="stable")
-    buffer = b"\n".join(texts[k] for k in order) + b"\n"
-    w = Words(buffer)
-    ends = np.cumsum(np.fromiter((len(texts[k]) + 1 for k in order), np.int64, len(order)))
-    word_ends = np.searchsorted(w.start, ends, "left")
-    doc = np.repeat(np.arange(len(order)), np.diff(word_ends, prepend=0))
-    n_windows = len(doc) - WINDOW + 1
+    buffer, w, word_ends, doc, least, is_hot = _windows([texts[k] for k in order], hot)
+    n_windows = len(least)
     nothing = np.empty(0, np.int64)
-    if n_windows <= 0:
+    if not n_windows:
         return {}, (nothing, nothing, nothing)
-    least = sliding_min(grams(w.hash, GRAM), WINDOW - GRAM + 1)
     inside = doc[:n_windows] == doc[WINDOW - 1 :]
     fresh = np.ones(n_windows, bool)
     fresh[1:] = (least[1:] != least[:-1]) | (doc[1:n_windows] != doc[: n_windows - 1]) | (inside[1:] != inside[:-1])
@@ -107,8 +128,18 @@ def pack(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int) ->
     strings: list[bytes] = []
     owner: list[int] = []
     held, whose, decided = [], [], []
-    for k, (a, b, d) in enumerate(zip(begin, end, rank.tolist(), strict=True)):
+    known = {} if known is None else known
+    own = ids[order]
+    for k, (a, b, d, again) in enumerate(zip(begin, end, rank.tolist(), is_hot[first].tolist(), strict=True)):
         s = buffer[a:b]
+        if again:
+            before = known.get(s, NULL_ID + 1)
+            if before < own[d]:
+                decided.append(k)
+                continue
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[s] = int(own[d])
         j = seen.setdefault(s, len(strings))
         if j == len(strings):
             strings.append(s)
@@ -121,7 +152,7 @@ def pack(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int) ->
         else:
             decided.append(k)
     where = np.asarray(decided, np.int64)
-    own, row_key = ids[order], keys[order]
+    row_key = keys[order]
     done = (row_key[rank[where]], first[where] - doc_start[where], last[where] + WINDOW - doc_start[where])
 
     held_a, whose_a = np.asarray(held, np.int64), np.asarray(whose, np.int64)
@@ -280,6 +311,25 @@ def _keys(ids: np.ndarray, texts: list[bytes], repeated: bool) -> np.ndarray:
     return (mixed(ids.astype(np.uint64)) ^ np.asarray(salt, np.uint64)).astype(np.int64)
 
 
+def hot_minimisers(narrow: DataFrame, buckets: int) -> np.ndarray:
+    """Minimisers that, by a sample of about SAMPLED documents, have HOT of a bucket's mean load of windows or more, sorted; 1 / HOT a bucket at most."""
+    total = narrow.count()
+    sample = narrow.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(max(1, total // SAMPLED))) == 0) if total > SAMPLED else narrow
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flush in flushes(batches, 1, FLUSH):
+            _, texts = _texts(flush)
+            *_, doc, least, _ = _windows(texts, NONE)
+            key, n = np.unique(least[doc[: len(least)] == doc[WINDOW - 1 :]], return_counts=True) if len(least) else (NONE, NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+            trim()
+
+    counts = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    whole = counts.agg(F.sum("n")).scalar()
+    found = counts.filter((F.col("n") > 1) & (F.col("n") >= whole * F.lit(HOT / buckets))).select("key").collect()
+    return np.sort(np.array([r.key for r in found], np.int64).astype(np.uint64))
+
+
 def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for."""
     parts = shuffle_width(docs.sparkSession)
@@ -287,10 +337,13 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = bool(narrow.groupBy("doc_id").count().filter("count > 1").limit(1).count())
 
+    hot = hot_minimisers(narrow, buckets)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for flush in flushes(batches, 1, FLUSH):
             ids, texts = _texts(flush)
-            blobs, done = pack(ids, _keys(ids, texts, repeated), texts, buckets)
+            blobs, done = pack(ids, _keys(ids, texts, repeated), texts, buckets, hot, known)
             rows = [(b, 0, None, None, blob) for b, blob in blobs.items()]
             rows += [(b * BUCKETS_EACH, 1, None, b, blob) for b, blob in _places(*done, parts)]
             if rows:

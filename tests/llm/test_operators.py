@@ -53,6 +53,24 @@ def test_substring_dedup_buckets_do_not_matter(spark, rows):
     same(substring_dedup.removed(df), brute.removed(unique))
 
 
+@pytest.mark.parametrize("share", [1e-9, 0.5])
+def test_substring_dedup_with_hot_minimisers(spark, rows, monkeypatch, share):
+    """Every minimiser hot, or those of a passage that every document holds; small flushes, so that tasks remember."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(substring_dedup, "HOT", share)
+    monkeypatch.setattr(substring_dedup, "FLUSH", 4000)
+    passage = " ".join(f"hot{k}" for k in range(30))
+    held = [(d, f"{t} {passage}" if t and d is not None and d < 100 else t) for d, t in rows]
+    cloudpickle.register_pickle_by_value(substring_dedup)
+    try:
+        df = spark.createDataFrame(held, "doc_id long, text string").repartition(2)
+        assert len(substring_dedup.hot_minimisers(df, 64)) > (100 if share < 0.1 else 0)
+        same(substring_dedup.removed(df), brute.removed(held))
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+
+
 def test_substring_dedup_survives_hash_collisions(monkeypatch):
     import numpy as np
 
