@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import accumulate
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def hash_score(key: Column, seed: int | str) -> Column:
@@ -37,6 +42,31 @@ def split_of(score: Column, edges: list[tuple[str, float]]) -> Column:
     return F.get(F.array(*(F.lit(name) for name, _ in edges)), sum(passed, F.lit(0)))
 
 
-def combined_digest(rows: Column) -> Column:
-    """Aggregate: SHA-256 of the sorted `path sha` lines, joined by line feeds."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(rows)), "\n"), 256)
+def combined_digests(df: DataFrame, keys: list[str], line: Column) -> DataFrame:
+    """(keys, digest, n): SHA-256 of a group's sorted lines, joined by line feeds.
+
+    The format is one stream of bytes a group, so a group is one task's work; its sorted lines pass through the
+    hash as they come and are never held, so memory does not grow with it.
+    """
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("digest", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, n, done = None, None, 0, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, text in zip(*columns, strict=True):
+                if digest is None or key != at:
+                    if digest is not None:
+                        done.append((*at, digest.hexdigest(), n))
+                    at, digest, n = key, hashlib.sha256(), 0
+                digest.update((b"\n" if n else b"") + text.encode())
+                n += 1
+        if digest is not None:
+            done.append((*at, digest.hexdigest(), n))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), to_arrow_schema(schema), strict=True)], schema.names)
+
+    rows = df.select(*keys, line.alias("__line"))
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    return dealt.sortWithinPartitions(*keys, "__line").mapInArrow(run, schema)

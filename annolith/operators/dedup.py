@@ -86,19 +86,29 @@ def banded_pairs(df: DataFrame, key: str, vector: str, threshold: float, bands:
     """
     rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
-    @F.pandas_udf("struct<z: array<double>, keys: array<long>>")
+    @F.pandas_udf("struct<keys: array<long>>")
     def banded(v: pd.Series) -> pd.DataFrame:
-        z, keys = [], []
+        keys, planes = [], {}
         for x in v:
             x = np.asarray(x, float)
-            x = (x - x.mean()) / (x.std() or 1.0)
-            signs = np.random.default_rng(len(x)).standard_normal((bands * bits, len(x))) @ x > 0
-            z.append(x)
+            if len(x) not in planes:
+                planes[len(x)] = np.random.default_rng(len(x)).standard_normal((bands * bits, len(x)))
+            signs = planes[len(x)] @ (x - x.mean()) > 0
             keys.append(np.packbits(np.pad(signs.reshape(bands, bits), ((0, 0), (64 - bits, 0))), axis=1).view(">i8").ravel().astype("int64"))
-        return pd.DataFrame({"z": z, "keys": keys})
-
-    banded_rows = rows.select("id", banded("v").alias("x")).select("id", "x.z", F.posexplode("x.keys").alias("band", "cell"))
-    a, b = banded_rows.select("band", "cell", F.col("id").alias("first"), F.col("z").alias("za")), banded_rows.select("band", "cell", F.col("id").alias("second"), F.col("z").alias("zb"))
-    score = F.aggregate(F.zip_with("za", "zb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / F.size("za")
-    met = a.join(b, ["band", "cell"]).filter((F.col("first") < F.col("second")) & (F.size("za") == F.size("zb")))
-    return met.dropDuplicates(["first", "second"]).select("first", "second", score.alias("score")).filter(F.col("score") >= threshold)
+        return pd.DataFrame({"keys": keys})
+
+    @F.pandas_udf("double")
+    def correlation(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            x, y = (np.asarray(v, float) - np.mean(v) for v in (x, y))
+            spread = x.std() * y.std()
+            return float((x * y).mean() / spread) if spread else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    # Only ids meet by cell; a pair's vectors are joined once it is known.
+    cells = rows.select("id", F.posexplode(banded("v")["keys"]).alias("band", "cell"))
+    met = cells.withColumnRenamed("id", "first").join(cells.withColumnRenamed("id", "second"), ["band", "cell"]).filter("first < second").select("first", "second").distinct()
+    vectors = lambda side, name: rows.select(F.col("id").alias(side), F.col("v").alias(name))
+    both = met.join(vectors("first", "va"), "first").join(vectors("second", "vb"), "second").filter(F.size("va") == F.size("vb"))
+    return both.select("first", "second", correlation("va", "vb").alias("score")).filter(F.col("score") >= threshold)

@@ -67,13 +67,19 @@ def spanning(df: DataFrame, key: str, split: str = "split") -> DataFrame:
 def leaking_pairs(df: DataFrame, key: str, name: str, split: str = "split") -> DataFrame:
     """(key, first, first_split, second, second_split): rows of one key in different splits, first < second.
 
-    Only keys that span splits are paired.
+    Only keys that span splits are paired; leaking_members() is for keys of very many rows.
     """
     hot = spanning(df, key, split).select(key)
     side = lambda a: df.join(hot, key, "left_semi").select(key, F.col(name).alias(a), F.col(split).alias(f"{a}_split"))
     return side("first").join(side("second"), key).filter((F.col("first") < F.col("second")) & (F.col("first_split") != F.col("second_split")))
 
 
+def leaking_members(df: DataFrame, key: str, name: str, split: str = "split") -> DataFrame:
+    """(key, name, split, first) a row a name whose key spans splits, first being the key's smallest name: linear in the rows, where pairs are not."""
+    hot = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(split).alias("__lo"), F.max(split).alias("__hi"), F.min(name).alias("first")).filter("__lo <> __hi").select(key, "first")
+    return df.join(hot, key).select(key, F.col(name).alias("name"), F.col(split).alias("split"), "first")
+
+
 def split_crosstab(df: DataFrame, dimensions: list[str], split: str = "split") -> DataFrame:
     """Counts by split, by split and each dimension, and in all, in one pass of grouping sets."""
     # The dimension that a row counts is told by name and value.

@@ -86,6 +86,12 @@ def leakage_pairs(spark, sf):
     return S.leaking_pairs(docs, "h", "doc_id", "source")
 
 
+@query("""SELECT sha256(text) AS h, doc_id AS name, source AS split, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS first FROM documents WHERE text IN (SELECT text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY text HAVING count(DISTINCT source) > 1)""")
+def leakage_members(spark, sf):
+    docs = I.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "source")
+    return S.leaking_members(docs, "h", "doc_id", "source")
+
+
 @query(f"""WITH s AS (SELECT DISTINCT conv_id, {_edges(_score("conv_id || ':' || turn", 3))} AS split FROM conversations)
 SELECT conv_id, count(*) AS n_splits, list_sort(list(split)) AS splits FROM s GROUP BY conv_id HAVING count(*) > 1""")
 def leakage_group(spark, sf):
@@ -100,8 +106,7 @@ def exact_duplicates(spark, sf):
 
 @query("SELECT lang, sha256(string_agg(doc_id || ' ' || sha256(text), chr(10) ORDER BY doc_id || ' ' || sha256(text))) AS digest, count(*) AS n FROM documents GROUP BY lang")
 def combined_digest(spark, sf):
-    docs = I.table(spark, sf, "documents")
-    return docs.groupBy("lang").agg(H.combined_digest(F.concat_ws(" ", "doc_id", F.sha2("text", 256))).alias("digest"), F.count("*").alias("n"))
+    return H.combined_digests(I.table(spark, sf, "documents"), ["lang"], F.concat_ws(" ", "doc_id", F.sha2("text", 256)))
 
 
 @query("SELECT doc_id, first FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id > first")

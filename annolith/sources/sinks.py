@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -72,16 +73,28 @@ def write_labels(boxes: DataFrame, path: str, image: str, ordinal: str, line: Co
     label_lines(boxes, image, ordinal, line).join(splits, image).write.mode("errorifexists").partitionBy(split).json(path)
 
 
+#: Rows of a table that a report on the driver may hold.
+REPORT_ROWS = 100_000
+
+
 def json_report(tables: dict[str, DataFrame], detail: str = "full", per_row: tuple[str, ...] = ("images", "annotations")) -> str:
-    """An audit's tables as one JSON text, counts of the per-row tables only in a summary. For reports, whose tables are small."""
+    """An audit's tables as one JSON text, counts of the per-row tables only in a summary; a table of more than REPORT_ROWS is for json_tables()."""
     out: dict[str, object] = {}
     for name, df in tables.items():
-        out[f"{name}_count"] = df.count()
+        n = out[f"{name}_count"] = df.count()
         if detail == "full" or name not in per_row:
+            if n > REPORT_ROWS:
+                raise ValueError(f"{name} has {n} rows; write it with json_tables()")
             out[name] = [json.loads(r) for r in df.toJSON().collect()]
     return json.dumps(out, indent=2, sort_keys=True, ensure_ascii=False)
 
 
+def json_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Every table as JSON lines in a folder of its own, written by executors."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").json(f"{path}/{name}")
+
+
 def text_report(title: str, counts: DataFrame, findings: DataFrame, most: int = 50) -> str:
     """A report a person reads: counts with their share, then the first findings of each severity."""
     rows = [tuple(r) for r in counts.collect()]
@@ -100,10 +113,10 @@ def text_report(title: str, counts: DataFrame, findings: DataFrame, most: int =
 
 def frozen(files: DataFrame) -> dict:
     """The digest of (image, sha256) and the count: what a frozen dataset is known by."""
-    from ..functions.hashing import combined_digest
+    from ..functions.hashing import combined_digests
 
-    row = files.agg(combined_digest(F.concat_ws(" ", "image", "sha256")).alias("digest"), F.count("*").alias("images")).first()
-    return row.asDict()
+    row = combined_digests(files, [], F.concat_ws(" ", "image", "sha256")).first()
+    return {"digest": row.digest if row else hashlib.sha256().hexdigest(), "images": row.n if row else 0}
 
 
 def check_frozen(files: DataFrame, expected: dict) -> list[str]:

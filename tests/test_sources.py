@@ -166,3 +166,20 @@ def test_plate_colours(spark):
     got = J.plate_colours(df).collect()
     assert "greyscale" in got[0].c.note and got[0].c.y == 100.0 and not got[0].candidate
     assert "baseline" in got[1].c.note and "not decoded" in got[2].c.note and {r.strength for r in got} == {"none"}
+
+
+def test_manifest_grows_by_batch(spark, tmp_path):
+    from annolith.operators import splits as S
+    from annolith.streaming import counts
+
+    place = str(tmp_path / "manifest")
+    run = counts.grow(place, 7)
+    batch = lambda rows: spark.createDataFrame(rows, "image string, `group` string, source string")
+    run(batch([("a", "g1", "s"), ("b", "g2", "s")]), 0)
+    run(batch([("a", "g9", "s"), ("c", "g1", "s"), ("c", "g1", "s"), ("d", "g3", "s")]), 1)
+    run(batch([("c", "g1", "s"), ("d", "g3", "s")]), 1)
+    rows = spark.read.parquet(place).collect()
+    assert sorted((r.image, r.group, r.assigned_on) for r in rows) == [("a", "g1", "0"), ("b", "g2", "0"), ("c", "g1", "1"), ("d", "g3", "1")]
+    split = {r.image: r.split for r in rows}
+    expected = {r.g: r.s for r in spark.createDataFrame([("g1",), ("g2",), ("g3",)], "g string").withColumn("s", S.group_split(F.col("g"), 7)).collect()}
+    assert split == {"a": expected["g1"], "b": expected["g2"], "c": expected["g1"], "d": expected["g3"]}
