@@ -390,7 +390,7 @@ def predictions_round_trip(spark, sf):
     detection = F.struct(F.col("l_linenumber").alias("k"), F.struct(F.array("l_quantity", F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"), F.col("l_discount").alias("confidence"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("plate_num")).alias("d"))
     images = rows.join(whole, "l_orderkey").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(detection)), lambda x: x["d"]).alias("detections")).select(F.col("l_orderkey").cast("string").alias("image"), "detections")
     parts = images.groupBy(F.pmod(F.xxhash64("image"), F.lit(8)).alias("p")).agg(F.collect_list(F.struct("image", "detections")).alias("predictions"))
-    parts.select(F.to_json(F.struct("predictions", F.lit(0.2).alias("operating_confidence"))).alias("value")).repartition(8).write.text(place)
+    parts.select("p", F.to_json(F.struct("predictions", F.lit(0.2).alias("operating_confidence"))).alias("value")).write.partitionBy("p").text(place)
     return TB.read_predictions(spark, place).select("image", "ordinal", "confidence", "plate_num", F.get("bbox", F.lit(0)).alias("x"))
 
 

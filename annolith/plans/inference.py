@@ -54,3 +54,71 @@ def records(readings: DataFrame, least: float = 0.0) -> DataFrame:
 def run_counters(readings: DataFrame, written: DataFrame) -> DataFrame:
     """One row: images that failed, readings and records."""
     return readings.agg(F.sum(F.col("error").isNotNull().cast("long")).alias("failed"), F.sum(F.col("error").isNull().cast("long")).alias("readings")).join(written.agg(F.count("*").alias("records")))
+
+
+def onnx_stage(model: bytes, encode: Callable[[bytes], dict], decode: Callable[[list, dict], list[dict]]) -> Callable[[], Callable[[bytes], list[dict]]]:
+    """make_stage for read_plates(): a session of the model, made once for each worker's task; encode makes its inputs of an image, decode readings of its outputs.
+
+    The model travels as bytes, so executors need no file of their own.
+    """
+
+    def make() -> Callable[[bytes], list[dict]]:
+        import onnxruntime
+
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1
+        session = onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
+
+        def stage(data: bytes) -> list[dict]:
+            inputs = encode(data)
+            return decode(session.run(None, inputs), inputs)
+
+        return stage
+
+    return make
+
+
+def timed(make_stage: Callable[[], Callable[[bytes], list[dict]]], name: str) -> Callable[[], Callable[[bytes], list[dict]]]:
+    """make_stage that gives one reading an image, whose `detection` is the milliseconds that the stage took; for stage_times()."""
+
+    def make() -> Callable[[bytes], list[dict]]:
+        import time
+
+        stage = make_stage()
+
+        def run(data: bytes) -> list[dict]:
+            began = time.perf_counter()
+            stage(data)
+            return [{"plate_type": name, "detection": 1000 * (time.perf_counter() - began)}]
+
+        return run
+
+    return make
+
+
+def stage_times(images: DataFrame, stages: dict[str, Callable[[], Callable[[bytes], list[dict]]]]) -> DataFrame:
+    """(name, stage, ms) of every image and stage that did not fail, for aggregates.run_stats()."""
+    out = None
+    for stage, make in stages.items():
+        took = read_plates(images, timed(make, stage)).filter("error is null").select("name", F.lit(stage).alias("stage"), F.col("detection").alias("ms"))
+        out = took if out is None else out.unionByName(took)
+    return out
+
+
+def predictions(readings: DataFrame, operating: float) -> DataFrame:
+    """(image, detections): the readings of an image in order, as the predictions source reads them; images without readings are absent."""
+    checked = readings.filter("error is null").withColumn("v", validate_plate(F.col("plate_num"), F.col("plate_type")))
+    detection = F.struct(
+        F.col("ordinal").alias("ordinal"), F.array("x", "y", "w", "h").alias("bbox"), F.col("detection").alias("confidence"), "plate_type", F.coalesce("plate_num", F.lit("")).alias("plate_num"),
+        "type_confidence", F.col("v.is_valid").alias("format_valid"), confidence(F.col("detection"), F.col("type_confidence"), F.col("text_confidence"), F.col("v.is_valid")).alias("final_confidence"),
+        (F.col("detection") < operating).alias("below_operating"),
+    )
+    listed = checked.groupBy(F.col("name").alias("image")).agg(F.array_sort(F.collect_list(detection)).alias("d"))
+    return listed.select("image", F.transform("d", lambda x: x.dropFields("ordinal")).alias("detections"))
+
+
+def write_predictions(readings: DataFrame, path: str, operating: float) -> None:
+    """Predictions as 256 JSON texts at most, with the operating confidence in each."""
+    found = predictions(readings, operating)
+    parts = found.groupBy(F.pmod(F.xxhash64("image"), F.lit(256)).alias("p")).agg(F.collect_list(F.struct("image", "detections")).alias("predictions"))
+    parts.select("p", F.to_json(F.struct("predictions", F.lit(operating).alias("operating_confidence"))).alias("value")).write.mode("errorifexists").partitionBy("p").text(path)

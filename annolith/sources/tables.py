@@ -89,6 +89,18 @@ def read_generation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GENERATION).json(path).select("image", F.coalesce("difficulty", F.lit("?")).alias("difficulty"), F.col("geometry.min_char_height_px").alias("char_height"), F.coalesce(F.size("hidden_positions"), F.lit(0)).alias("hidden"))
 
 
+def read_difficulty(spark: SparkSession, path: str) -> DataFrame:
+    """(image, difficulty) of a synthetic manifest; an image without one has `?`."""
+    rows = read_delimited(spark, path, V.SYNTHETIC_MANIFEST).filter("image <> ''")
+    return rows.select("image", F.when(X.text_or_empty(F.col("difficulty")) == "", "?").otherwise(F.col("difficulty")).alias("difficulty"))
+
+
+def sheet_inputs(spark: SparkSession, meta: str, records: str) -> DataFrame:
+    """Annotation rows with difficulty, character height and hidden characters of the generator's records, for contact sheets."""
+    rows = read_meta(spark, meta).withColumn("image", X.forward_slashes(F.col("image")))
+    return rows.join(read_generation(spark, records), "image", "left")
+
+
 def samples(meta: DataFrame, synthetic: DataFrame, real: DataFrame) -> DataFrame:
     """Typed annotation rows with `split` as population:split, the real manifest before the synthetic one, else ?:?."""
     from ..operators.rules import typed
