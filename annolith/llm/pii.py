@@ -3,6 +3,9 @@
 Base: emails, IP addresses, payment cards and phone numbers by pattern and check, leftmost
 and non-overlapping per kind. Each distinct value found is a protected entity.
 
+Secrets, assigned keys, tokens and passwords and keys of well-known shapes, are direct identifiers of the method's own, kind
+`secret`: entities and spans like the base ones, but no part of the base digest.
+
 Method: the words of four letters or more outside emails are terms. Over the
 whole corpus, with N documents, n(e) that hold entity e, n(t) that hold term t
 and n(t, e) that hold both, a term tells
@@ -39,6 +42,11 @@ KINDS = {
 }
 #: What a text must hold for a kind to be worth matching.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+_NAMED = r"(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)"
+#: What the method adds to the fixed kinds.
+SECRET = rf"(?i:{_NAMED})[\x22']?\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.~-]{{8,}}+[\x22']?|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+SECRET_HINT = rf"(?i:{_NAMED})[\x22']?\x20?[=:]|AKIA|gh[pousr]_|PRIVATE KEY"
+DIRECT = (*KINDS, "secret")
 TERM = r"(?<!\p{L})\p{L}{4,}+(?!\p{L})"
 
 EVIDENCE = 2
@@ -86,7 +94,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, span: Column) -> Column:
     value = span["value"]
-    if kind == "email":
+    if kind in ("email", "secret"):
         return F.lit(True)
     if kind == "ip":
         # leading zeros do not count towards the three digits that a part may have
@@ -102,9 +110,9 @@ def _checker(kind: str):
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with a column of valid spans for each kind."""
+    """docs (doc_id, text) with a column of valid spans for each kind, secrets included."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs
+    df = with_spans(docs, text, SECRET, "secret", text.rlike(SECRET_HINT))
     for kind, pattern in KINDS.items():
         hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
         df = with_spans(df, text, pattern, kind, hint)
@@ -121,7 +129,7 @@ def _terms() -> Column:
 def disclosing(base: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
     """(entity, term, tells): terms that tell `disclosure` or more of an entity's information; base has __row, text and the kinds."""
     named = lambda k: lambda s: F.concat(F.lit(k + ":"), s["value"])
-    held = base.select("__row", F.explode(F.array_distinct(F.concat(*(F.transform(F.col(k), named(k)) for k in KINDS)))).alias("entity"))
+    held = base.select("__row", F.explode(F.array_distinct(F.concat(*(F.transform(F.col(k), named(k)) for k in DIRECT)))).alias("entity"))
     # an entity of fewer documents than the evidence asks for has no terms
     of_entity = staged(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= evidence), "entities")
     n, most = of_entity.agg(F.count("*"), F.coalesce(F.max("n_e"), F.lit(0))).first()
@@ -141,7 +149,7 @@ def disclosing(base: DataFrame, disclosure: float = DISCLOSURE, evidence: int =
 
 
 def _all_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """__row, doc_id, the four kinds and `term`, a sorted array of spans that disclose; `keep` names columns to carry."""
+    """__row, doc_id, the direct kinds and `term`, a sorted array of spans that disclose; `keep` names columns to carry."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
     base = staged(base_spans(plain).withColumn("__row", F.monotonically_increasing_id()), "direct-identifiers")
     told = staged(disclosing(base).select("term").distinct(), "disclosing-terms")
@@ -162,10 +170,13 @@ def _told(kinds: tuple[str, ...]) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, the digest of the base spans, all spans, and n_term."""
+    """One row per document: counts of the base kinds, the digest of the base spans, all spans, n_term, n_secret, and n_direct of all kinds but terms."""
     df = _all_spans(docs)
     counts = (F.size(k).cast("long").alias(f"n_{k}") for k in KINDS)
-    return df.select("doc_id", *counts, F.sha2(_told(tuple(KINDS)), 256).alias("base_sha256"), _told((*KINDS, "term")).alias("spans"), F.size("term").cast("long").alias("n_term"))
+    return df.select(
+        "doc_id", *counts, F.sha2(_told(tuple(KINDS)), 256).alias("base_sha256"), _told((*DIRECT, "term")).alias("spans"), F.size("term").cast("long").alias("n_term"),
+        F.size("secret").cast("long").alias("n_secret"), sum((F.size(k) for k in DIRECT), F.lit(0)).cast("long").alias("n_direct"),
+    )
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -174,7 +185,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     inner = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in names)).alias("__all"))
     df = _all_spans(inner, keep=("__all",))
     marked = lambda k: lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.lit(f"<{k.upper()}>").alias("as"))
-    spans = F.array_sort(F.concat(*(F.transform(F.col(k), marked(k)) for k in (*KINDS, "term"))))
+    spans = F.array_sort(F.concat(*(F.transform(F.col(k), marked(k)) for k in (*DIRECT, "term"))))
     df = df.withColumn("__spans", spans).withColumn("__text", F.col("__keep___all")["text"])
     # Overlapping spans merge into the first one.
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], -s["end"]).alias("at"))).otherwise(
