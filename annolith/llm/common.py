@@ -66,7 +66,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df marked for broadcast if its counted rows fit BROADCAST_BYTES; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(rows, row_bytes) else df
+
+
+def fits(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def dense(values: DataFrame, index: str, value: Column, size: int, chunk: int = 4096) -> DataFrame:
+    """One row, `values`: the array of value by index from 0 to size - 1, put together in chunks; `value` is null-safe for places that no row names."""
+    every = values.sparkSession.range(size).select(F.col("id").alias("__i")).join(values.withColumnRenamed(index, "__i"), "__i", "left")
+    listed = lambda s: F.transform(F.array_sort(F.collect_list(s)), lambda x: x["v"])
+    chunks = every.groupBy(F.floor(F.col("__i") / chunk).alias("c")).agg(listed(F.struct("__i", value.alias("v"))).alias("v"))
+    return chunks.agg(F.flatten(listed(F.struct("c", "v"))).alias("values"))
 
 
 def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:

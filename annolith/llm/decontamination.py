@@ -23,10 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, small, staged, without_ids, words
+from .common import SPACES, dense, fits, small, staged, without_ids, words
 
 SHINGLE = 5
 CONTAINMENT = 0.75
+#: Bytes of a sketch's value as broadcast, and bits of the sieve that stands before a shuffled join.
+SKETCH_BYTES = 40
+SIEVE_BITS = 1 << 27
 
 
 def _shingled(df: DataFrame, id_col: str) -> DataFrame:
@@ -71,13 +74,23 @@ def sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame
     return bottom.select("item_id", "n_shingles", "size_class", hits.alias("hits_needed"), F.explode(kept).alias("__h"))
 
 
+def _sifted(probe: DataFrame, sketch: DataFrame) -> DataFrame:
+    """probe without most of the values that no sketch has, for sketches too many to broadcast: a bit a value, SIEVE_BITS of them, is all that every task holds."""
+    bit = F.pmod(F.col("__h"), F.lit(SIEVE_BITS))
+    one = sketch.select((bit / 64).cast("bigint").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("b")).groupBy("word").agg(F.bit_or("b").alias("b"))
+    bits = dense(one, "word", F.coalesce("b", F.lit(0).cast("bigint")), SIEVE_BITS // 64).scalar()
+    return probe.withColumn("__s", bits).filter(F.getbit(F.get("__s", (bit / 64).cast("int")), (bit % 64).cast("int")) == 1).drop("__s")
+
+
 def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document and item at or above the threshold."""
     shingles = staged(item_shingles(items), "item-shingles")
     sketch = staged(sketches(shingles, containment), "item-sketches")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     probe = _shingled(narrow, "doc_id").select("doc_id", F.explode(_hashes(F.col("__w"), F.col("__n"))).alias("__h"))
-    hits = probe.join(small(sketch, sketch.count(), 40), "__h").select("doc_id", "item_id", "hits_needed", "__h").distinct()
+    n = sketch.count()
+    probe = probe if fits(n, SKETCH_BYTES) else _sifted(probe, sketch)
+    hits = probe.join(small(sketch, n, SKETCH_BYTES), "__h").select("doc_id", "item_id", "hits_needed", "__h").distinct()
     # The rows of a doc_id count together, so nothing is asked of one row alone.
     found = hits.groupBy("doc_id", "item_id", "hits_needed").agg(F.count("*").alias("__met")).filter("__met >= hits_needed")
     found = staged(found.select("doc_id", "item_id"), "leak-candidates")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged, words
+from .common import dense, small, staged, words
 
 #: Counters, at least; a power of two.
 BUCKETS = 1 << 16
@@ -30,8 +30,6 @@ BUCKETS = 1 << 16
 PER_ROOT_BYTE = 16
 #: Counters whose ratios are held as one array, 4 bytes each, by every task.
 IN_ARRAY = 1 << 24
-#: Counters of a part of that array that is put together at once.
-CHUNK = 4096
 #: Added to every counter of the target, and as much in proportion to every raw one.
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of an n-gram.
@@ -77,26 +75,26 @@ def counted(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     return staged(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__good").alias("good")), "counters")
 
 
-def _with_ratios(counters: DataFrame, buckets: int, every: bool) -> DataFrame:
-    """(bucket, ratio) of all counters, or of those that are not empty."""
-    tg, tr = counters.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first()
-    if every:
-        counters = counters.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counters, "bucket", "left")
+def _ratio(tg: int, tr: int) -> Column:
+    """A counter's ratio from its `good` and `raw`, 0 where no document is trusted."""
+    if not tg:
+        return F.lit(0.0).cast("float")
     # (good + a) / (tg + a B) over (raw - 1 + a tr / tg) / (tr + a B tr / tg): the totals cancel out
     others = F.greatest(F.coalesce(F.col("raw"), F.lit(0)) - 1, F.lit(0))
-    ratio = F.log((F.coalesce("good", F.lit(0)) + F.lit(SMOOTHING)) / (others * F.lit(tg / tr) + F.lit(SMOOTHING))) if tg else F.lit(0.0)
-    return counters.select("bucket", ratio.cast("float").alias("ratio"))
+    return F.log((F.coalesce("good", F.lit(0)) + F.lit(SMOOTHING)) / (others * F.lit(tg / tr) + F.lit(SMOOTHING))).cast("float")
+
+
+def _totals(counters: DataFrame) -> tuple[int, int]:
+    return tuple(counters.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first())
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: `ratios`, an array of ln(p_target / p_raw) by counter, 4 bytes each."""
-    return _as_array(_with_ratios(counted(docs, labels, buckets), buckets, every=True))
+    return _as_array(counted(docs, labels, buckets), buckets)
 
 
-def _as_array(ratios: DataFrame) -> DataFrame:
-    values = lambda s: F.transform(F.array_sort(F.collect_list(s)), lambda x: x["v"])
-    chunks = ratios.groupBy(F.floor(F.col("bucket") / CHUNK).alias("c")).agg(values(F.struct("bucket", F.col("ratio").alias("v"))).alias("v"))
-    return chunks.agg(F.flatten(values(F.struct("c", "v"))).alias("ratios"))
+def _as_array(counters: DataFrame, buckets: int) -> DataFrame:
+    return dense(counters, "bucket", _ratio(*_totals(counters)), buckets).withColumnRenamed("values", "ratios")
 
 
 def _repeated_words(n: Column) -> Column:
@@ -151,12 +149,12 @@ def _scored(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int |
     carried = [*keys, *COUNTS]
     if buckets <= IN_ARRAY:
         at = lambda c: F.coalesce(F.get(F.col("__r"), F.col(c)).cast("double"), F.lit(0.0))
-        ratios = _as_array(_with_ratios(counters, buckets, every=True)).scalar()
+        ratios = _as_array(counters, buckets).scalar()
         each = _pairs(table, buckets, "__i", *carried).withColumn("__r", ratios)
         summed = each.groupBy("__i").agg(F.sum(at("one") + at("two")).alias("__sum"), *(F.first(c).alias(c) for c in carried))
     else:
         rows = staged(table.select("__i", "__w", "__n", *carried), "word-rows")
-        met = _grams(rows, buckets, "__i").groupBy("__i", "bucket").agg(F.count("*").alias("__m")).join(_with_ratios(counters, buckets, every=False), "bucket")
+        met = _grams(rows, buckets, "__i").groupBy("__i", "bucket").agg(F.count("*").alias("__m")).join(counters.select("bucket", _ratio(*_totals(counters)).alias("ratio")), "bucket")
         sums = met.groupBy("__i").agg(F.sum(F.col("__m") * F.col("ratio").cast("double")).alias("__sum"))
         summed = rows.drop("__w", "__n").join(sums, "__i", "left")
     n = F.col("n_words")

@@ -609,6 +609,16 @@ def test_decontamination_of_an_id_in_several_rows(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute.leaks(rows, items) >= {(1, 7), (2, 8)}
 
 
+def test_decontamination_with_sketches_too_many_to_broadcast(spark, docs, rows, monkeypatch):
+    from annolith.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontamination, "SIEVE_BITS", 1 << 12)
+    items = [(1, " ".join(BASE[5:40])), (2, SENTENCES[0]), (3, "a b c"), (5, "nowhere at all do these words stand")]
+    got = decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute.leaks(rows, items)
+
+
 def test_sketches_cannot_miss(spark):
     """Any document holding three quarters of an item's shingles meets its sketch."""
     items = spark.createDataFrame([(i, " ".join(f"v{R.randrange(50)}" for _ in range(R.randrange(5, 60)))) for i in range(20)], "item_id long, text string")
