@@ -51,7 +51,7 @@ def counted_places(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
     names = [f"__k{i}" for i in range(len(keys))]
-    cut = ranges(counts.withColumns({n: F.struct(k) for n, k in zip(names, keys, strict=True)}), [*(F.col(n) for n in names), F.col(value)], "counted-values")
+    cut = ranges(counts.withColumns({n: F.struct(k) for n, k in zip(names, keys, strict=True)}), [*(F.col(n) for n in names), F.col(value)], "counted-values", costly=True)
     within = W.partitionBy(*names, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*names).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     sums = cut.groupBy(*names, "__part").agg(F.sum("__c").alias("__s"))

@@ -38,15 +38,15 @@ def rates(tp: Column, fp: Column, fn: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), F.when((p > 0) & (r > 0), 2 * p * r / (p + r)).alias("f1"))
 
 
-def average_precision(scored: DataFrame, n_truth: Column, keys: list[str], score: str, is_tp: str, tie: list[str]) -> DataFrame:
+def average_precision(scored: DataFrame, n_truth: Column, keys: list[str], score: str, is_tp: str, tie: list[str], costly: bool = False) -> DataFrame:
     """(keys, ap): all-points interpolated average precision of each group's ranked list; n_truth is an aggregate over the group.
 
     Recall steps only where a true positive stands, and the envelope there is the best
     precision from it on. A list is cut into ranges of its order; running counts
     and envelopes are taken within a range and carried over from the small table of
-    ranges, so a long list is shared by as many tasks as there are ranges.
+    ranges, so a long list is shared by as many tasks as there are ranges. costly: see ranges().
     """
-    cut = ranges(scored.withColumn("__hit", F.col(is_tp).cast("int")), [*(F.col(k) for k in keys), F.col(score).desc(), *(F.col(t) for t in tie)], "ranked")
+    cut = ranges(scored.withColumn("__hit", F.col(is_tp).cast("int")), [*(F.col(k) for k in keys), F.col(score).desc(), *(F.col(t) for t in tie)], "ranked", costly)
     by = [*keys, "__part"]
     totals = cut.groupBy(*by).agg(F.sum("__hit").alias("__h"), F.count("*").alias("__c"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -149,7 +149,7 @@ def detection_report(truth: DataFrame, predictions: DataFrame, image: str = "ima
     matched = found.withColumn("matches", M.greedy_matches(F.col("candidates"), F.col("threshold")))
     scored = M.scored_list(matched, "threshold", image).withColumnRenamed(image, "image")
     total = truth.agg(F.sum(F.size("truth")).alias("n")).scalar()
-    ap = average_precision(scored, F.max(total), ["threshold"], "score", "is_tp", ["image", "place"])
+    ap = average_precision(scored, F.max(total), ["threshold"], "score", "is_tp", ["image", "place"], costly=True)
     return ap.withColumn("n_truth", total)
 
 

@@ -132,9 +132,13 @@ def strided(df: DataFrame, order: str, n: int) -> DataFrame:
     return ranked.filter((i < n) & (F.floor(i * F.lit(step)) == F.col("position"))).drop("position")
 
 
-def ranges(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df cut into ranges of the order, `__part` numbering them; staged, as range edges are sampled and must be the same for every reader."""
+def ranges(df: DataFrame, order: list[Column], name: str, costly: bool = False) -> DataFrame:
+    """df cut into ranges of the order, `__part` numbering them; staged, as range edges are sampled and must be the same for every reader.
+
+    costly: df is more than a scan, and is staged before its edges are sampled, so that it is computed once.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = staged(df, f"{name}-rows") if costly else df
     return staged(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name)
 
 
