@@ -67,11 +67,12 @@ def _prefix_sums(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(before) - 1), lambda b, o: F.transform(F.slice(b, F.lit(2), F.size(b) - 1), lambda x: x + o)))
 
 
-def with_spans(df: DataFrame, text: Column, pattern: str, out: str, when: Column) -> DataFrame:
+def with_spans(df: DataFrame, text: Column, pattern: str | Column, out: str, when: Column) -> DataFrame:
     """df with `out`: the matches of pattern in text with code point places, empty unless `when`."""
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
     hit, lengths, ends = f"__{out}_m", f"__{out}_l", f"__{out}_e"
     none = F.array().cast("array<int>")
-    df = df.withColumn(hit, F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(hit, F.when(when, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
     some = F.size(hit) > 0
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hit))
     df = df.withColumn(lengths, F.when(some, F.zip_with(pieces, F.col(hit), lambda p, m: F.length(p) + F.length(m))).otherwise(none))
@@ -120,10 +121,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return df
 
 
-def _terms() -> Column:
-    """The distinct terms of the column text, lower-cased; those of emails are none."""
+def _forms() -> Column:
+    """The terms of the column text as they are written; those of emails are none."""
     bare = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", KINDS["email"], " ")).otherwise(F.col("text"))
-    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), F.lower))
+    return F.regexp_extract_all(bare, F.lit(TERM), F.lit(0))
+
+
+def _terms() -> Column:
+    """The distinct terms of the column text, lower-cased."""
+    return F.array_distinct(F.transform(_forms(), F.lower))
 
 
 def disclosing(base: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
@@ -153,13 +159,14 @@ def _all_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
     base = staged(base_spans(plain).withColumn("__row", F.monotonically_increasing_id()), "direct-identifiers")
     told = staged(disclosing(base).select("term").distinct(), "disclosing-terms")
-    holds = base.select("__row", F.explode(_terms()).alias("term")).join(small(told, told.count(), 48), "term", "left_semi")
-    holds = staged(holds.groupBy("__row").agg(F.collect_set("term").alias("__told")), "disclosed-rows")
-    marked = with_spans(base.select("__row", "text", "email").join(small(holds, holds.count(), 256), "__row"), F.col("text"), TERM, "__t", F.lit(True))
-    free = lambda s: ~F.exists("email", lambda e: (s["start"] < e["end"]) & (s["end"] > e["start"]))
-    spans = F.filter("__t", lambda s: F.array_contains(F.col("__told"), F.lower(s["value"])) & free(s))
-    terms = marked.select("__row", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"))).alias("term"))
-    terms = staged(terms, "term-spans")
+    # Only the forms of told terms are looked for again, each by a pattern of its own, so that no other word's place is worked out.
+    forms = base.select("__row", F.explode(F.array_distinct(_forms())).alias("form")).withColumn("term", F.lower("form"))
+    forms = staged(forms.join(small(told, told.count(), 48), "term", "left_semi").select("__row", "form"), "told-forms")
+    marked = base.select("__row", "text", "email").join(small(forms, forms.count(), 48), "__row")
+    marked = with_spans(marked, F.col("text"), F.concat(F.lit(r"(?<!\p{L})"), F.col("form"), F.lit(r"(?!\p{L})")), "__t", F.lit(True))
+    free = F.filter("__t", lambda s: ~F.exists("email", lambda e: (s["start"] < e["end"]) & (s["end"] > e["start"])))
+    own = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    terms = staged(marked.select("__row", own.alias("s")).groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("term")), "term-spans")
     return base.join(small(terms, terms.count(), 256), "__row", "left").withColumn("term", F.coalesce("term", F.array().cast(SPAN)))
 
 
