@@ -96,7 +96,7 @@ def _windows(texts: list[bytes], hot: np.ndarray) -> tuple[bytes, Words, np.ndar
     if len(doc) < WINDOW:
         return buffer, w, word_ends, doc, np.empty(0, np.uint64), np.empty(0, bool)
     least = sliding_min(grams(w.hash, GRAM), WINDOW - GRAM + 1)
-    is_hot = np.isin(least, hot) if len(hot) else np.zeros(len(least), bool)
+    is_hot = hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least if len(hot) else np.zeros(len(least), bool)
     if is_hot.any():
         least = np.where(is_hot, grams(w.hash, WINDOW), least)
     return buffer, w, word_ends, doc, least, is_hot
