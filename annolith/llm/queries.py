@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, mixing, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup, token_counts
+from . import (
+    decontamination,
+    filter_audit,
+    license_scan,
+    mixing,
+    near_dedup,
+    pii,
+    quality_model,
+    quality_rules,
+    sharding,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+)
 from .common import table
 
 
@@ -56,10 +70,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(spelling.counted(table(spark, sf_dir, "documents")))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_near_dedup, op3_sharding, op4_quality_model, op5_token_counts,
-        op6_pii, op7_license_scan, op8_mixing, op9_quality_rules, op10_decontamination,
+        op6_pii, op7_license_scan, op8_mixing, op9_quality_rules, op10_decontamination, op11_spelling, op12_suffix_dedup, op13_filter_audit,
     )}
 
 
@@ -132,6 +158,31 @@ n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
 SELECT a.doc_id, b.item_id, n.n AS n_item_shingles, count(*) AS n_shared, round(count(*)::double / n.n, 6) AS containment FROM a JOIN b USING (s) JOIN n USING (item_id) GROUP BY a.doc_id, b.item_id, n.n HAVING count(*) >= 0.75 * n.n - 1e-9"""
 
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
+c AS (SELECT r, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CASE WHEN i <= q + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) AS q FROM c)),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY r, k),
+f AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS before FROM (SELECT r, a, z FROM s UNION ALL SELECT r, n + 1, n + 1 FROM d)),
+x AS (SELECT f.r, string_agg(substr(hex(b), 2 * before - 1, 2 * (a - before)), '' ORDER BY a) AS kept, sum(z - a)::bigint AS gone, count(*) - 1 AS spans FROM f JOIN d USING (r) GROUP BY f.r)
+SELECT d.doc_id, d.n AS n_bytes, x.gone AS n_removed, x.spans AS n_spans, sha256(unhex(x.kept)) AS kept_sha256 FROM d JOIN x USING (r)"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, len(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS u FROM documents),
+m AS (SELECT d.part, (CASE WHEN n < 200 THEN 1 ELSE 0 END) | (CASE WHEN 100 * u < 50 * n THEN 2 ELSE 0 END) | (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END)
+  | (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) | (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask, coalesce(l.good, FALSE) AS good, coalesce(l.toxic, FALSE) AS toxic
+  FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, k AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0)::int AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END)::bigint AS kept, sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END)::bigint AS removed,
+  sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::bigint AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END)::bigint AS unique_fails,
+  sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END)::bigint AS good_lost, sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::bigint AS toxic_lost FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::int AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others draw hashes, checksums or tokens that SQL does not have: tests hold them against brute force."""
-    return {"op1_substring_dedup": OP1, "op2_near_dedup": OP2, "op7_license_scan": _op7(), "op8_mixing": OP8, "op10_decontamination": OP10}
+    return {"op1_substring_dedup": OP1, "op2_near_dedup": OP2, "op7_license_scan": _op7(), "op8_mixing": OP8, "op10_decontamination": OP10, "op12_suffix_dedup": OP12, "op13_filter_audit": OP13}

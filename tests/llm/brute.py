@@ -161,3 +161,80 @@ def term_spans(text, told):
     text = text or ""
     mails = [(a, b) for k, a, b in pii_spans(text) if k == "email"]
     return [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in told and not any(m.start() < b and m.end() > a for a, b in mails)]
+
+
+def spelled(rows):
+    """(word, form, root, n, n_near, form_n) of every word."""
+    import zlib
+
+    n = Counter()
+    for d, t in rows:
+        for r in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            r = r.translate(LOW)
+            h = zlib.crc32(f"{'' if d is None else d}:{r}".encode())
+            n[r if h % 31 else r[: h % len(r)] + r[h % len(r) + 1 :]] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    links = {w: [v for v in n if abs(len(v) - len(w)) < 2 and near(w, v)] for w in n}
+    form = {}
+    for w, found in links.items():
+        best = min(found, key=lambda v: (-n[v], v), default=None)
+        if best is not None and n[best] >= 10 * n[w]:
+            form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(links[w]), n[form[w]] if w in form else None))
+    return out
+
+
+def bytes_removed(rows, length=400):
+    texts = [(t or "").encode() for _, t in rows]
+    starts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for (d, _), t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if starts[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out.append((d, len(t), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def audited(rows, labels):
+    """rows: (doc_id, text, source); labels: (doc_id, quality, toxic)."""
+    from itertools import permutations
+
+    first, docs = {}, defaultdict(list)
+    for d, t, _ in rows:
+        if d is not None:
+            first[t or ""] = min(d, first.get(t or "", d))
+    good, toxic = {d for d, q, _ in labels if q == 1 and d is not None}, {d for d, _, x in labels if x == 1 and d is not None}
+    for d, t, s in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": d is not None and d > first[t]}
+        docs[s or ""].append(({k for k, v in fails.items() if v}, d in good, d in toxic))
+    out = []
+    for part, held in docs.items():
+        sums = Counter()
+        done = []
+        for order in map("".join, permutations("ABCDE")):
+            left = held
+            for step, f in enumerate(order, 1):
+                gone = [x for x in left if f in x[0]]
+                left = [x for x in left if f not in x[0]]
+                sums[f] += len(gone)
+                all_failing = sum(f in x[0] for x in held)
+                done.append((order, step, f, len(left), len(gone), all_failing - len(gone), sum(x[0] == {f} for x in held), sum(x[1] for x in gone), sum(x[2] for x in gone)))
+        out += [(part, o, s, *rest, sums[f]) for o, s, f, *rest in done]
+    return out
