@@ -126,3 +126,27 @@ ANGLE_DEGREES, BLUR_PIXELS, DIRT_STRENGTH = 15.0, 3.0, 0.25
 # Discovery.
 LEAST_SIDE = 400
 ORIGINALS = "originals"
+
+# Dataset plans. Severities and budgets are hundredths; effects stand in pipeline order.
+CLASS_WEIGHTS = {"type1": 0.20, "type1a": 0.40, "type1b": 0.40}
+LEVEL_WEIGHTS = {"easy": 0.35, "medium": 0.45, "hard": 0.20}
+LONG_REGION_SHARE = 0.35
+EFFECT_SEVERITY = {
+    "night": 150, "low_light": 100, "shadow": 50, "glare": 100, "dirt": 75, "occlusion": 100,
+    "rain": 75, "snow": 75, "motion_blur": 125, "defocus": 125, "heavy_noise": 100,
+}
+EXCLUSIVE_EFFECTS = (("night", "low_light"), ("rain", "snow"), ("motion_blur", "defocus"))
+EFFECT_LEVELS = {
+    "easy": {"most": 1, "budget": 125, "chance": {
+        "night": 0.10, "low_light": 0.05, "shadow": 0.15, "glare": 0.10, "dirt": 0.12, "occlusion": 0.0,
+        "rain": 0.06, "snow": 0.07, "motion_blur": 0.15, "defocus": 0.08, "heavy_noise": 0.0,
+    }},
+    "medium": {"most": 2, "budget": 200, "chance": {
+        "night": 0.50, "low_light": 0.12, "shadow": 0.30, "glare": 0.28, "dirt": 0.38, "occlusion": 0.06,
+        "rain": 0.16, "snow": 0.19, "motion_blur": 0.34, "defocus": 0.18, "heavy_noise": 0.08,
+    }},
+    "hard": {"most": 3, "budget": 275, "chance": {
+        "night": 0.55, "low_light": 0.20, "shadow": 0.35, "glare": 0.32, "dirt": 0.45, "occlusion": 0.12,
+        "rain": 0.18, "snow": 0.20, "motion_blur": 0.38, "defocus": 0.25, "heavy_noise": 0.20,
+    }},
+}
