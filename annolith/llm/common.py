@@ -71,8 +71,8 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 def weighed(df: DataFrame) -> DataFrame:
     """df, which is staged, marked for broadcast if the bytes of all its values, summed, fit BROADCAST_BYTES."""
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 48 if kind.startswith("array") else F.lit(8) for c, kind in df.dtypes]
-    total = df.agg(F.sum(sum(sizes, F.lit(24)).cast("long"))).first()[0] or 0
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 64 if kind.startswith("array") else F.lit(56 if kind.startswith("struct") else 12) for c, kind in df.dtypes]
+    total = df.agg(F.sum(sum(sizes, F.lit(40)).cast("long"))).first()[0] or 0
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 

@@ -176,6 +176,7 @@ def _children(rows: Iterator[tuple], span: int) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+    trim()
 
 
 KEY = ["rank", "node", "added"]
@@ -229,17 +230,22 @@ def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for doc_id, of, rows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text.encode()
-            for r in rows:
-                at, lo, hi = r["at"], r["lo"], r["hi"]
-                yield doc_id, of, at, lo, hi, r["rank"], r["n"], text[at - hi : at - lo + LENGTH]
+    """The rows of each document with the bytes of all their positions; texts are taken a flush at a time and never as strings."""
+    for flush in flushes(batches, 3, FLUSH):
+        rows = flush.column(2).combine_chunks()
+        at, lo, hi, rank, n = (np.asarray(rows.flatten().field(k)).tolist() for k in ("at", "lo", "hi", "rank", "n"))
+        k = 0
+        for doc_id, of, count, text in zip(flush.column(0).to_pylist(), flush.column(1).to_pylist(), rows.value_lengths().to_pylist(), flush.column(3).cast(pa.binary()), strict=True):
+            text = memoryview(text.as_buffer())
+            for j in range(k, k + count):
+                yield doc_id, of, at[j], lo[j], hi[j], rank[j], n[j], bytes(text[at[j] - hi[j] : at[j] - lo[j] + LENGTH])
+            k += count
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for k in range(0, batch.num_rows, 1000):
+            yield from zip(*(c.slice(k, 1000).to_pylist() for c in batch.columns), strict=True)
 
 
 def keep(text: bytes, begin: list[int], end: list[int]) -> tuple[int, int, bytes]:
@@ -259,11 +265,11 @@ def removed(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     ranges = repeated_places(narrow).distinct().groupBy("doc_id", "of").agg(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            out = [keep(t, a or [], b or []) for t, a, b in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for flush in flushes(batches, 1, FLUSH):
+            texts = [t.as_py() for t in flush.column(1).cast(pa.binary())]
+            out = [keep(t, a or [], b or []) for t, a, b in zip(texts, flush.column(2).to_pylist(), flush.column(3).to_pylist(), strict=True)]
             columns = [
-                batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
+                flush.column(0).combine_chunks(), pa.array(map(len, texts), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
                 pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string()), *([pa.array([x[2] for x in out], pa.binary())] if keep_bytes else []),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if keep_bytes else [])])
