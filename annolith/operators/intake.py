@@ -26,11 +26,16 @@ def hash_sieve(hashes: DataFrame, column: str = "sha256") -> tuple[DataFrame, in
     return hashes.filter(F.col(column).isNotNull()).select(word.alias("word"), bit.alias("__bit")).groupBy("word").agg(F.bit_or(one).alias("bits")), n_words
 
 
-def sieved(rows: DataFrame, sieve: DataFrame, n_words: int, column: str = "sha256") -> DataFrame:
-    """Rows whose hash may be in the sieve: decided on the scan, before any shuffle. All that are in it pass, and few others."""
+def sieve_marked(rows: DataFrame, sieve: DataFrame, n_words: int, column: str, name: str) -> DataFrame:
+    """rows with the boolean `name`: whether the column's value may be in the sieve. False is certain, and is decided on the scan, before any shuffle."""
     word, bit = _word_and_bit(F.col(column), n_words)
-    marked = rows.withColumns({"word": word, "__bit": bit}).join(F.broadcast(sieve), "word")
-    return marked.filter(F.expr("bits & shiftleft(1L, __bit) <> 0")).drop("word", "__bit", "bits")
+    marked = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(sieve.withColumnsRenamed({"word": "__word", "bits": "__bits"})), "__word", "left")
+    return marked.withColumn(name, F.expr("coalesce(__bits & shiftleft(1L, __bit), 0L) <> 0")).drop("__word", "__bit", "__bits")
+
+
+def sieved(rows: DataFrame, sieve: DataFrame, n_words: int, column: str = "sha256") -> DataFrame:
+    """Rows whose value may be in the sieve: all that are in it, and few others."""
+    return sieve_marked(rows, sieve, n_words, column, "__maybe").filter("__maybe").drop("__maybe")
 
 
 def content_findings(staged: DataFrame, dataset: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from ..functions.text import once
 
 MATCHES = "array<struct<t:int,p:int,score:double>>"
+#: Pairs of one image above which its boxes meet by grid cells.
+CROWD = 1 << 14
 CANDIDATES = "array<struct<rank:struct<k:double,p:int,k2:double,o:int>,overlap:double>>"
 
 
@@ -17,29 +20,109 @@ def by_score(predictions: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["p"])
 
 
+def _every_pair(images: DataFrame, image: str, left: str, right: str) -> DataFrame:
+    pairs = images.select(image, F.explode(left).alias("l"), right).select(image, "l", F.explode(right).alias("r"))
+    return pairs.select(image, "l", "r", iou(F.col("l.box"), F.col("r.box")).alias("overlap"))
+
+
+def _pairs_by_cells(images: DataFrame, image: str, left: str, right: str) -> DataFrame:
+    """Overlapping pairs of crowded images: boxes are dealt to the cells of a grid and meet in the cell of their intersection's corner.
+
+    A cell is as wide as the image's median box, and wide enough that there are no more cells than boxes. Cells, not images, are dealt
+    to tasks, so that the boxes of one image meet in many.
+    """
+    boxes = F.concat(*(F.transform(c, lambda b: b["box"]) for c in (left, right)))
+    sides = F.array_sort(F.transform("__boxes", lambda b: F.greatest(b["w"], b["h"])))
+    reach = lambda at, size: F.array_max(F.transform("__boxes", lambda b: b[at] + b[size])) - F.array_min(F.transform("__boxes", lambda b: b[at]))
+    n = F.size("__boxes")
+    cell = F.greatest(F.get(sides, F.floor(n / 2).cast("int")), F.greatest(reach("x", "w"), reach("y", "h")) / F.sqrt(n), F.lit(1e-9))
+    sized = images.withColumn("__boxes", boxes).withColumn("__cell", cell)
+    place = lambda v: F.floor(v / F.col("__cell")).cast("long")
+
+    def dealt(side: str, name: str) -> DataFrame:
+        each = sized.select(image, "__cell", F.explode(side).alias(name)).filter(f"{name}.box.w > 0 AND {name}.box.h > 0")
+        b = F.col(name)["box"]
+        across = each.withColumn("__x", F.explode(F.sequence(place(b["x"]), place(b["x"] + b["w"]))))
+        return across.withColumn("__y", F.explode(F.sequence(place(b["y"]), place(b["y"] + b["h"]))))
+
+    met = dealt(left, "l").join(dealt(right, "r").drop("__cell"), [image, "__x", "__y"])
+    own = lambda at: place(F.greatest(F.col("l")["box"][at], F.col("r")["box"][at]))
+    return met.filter((own("x") == F.col("__x")) & (own("y") == F.col("__y"))).select(image, "l", "r", iou(F.col("l.box"), F.col("r.box")).alias("overlap"))
+
+
+def close_pairs(images: DataFrame, image: str, left: str, right: str, least: float) -> DataFrame:
+    """(image, l, r, overlap): pairs of each image's arrays of boxes whose IoU is `least` or more, scored as compiled code.
+
+    The boxes of an image with more than CROWD pairs meet by grid cells, so that its pairs are about as many as those that overlap.
+    """
+    if least <= 0:  # boxes that do not overlap count too
+        return _every_pair(images, image, left, right).filter(F.col("overlap") >= least)
+    crowded = F.size(left).cast("long") * F.size(right) > CROWD
+    pairs = _every_pair(images.filter(~crowded), image, left, right).unionByName(_pairs_by_cells(images.filter(crowded), image, left, right))
+    return pairs.filter(F.col("overlap") >= least)
+
+
 def with_candidates(images: DataFrame, image: str, least: float) -> DataFrame:
     """images (image, truth, predictions) with `candidates`: pairs whose IoU reaches `least`, in the order in which a greedy match tries them.
 
-    Pairs are exploded and scored as compiled code, and only those at or above the least threshold come back to
-    their image: predictions by falling score, ties in input order; for each the truths by falling IoU, the later one on ties.
+    Predictions come by falling score, ties in input order; for each the truths by falling IoU, the later one on ties.
     """
-    pairs = images.select(image, F.explode("truth").alias("t"), "predictions").select(image, "t", F.explode("predictions").alias("p"))
-    close = pairs.select(image, "t", "p", iou(F.col("t.box"), F.col("p.box")).alias("overlap")).filter(F.col("overlap") >= least)
-    rank = F.struct((-F.col("p.score")).alias("k"), F.col("p.ordinal").cast("int").alias("p"), (-F.col("overlap")).alias("k2"), (-F.col("t.ordinal")).cast("int").alias("o"))
+    close = close_pairs(images, image, "truth", "predictions", least)
+    rank = F.struct((-F.col("r.score")).alias("k"), F.col("r.ordinal").cast("int").alias("p"), (-F.col("overlap")).alias("k2"), (-F.col("l.ordinal")).cast("int").alias("o"))
     listed = close.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("overlap").alias("overlap")))).alias("candidates"))
     return images.join(listed, image, "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(CANDIDATES)))
 
 
+def _bit(words: Column, k: Column) -> Column:
+    """Whether bit k of an array of 64-bit words is set."""
+    return F.call_function("shiftright", F.get(words, F.shiftright(k, 6)), k.bitwiseAND(63)).bitwiseAND(1) == 1
+
+
+def _with_bit(words: Column, k: Column) -> Column:
+    one, at = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63)), F.shiftright(k, 6)
+    return F.concat(F.slice(words, F.lit(1), at), F.array(F.get(words, at).bitwiseOR(one)), F.slice(words, at + 2, F.size(words) - at - 1))
+
+
+def _no_bits(most: Column) -> Column:
+    """Words for the bits 0 to most."""
+    return F.array_repeat(F.lit(0).cast("long"), F.shiftright(F.greatest(F.coalesce(most, F.lit(0)), F.lit(0)), 6) + 1)
+
+
 def greedy_matches(candidates: Column, threshold: float | Column) -> Column:
-    """array<struct(t, p, score)> of ordinals: each prediction in score order takes the free truth of highest IoU at or above the threshold, the later one on ties."""
+    """array<struct(t, p, score)> of ordinals: each prediction in score order takes the free truth of highest IoU at or above the threshold, the later one on ties.
+
+    A prediction's candidates are neighbours, so the last match tells whether it is taken; the truths taken and the candidates
+    chosen are bits. A step costs the same however many matches there are.
+    """
     least = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    truth = lambda c: (-c["rank"]["o"]).cast("int")
+    start = F.struct(_no_bits(F.size(candidates)).alias("chosen"), _no_bits(F.array_max(F.transform(candidates, truth))).alias("taken"), F.lit(-1).alias("p"), F.lit(0).alias("k"))
 
     def step(acc: Column, c: Column) -> Column:
-        t, p = (-c["rank"]["o"]).cast("int"), c["rank"]["p"]
-        taken = F.exists(acc, lambda m: (m["t"] == t) | (m["p"] == p))
-        return F.when((c["overlap"] < least) | taken, acc).otherwise(F.concat(acc, F.array(F.struct(t.alias("t"), p.alias("p"), (-c["rank"]["k"]).alias("score")))))
+        free = (c["overlap"] >= least) & (acc["p"] != c["rank"]["p"]) & ~_bit(acc["taken"], truth(c))
+        taken = F.struct(_with_bit(acc["chosen"], acc["k"]).alias("chosen"), _with_bit(acc["taken"], truth(c)).alias("taken"), c["rank"]["p"].alias("p"), (acc["k"] + 1).alias("k"))
+        return F.when(free, taken).otherwise(F.struct(acc["chosen"].alias("chosen"), acc["taken"].alias("taken"), acc["p"].alias("p"), (acc["k"] + 1).alias("k")))
+
+    match = lambda c: F.struct(truth(c).alias("t"), c["rank"]["p"].alias("p"), (-c["rank"]["k"]).alias("score"))
+    chosen = lambda bits: F.transform(F.filter(candidates, lambda c, k: _bit(bits, k)), match)
+    return once(F.aggregate(candidates, start, step, lambda acc: acc["chosen"]), chosen)
 
-    return F.aggregate(candidates, F.array().cast(MATCHES), step)
+
+def suppressed_crowds(images: DataFrame, image: str, boxes: str, threshold: float) -> DataFrame:
+    """images with `kept`: what suppressed() keeps, for images of any number of boxes.
+
+    A box meets only those of higher score that it overlaps by more than the threshold, by grid cells; a fold in score order then asks whether one of these was kept, which is a bit.
+    """
+    numbered = images.withColumn("__ranked", F.transform(by_score(F.col(boxes)), lambda b, i: F.struct(i.alias("rank"), b["ordinal"].alias("ordinal"), b["score"].alias("score"), b["box"].alias("box"))))
+    close = close_pairs(numbered.select(image, "__ranked", F.col("__ranked").alias("__other")), image, "__ranked", "__other", threshold)
+    before = close.filter((F.col("l.rank") < F.col("r.rank")) & (F.col("overlap") > threshold)).groupBy(image, F.col("r.rank").alias("rank")).agg(F.collect_list("l.rank").alias("over"))
+    listed = before.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("rank", "over"))).alias("__over"))
+    # a box that overlaps none before it is kept; the others are decided in order
+    joined = numbered.join(listed, image, "left").withColumn("__over", F.coalesce("__over", F.array().cast("array<struct<rank:int,over:array<int>>>")))
+    step = lambda gone, s: F.when(F.exists(s["over"], lambda k: ~_bit(gone, k)), _with_bit(gone, s["rank"])).otherwise(gone)
+    gone = F.aggregate("__over", _no_bits(F.size("__ranked")), step)
+    kept = once(gone, lambda g: F.filter("__ranked", lambda b: ~_bit(g, b["rank"])))
+    return joined.withColumn("kept", kept).drop("__ranked", "__over")
 
 
 def suppressed(boxes: Column, threshold: float) -> Column:

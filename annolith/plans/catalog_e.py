@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..operators import intake as N
+from ..operators import matching as M
 from ..operators import planning as P
 from ..operators import splits as S
 from ..streaming import manifest as SM
 from . import inputs as I
 from .catalog_a import _edges, _score
+from .catalog_b import _IOU_FULL
 from .catalog_c import _from, _sql
 from .catalog_d import REVIEW, _fresh
 from .registry import registry
@@ -145,3 +147,35 @@ def keyed_manifest(spark, sf):
     path = _fresh(spark, "keyed-manifest")
     SM.grow_manifest_files(named(stream), f"{path}/rows", f"{path}/state", 23, frozen=frozen.select("image", "group", "split"), assigned_on="day 2")
     return spark.read.schema(SM.ROWS).parquet(f"{path}/rows").select("image", "group", "split", "source", "assigned_on", "conflict")
+
+
+# --- crowded images -----------------------------------------------------------------------
+
+#: An image a supplier, of some hundred boxes.
+CROWDS = {
+    "image": "l_suppkey", "ordinal": "cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) - 1 as int)",
+    "x": "cast(l_partkey * 37 % 2500 as double)", "y": "cast(l_orderkey * 53 % 1900 as double)", "w": "cast(60.0 + l_quantity as double)", "h": "cast(30.0 + l_linenumber * 5 as double)", "score": "round(l_discount * 8 + 0.1, 2)",
+}
+_A, _B = tuple(f"a.{c}" for c in "xywh"), tuple(f"b.{c}" for c in "xywh")
+
+
+def _crowds(spark, sf):
+    rows = _from(spark, sf, "lineitem", CROWDS)
+    return M.grouped_boxes(rows, "image", F.col("ordinal"), F.struct(*"xywh"), F.col("score"), "boxes")
+
+
+@query(f"WITH c AS ({_sql('lineitem', CROWDS)}) SELECT a.image, a.ordinal AS first, b.ordinal AS second, round({_IOU_FULL(_A, _B)}, 9) AS overlap FROM c a JOIN c b ON a.image = b.image AND a.ordinal < b.ordinal WHERE {_IOU_FULL(_A, _B)} >= 0.4")
+def crowded_pairs(spark, sf):
+    crowds = _crowds(spark, sf)
+    pairs = M.close_pairs(crowds.withColumn("other", F.col("boxes")), "image", "boxes", "other", 0.4)
+    return pairs.filter("l.ordinal < r.ordinal").select("image", F.col("l.ordinal").alias("first"), F.col("r.ordinal").alias("second"), F.round("overlap", 9).alias("overlap"))
+
+
+@query(f"""WITH RECURSIVE c AS ({_sql('lineitem', CROWDS)}), b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, ordinal) AS rank FROM c),
+o AS (SELECT a.image, a.rank, list(b.rank) FILTER (b.rank IS NOT NULL) AS over FROM b a LEFT JOIN b ON b.image = a.image AND b.rank < a.rank AND {_IOU_FULL(_A, _B)} > 0.3 GROUP BY 1, 2),
+w AS (SELECT image, 0 AS rank, FALSE AS kept, []::bigint[] AS held FROM (SELECT DISTINCT image FROM b)
+UNION ALL SELECT o.image, o.rank, NOT list_has_any(coalesce(o.over, []), w.held), CASE WHEN list_has_any(coalesce(o.over, []), w.held) THEN w.held ELSE list_append(w.held, o.rank) END FROM w JOIN o ON o.image = w.image AND o.rank = w.rank + 1)
+SELECT w.image, b.ordinal FROM w JOIN b ON b.image = w.image AND b.rank = w.rank WHERE w.kept""")
+def crowded_nms(spark, sf):
+    kept = M.suppressed_crowds(_crowds(spark, sf), "image", "boxes", 0.3)
+    return kept.select("image", F.explode("kept").alias("b")).select("image", "b.ordinal")
