@@ -35,11 +35,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, weighed
+from ..operators.intake import hash_sieve, sieve_marked, sieved
+from .common import staged
 from .textbytes import BASE, flushes, mixed, powers, sliding_min, trim
 
 LENGTH = 400
@@ -183,13 +185,20 @@ KEY = ["rank", "node", "added"]
 
 
 def _ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Places that are repeated for certain, and the rows that go on, each with the new rank of its class. Rows of unique classes are in neither."""
-    alike = rows.groupBy(*KEY, "whole").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "of", "at")).alias("lead"))
+    """Places that are repeated for certain, and the rows that go on, each with the new rank of its class. Rows of unique classes are in neither.
+
+    Most rows are unique. Only the hashes of their pairs are shuffled to tell that; a sieve of those that occur twice then holds the others back on the scan.
+    """
+    paired = rows.withColumn("__pair", F.xxhash64(*KEY))
+    again = staged(paired.groupBy("__pair").agg(F.sum("n").alias("m")).filter("m > 1").select("__pair"), f"{name}-pairs")
+    sieve, n_words = hash_sieve(again, "__pair")
+    likely = sieved(paired, staged(sieve, f"{name}-sieve"), n_words, "__pair").drop("__pair")
+    alike = likely.groupBy(*KEY, "whole").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "of", "at")).alias("lead"))
     alike = staged(alike, f"{name}-alike")
     classes = alike.groupBy(*KEY).agg(F.sum("m").alias("all"), F.count("*").alias("kinds")).filter(F.col("all") > 1)
     classes = staged(classes.select(*KEY, F.col("kinds") > 1, F.monotonically_increasing_id().alias("new")).toDF(*KEY, "several", "new"), f"{name}-ranks")
-    shared = alike.join(weighed(classes), KEY)
-    met = staged(rows.join(weighed(staged(shared, f"{name}-shared")), [*KEY, "whole"]), f"{name}-met")
+    shared = staged(alike.join(classes, KEY), f"{name}-shared")
+    met = staged(likely.join(shared, [*KEY, "whole"]), f"{name}-met")
     repeated = met.filter("m > 1").select("doc_id", "of", (F.col("at") - F.col("hi")).alias("begin"), (F.col("at") - F.col("lo") + LENGTH).alias("end"))
     lead = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.of") == F.col("of")) & (F.col("lead.at") == F.col("at"))
     onward = met.filter(F.col("several") & lead).select("doc_id", "of", "at", "lo", "hi", F.col("new").alias("rank"), F.least("m", F.lit(2)).cast("int").alias("n"), *(["bytes"] if "bytes" in rows.columns else []))
@@ -209,7 +218,8 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         return places[0].unionByName(repeated)
     # the rows of a document meet its text once, which is cut where they are; a row carries its own bytes from here on
     by_text = staged(onward.groupBy("doc_id", "of").agg(F.collect_list(F.struct("at", "lo", "hi", "rank", "n")).alias("rows")), "onward-by-text")
-    met = _with_rows(docs, by_text, "inner").select("doc_id", "of", "rows", "text")
+    met, _ = _with_rows(docs, by_text)
+    met = met.select("doc_id", "of", "rows", "text")
     rows = met.mapInArrow(lambda batches: _children(_cut(batches), SPANS[1]), CHILD)
     if docs.groupBy("doc_id", "of").count().filter("count > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id", "of", "at", "lo", "hi"])  # rows of one id and text have the same anchors
@@ -223,15 +233,23 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, places)
 
 
-def _with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs joined to a staged table of one row for each doc_id, which may be null, and text."""
+def _with_rows(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs that may be among a staged table's, of one row for each doc_id (null included) and text, with its columns; and docs that are not.
+
+    A sieve of the table's documents decides on the scan, so that only texts that have rows, and few others, are shuffled.
+    """
+    keyed = rows.withColumn("__key", F.xxhash64("doc_id", "of"))
+    sieve, n_words = hash_sieve(keyed, "__key")
+    told = sieve_marked(docs.withColumn("__key", F.xxhash64("doc_id", "of")), staged(sieve, "documents-sieve"), n_words, "__key", "__maybe").drop("__key")
     other = rows.withColumnsRenamed({"doc_id": "__id", "of": "__of"})
-    return docs.join(weighed(other), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), how)
+    met = told.filter("__maybe").join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left")
+    return met, told.filter("NOT __maybe")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of each document with the bytes of all their positions; texts are taken a flush at a time and never as strings."""
     for flush in flushes(batches, 3, FLUSH):
+        flush = flush.filter(pc.is_valid(flush.column(2)))
         rows = flush.column(2).combine_chunks()
         at, lo, hi, rank, n = (np.asarray(rows.flatten().field(k)).tolist() for k in ("at", "lo", "hi", "rank", "n"))
         k = 0
@@ -274,5 +292,7 @@ def removed(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if keep_bytes else [])])
 
-    rows = _with_rows(narrow, staged(ranges, "ranges"), "left").select("doc_id", "text", "begin", "end")
+    held, free = _with_rows(narrow, staged(ranges, "ranges"))
+    none = F.lit(None).cast("array<long>")
+    rows = held.select("doc_id", "text", "begin", "end").unionAll(free.select("doc_id", "text", none, none))
     return rows.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * keep_bytes)
