@@ -151,9 +151,9 @@ def keyed_manifest(spark, sf):
 
 # --- crowded images -----------------------------------------------------------------------
 
-#: An image a supplier, of some hundred boxes.
+#: Four images a supplier, of some 150 boxes each.
 CROWDS = {
-    "image": "l_suppkey", "ordinal": "cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) - 1 as int)",
+    "image": "l_suppkey * 4 + l_orderkey % 4", "ordinal": "cast(row_number() over (partition by l_suppkey * 4 + l_orderkey % 4 order by l_orderkey, l_linenumber, l_partkey) - 1 as int)",
     "x": "cast(l_partkey * 37 % 2500 as double)", "y": "cast(l_orderkey * 53 % 1900 as double)", "w": "cast(60.0 + l_quantity as double)", "h": "cast(30.0 + l_linenumber * 5 as double)", "score": "round(l_discount * 8 + 0.1, 2)",
 }
 _A, _B = tuple(f"a.{c}" for c in "xywh"), tuple(f"b.{c}" for c in "xywh")
@@ -171,8 +171,8 @@ def crowded_pairs(spark, sf):
     return pairs.filter("l.ordinal < r.ordinal").select("image", F.col("l.ordinal").alias("first"), F.col("r.ordinal").alias("second"), F.round("overlap", 9).alias("overlap"))
 
 
-@query(f"""WITH RECURSIVE c AS ({_sql('lineitem', CROWDS)}), b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, ordinal) AS rank FROM c),
-o AS (SELECT a.image, a.rank, list(b.rank) FILTER (b.rank IS NOT NULL) AS over FROM b a LEFT JOIN b ON b.image = a.image AND b.rank < a.rank AND {_IOU_FULL(_A, _B)} > 0.3 GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE c AS ({_sql('lineitem', CROWDS)}), b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, ordinal) AS rank FROM c),
+o AS MATERIALIZED (SELECT a.image, a.rank, list(b.rank) FILTER (b.rank IS NOT NULL) AS over FROM b a LEFT JOIN b ON b.image = a.image AND b.rank < a.rank AND {_IOU_FULL(_A, _B)} > 0.3 GROUP BY 1, 2),
 w AS (SELECT image, 0 AS rank, FALSE AS kept, []::bigint[] AS held FROM (SELECT DISTINCT image FROM b)
 UNION ALL SELECT o.image, o.rank, NOT list_has_any(coalesce(o.over, []), w.held), CASE WHEN list_has_any(coalesce(o.over, []), w.held) THEN w.held ELSE list_append(w.held, o.rank) END FROM w JOIN o ON o.image = w.image AND o.rank = w.rank + 1)
 SELECT w.image, b.ordinal FROM w JOIN b ON b.image = w.image AND b.rank = w.rank WHERE w.kept""")

@@ -1,11 +1,11 @@
-"""Sinks: ordered delimited files, label files, JSON summaries and text reports. Single-file sinks are for small tables and say so."""
+"""Sinks: ordered delimited files, label files, JSON summaries and text reports."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -29,24 +29,93 @@ def three_decimals(value: Column) -> Column:
     return F.format_string("%.3f", F.bround(clamped, 3))
 
 
-def _single(df: DataFrame, path: str, header: bool, delimiter: str = ";") -> None:
-    df.coalesce(1).write.mode("errorifexists").csv(path, sep=delimiter, header=header, lineSep="\n", quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+CSV = {"lineSep": "\n", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, the path, and the configuration."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf), place, conf
+
+
+def joined(spark: SparkSession, parts: list[str | bytes], target: str) -> None:
+    """One file of the bytes given and of the part files of the folders named, in order; it gets its name when it is whole.
+
+    Where the file system can concatenate (and all parts are files) it does; elsewhere the bytes pass through in blocks and are never held.
+    """
+    jvm, (fs, place, conf) = spark.sparkContext._jvm, _files(spark, target)
+    if fs.exists(place):
+        raise UnsafeOutput(f"{target} exists")
+    partial = jvm.org.apache.hadoop.fs.Path(f"{target}.part")
+    fs.setWriteChecksum(False)  # a local file system would put a file of its own beside it
+    out = fs.create(partial, True)
+    fs.setWriteChecksum(True)
+    pieces: list = []
+    for part in parts:
+        if isinstance(part, bytes):
+            pieces.append(part)
+        else:
+            listed = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(part)) if s.getPath().getName().startswith("part-") and s.getLen()]
+            pieces += sorted(listed, key=lambda p: int(p.getName().split("-")[1].split(".")[0]))
+    while pieces and isinstance(pieces[0], bytes):
+        out.write(pieces.pop(0))
+    if fs.getScheme() == "hdfs" and pieces and not any(isinstance(p, bytes) for p in pieces):
+        out.close()
+        _concat(spark, fs, partial, pieces)
+    else:
+        for p in pieces:
+            if isinstance(p, bytes):
+                out.write(p)
+            else:
+                read = fs.open(p)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, conf, False)
+                read.close()
+        out.close()
+    if not fs.rename(partial, place):
+        raise UnsafeOutput(f"{target} could not be named")
+
+
+def _concat(spark: SparkSession, fs, target, pieces: list) -> None:
+    array = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(pieces))
+    for k, p in enumerate(pieces):
+        array[k] = p
+    fs.concat(target, array)
+
+
+def write_ordered(df: DataFrame, path: str, order: list[str], drop: tuple[str, ...] = (), header: bool = False, delimiter: str = ";") -> int:
+    """One delimited file in a new folder, sorted; returns the rows written.
+
+    Ranges of the order are sorted and written by as many tasks as there are ranges, and their files joined. The rows are counted by the job that writes them.
+    """
+    spark = df.sparkSession
+    fs, place, _ = _files(spark, path)
+    if fs.exists(place) and fs.listStatus(place):
+        raise UnsafeOutput(f"{path} is not empty")
+    counted = Observation()
+    rows = (df.orderBy(*order) if order else df).drop(*drop)
+    parts = f"{path}/_parts"
+    rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.csv(parts, sep=delimiter, header=False, **CSV)
+    head = [(delimiter.join(rows.columns) + "\n").encode()] if header else []
+    joined(spark, [*head, parts], f"{path}/part-00000.csv")
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parts), True)
+    return counted.get["rows"]
 
 
 def write_submission(records: DataFrame, path: str, header: bool = False) -> int:
     """image;plate_num;plate_type;confidence in one file, in order of image and ordinal; returns the rows written."""
     rows = records.select("image", "plate_num", "plate_type", three_decimals(F.col("confidence")).alias("confidence"), "ordinal")
-    _single(rows.orderBy("image", "ordinal").drop("ordinal"), path, header)
-    return rows.count()
+    return write_ordered(rows, path, ["image", "ordinal", "plate_num"], ("ordinal",), header)
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
+def write_manifest(rows: DataFrame, path: str) -> int:
     """A split manifest sorted by image."""
-    _single(rows.select(*V.SPLIT_MANIFEST.names).na.fill("").orderBy("image"), path, True)
+    return write_ordered(rows.select(*V.SPLIT_MANIFEST.names).na.fill(""), path, ["image"], header=True)
 
 
-def write_candidates(rows: DataFrame, path: str) -> None:
-    _single(rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in V.CANDIDATE_FIELDS)), path, True)
+def write_candidates(rows: DataFrame, path: str) -> int:
+    """Candidates in the order of their ids; blank cells for what is missing."""
+    return write_ordered(rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in V.CANDIDATE_FIELDS)), path, ["candidate_id", "original_url"], header=True)
 
 
 def review_rows(items: DataFrame, human: list[str]) -> DataFrame:
@@ -54,10 +123,10 @@ def review_rows(items: DataFrame, human: list[str]) -> DataFrame:
     return items.withColumns({c: F.lit("") for c in human})
 
 
-def write_review(items: DataFrame, path: str, human: list[str]) -> None:
-    """Review rows in one file; arrays are joined by commas."""
+def write_review(items: DataFrame, path: str, human: list[str]) -> int:
+    """Review rows in one file, in the order of their first column; arrays are joined by commas. Reasons and flags are such columns."""
     flat = [F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in items.dtypes]
-    _single(review_rows(items.select(*flat), human), path, True)
+    return write_ordered(review_rows(items.select(*flat), human), path, items.columns[:1], header=True)
 
 
 def label_lines(boxes: DataFrame, image: str, ordinal: str, line: Column) -> DataFrame:

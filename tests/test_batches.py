@@ -25,7 +25,9 @@ def samples(spark, n=3):
 
 def test_batch_is_written_and_replaced(spark, tmp_path):
     root = str(tmp_path / "batch")
-    manifest = batches.write_batch(samples(spark), root)
+    head = batches.write_batch(samples(spark), root)
+    manifest = json.loads((tmp_path / "batch/manifest.json").read_text())
+    assert {k: v for k, v in manifest.items() if k != "files"} == head and head["images"] == 3
     files = {p.relative_to(root).as_posix(): hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "batch").rglob("*") if p.is_file() and p.name != "manifest.json"}
     assert manifest["files"] == files and manifest["complete"] and manifest["by_plate_type"] == {"type1": 3}
     assert {(r.path, r.sha256) for r in batches.read_manifest(spark, root).collect()} == set(files.items())
@@ -38,15 +40,65 @@ def test_batch_is_written_and_replaced(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "batch/images").iterdir()) == ["s0.jpg", "s1.jpg"] and (tmp_path / "batch/own.txt").read_text() == "mine"
 
 
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(12))
+def test_a_batch_interrupted_at_any_step_is_cleared(spark, tmp_path, monkeypatch, step):
+    """Every call that changes the folder from the driver fails in turn; tasks are stopped between their journal and their files."""
+    root, left = str(tmp_path / "batch"), [step]
+    (tmp_path / "batch").mkdir()
+
+    def stopping(f):
+        def run(*args, **kwargs):
+            left[0] -= 1
+            if left[0] < 0:
+                raise Stopped
+            return f(*args, **kwargs)
+
+        return run
+
+    with monkeypatch.context() as m:
+        for name in ("put", "joined", "digest_of"):
+            m.setattr(batches, name, stopping(getattr(batches, name)))
+        m.setattr(batches.json, "loads", stopping(batches.json.loads)) if step == 11 else None
+        try:
+            batches.write_batch(samples(spark, 5), root)
+        except Exception as stopped:  # noqa: BLE001 - of tasks Spark tells in its own words
+            assert isinstance(stopped, Stopped) or "Stopped" in str(stopped) or step == 11
+    (tmp_path / "batch/own.txt").write_text("mine")
+    if not (tmp_path / "batch/manifest.json").exists():
+        (tmp_path / "batch/own.txt").unlink()
+        for p in (tmp_path / "batch").rglob("*.part"):
+            p.unlink()
+    batches.write_batch(samples(spark, 2), root, overwrite=True)
+    kept = {p.relative_to(tmp_path / "batch").as_posix() for p in (tmp_path / "batch").rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert kept - {"own.txt"} == {"images/s0.jpg", "images/s1.jpg", "manifest.json", "meta.csv", "records.jsonl"}
+
+
+def test_what_an_interrupted_batch_journalled_goes(spark, tmp_path):
+    root = str(tmp_path / "batch")
+    batches.begin(root, False)
+    batches.put(root, "_journal/x", b'["images/old_1.jpg", "images/old_2.jpg", "../out.txt"]')
+    batches.put(root, "images/old_1.jpg", b"1")
+    (tmp_path / "batch/images/old_2.jpg.part").write_bytes(b"2")
+    (tmp_path / "batch/images/other.jpg").write_bytes(b"3")
+    (tmp_path / "out.txt").write_text("outside")
+    batches.write_batch(samples(spark, 1), root, overwrite=True)
+    assert sorted(p.name for p in (tmp_path / "batch/images").iterdir() if not p.name.startswith(".")) == ["other.jpg", "s0.jpg"]
+    assert (tmp_path / "out.txt").read_text() == "outside" and not (tmp_path / "batch/_journal").exists()
+
+
 def test_foreign_folders_are_left_alone(tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x/file").write_text("1")
     for overwrite in (False, True):
         with pytest.raises(UnsafeOutput):
-            batches.make_room(str(tmp_path / "x"), overwrite)
+            batches.begin(str(tmp_path / "x"), overwrite)
     (tmp_path / "x/manifest.json").write_text('{"writer": "other", "files": {"file": ""}}')
     with pytest.raises(UnsafeOutput):
-        batches.make_room(str(tmp_path / "x"), True)
+        batches.begin(str(tmp_path / "x"), True)
     assert (tmp_path / "x/file").read_text() == "1"
 
 
