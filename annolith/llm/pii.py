@@ -6,13 +6,13 @@ and non-overlapping per kind. Each distinct value found is a protected entity.
 Secrets, assigned keys, tokens and passwords and keys of well-known shapes, are direct identifiers of the method's own, kind
 `secret`: entities and spans like the base ones, but no part of the base digest.
 
-Method: the words of four letters or more outside emails are terms. Over the
+Method: the runs of letters or digits outside emails are terms, of any length and script. Over the
 whole corpus, with N documents, n(e) that hold entity e, n(t) that hold term t
 and n(t, e) that hold both, a term tells
     PMI(t; e) = log2(N n(t, e) / (n(t) n(e)))
 of the entity's information IC(e) = -log2(n(e) / N). A term seen with the entity in
 EVIDENCE documents or more that tells DISCLOSURE of IC(e) or more is a span of
-its own, kind `term`, wherever it stands in any text; sanitised() removes direct
+its own, kind `term`, wherever it stands in any text outside direct identifiers; sanitised() removes direct
 identifiers and generalises such terms. As n(t, e) is n(e) at most, only terms of at
 most N^(1 - DISCLOSURE) n(e)^DISCLOSURE documents can tell so much; no others are paired.
 
@@ -28,15 +28,17 @@ by find() and kept by sanitised().
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import staged, weighed
 
 #: The fixed patterns, in the form that Java matches without backtracking or recursion.
-#: An email's local part begins where the last match ended or after a character that it cannot hold.
+#: An email's local part begins where the last match ended or after a character that it cannot hold, and so do an
+#: address' digits: a start inside a run can match only if the run's own start does.
 KINDS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -47,7 +49,7 @@ _NAMED = r"(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)"
 SECRET = rf"(?i:{_NAMED})[\x22']?\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.~-]{{8,}}+[\x22']?|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
 SECRET_HINT = rf"(?i:{_NAMED})[\x22']?\x20?[=:]|AKIA|gh[pousr]_|PRIVATE KEY"
 DIRECT = (*KINDS, "secret")
-TERM = r"(?<!\p{L})\p{L}{4,}+(?!\p{L})"
+TERM = r"[\p{L}\p{N}]++"
 
 EVIDENCE = 2
 DISCLOSURE = 0.9
@@ -132,42 +134,60 @@ def _terms() -> Column:
     return F.array_distinct(F.transform(_forms(), F.lower))
 
 
+def _holders() -> list[Column]:
+    """The documents of a group in number and as 128 bits that tell one set of them from another. The group has each document once."""
+    return [F.count("*").alias("n"), F.bit_xor(F.xxhash64("__row")).alias("s1"), F.bit_xor(F.xxhash64("__row", F.lit(1))).alias("s2")]
+
+
 def disclosing(base: DataFrame, disclosure: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
-    """(entity, term, tells): terms that tell `disclosure` or more of an entity's information; base has __row, text and the kinds."""
+    """(term, tells): terms that tell `disclosure` or more of some entity's information, and the most that they tell; base has __row, text and the kinds."""
     named = lambda k: lambda s: F.concat(F.lit(k + ":"), s["value"])
     held = base.select("__row", F.explode(F.array_distinct(F.concat(*(F.transform(F.col(k), named(k)) for k in DIRECT)))).alias("entity"))
     # an entity of fewer documents than the evidence asks for has no terms
-    of_entity = staged(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= evidence), "entities")
-    n, most = of_entity.agg(F.count("*"), F.coalesce(F.max("n_e"), F.lit(0))).first()
-    held = staged(held.join(small(of_entity, n, 64), "entity"), "held-entities")
+    of_entity = staged(held.groupBy("entity").agg(*_holders()).filter(F.col("n") >= evidence).toDF("entity", "n_e", "e1", "e2"), "entities")
+    most = of_entity.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
+    held = staged(held.join(weighed(of_entity), "entity").select("__row", "n_e", "e1", "e2").distinct(), "held-entities")
     rows = float(base.count())
     bound = lambda n_e: F.lit(rows ** (1 - disclosure) * (1 + 1e-9)) * F.pow(n_e, F.lit(disclosure))
-    of_term = base.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    of_term = base.select("__row", F.explode(_terms()).alias("term")).groupBy("term").agg(*_holders()).toDF("term", "n_t", "t1", "t2")
     of_term = staged(of_term.filter((F.col("n_t") >= evidence) & (F.col("n_t") <= bound(F.lit(most).cast("double")))), "term-counts")
-    holders = held.select("__row").distinct()
-    seen = base.join(small(holders, holders.count(), 16), "__row", "left_semi").select("__row", F.explode(_terms()).alias("term"))
-    seen = staged(seen.join(small(of_term, of_term.count(), 64), "term"), "rare-terms")
-    pairs = seen.join(held, "__row").filter(F.col("n_t") <= bound(F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= evidence)
+    holders = staged(held.select("__row").distinct(), "entity-holders")
+    seen = base.join(weighed(holders), "__row", "left_semi").select("__row", F.explode(_terms()).alias("term"))
+    seen = staged(seen.join(weighed(of_term), "term").select("__row", "n_t", "t1", "t2").distinct(), "rare-terms")
+    pairs = seen.join(held, "__row").filter(F.col("n_t") <= bound(F.col("n_e"))).groupBy("e1", "e2", "t1", "t2", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= evidence)
     pmi = F.log2(F.lit(rows) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     content = -F.log2(F.col("n_e") / F.lit(rows))
-    told = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    return pairs.withColumn("tells", told).filter(F.col("tells") >= disclosure).select("entity", "term", "tells")
+    told = pairs.withColumn("tells", F.when(content > 0, pmi / content).otherwise(F.lit(0.0))).filter(F.col("tells") >= disclosure)
+    told = staged(told.groupBy("t1", "t2", "n_t").agg(F.max("tells").alias("tells")), "telling-sets")
+    return of_term.join(weighed(told), ["t1", "t2", "n_t"]).select("term", "tells")
+
+
+def _term_spans(base: DataFrame, told: DataFrame) -> DataFrame:
+    """(__row, term): the sorted spans of told terms of the texts that have any, outside direct identifiers.
+
+    Every run of such a text is placed once, whatever the number of told terms.
+    """
+    texts = base.select("__row", F.explode(_terms()).alias("term")).join(weighed(told), "term", "left_semi").select("__row").distinct()
+    texts = staged(texts, "told-texts")
+    marked = with_spans(base.join(weighed(texts), "__row", "left_semi"), F.coalesce("text", F.lit("")), TERM, "__t", F.lit(True))
+    runs = marked.select("__row", F.explode("__t").alias("s")).select("__row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lower("s.value").alias("term"))
+    runs = runs.join(weighed(told), "term", "left_semi").select("__row", "start", "end", F.col("term").alias("value"))
+    direct = base.join(weighed(texts), "__row", "left_semi").select("__row", F.explode(F.concat(*DIRECT)).alias("s")).select("__row", "s.start", "s.end", F.lit(None).cast("string").alias("value"))
+    # in order of places, a run meets a direct identifier if one that began before ends after its start, or the next one begins before its end
+    is_direct = F.col("value").isNull()
+    on, back = W.partitionBy("__row").orderBy("start", is_direct.desc()), W.partitionBy("__row").orderBy(F.col("start").desc(), is_direct)
+    placed = runs.unionByName(direct).select("*", F.max(F.when(is_direct, F.col("end"))).over(on.rowsBetween(W.unboundedPreceding, 0)).alias("reach"), F.last(F.when(is_direct, F.col("start")), True).over(back.rowsBetween(W.unboundedPreceding, 0)).alias("next"))
+    free = placed.filter(~is_direct & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))
+    return free.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("term"))
 
 
 def _all_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """__row, doc_id, the direct kinds and `term`, a sorted array of spans that disclose; `keep` names columns to carry."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
     base = staged(base_spans(plain).withColumn("__row", F.monotonically_increasing_id()), "direct-identifiers")
-    told = staged(disclosing(base).select("term").distinct(), "disclosing-terms")
-    # Only the forms of told terms are looked for again, each by a pattern of its own, so that no other word's place is worked out.
-    forms = base.select("__row", F.explode(F.array_distinct(_forms())).alias("form")).withColumn("term", F.lower("form"))
-    forms = staged(forms.join(small(told, told.count(), 48), "term", "left_semi").select("__row", "form"), "told-forms")
-    marked = base.select("__row", "text", "email").join(small(forms, forms.count(), 48), "__row")
-    marked = with_spans(marked, F.col("text"), F.concat(F.lit(r"(?<!\p{L})"), F.col("form"), F.lit(r"(?!\p{L})")), "__t", F.lit(True))
-    free = F.filter("__t", lambda s: ~F.exists("email", lambda e: (s["start"] < e["end"]) & (s["end"] > e["start"])))
-    own = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
-    terms = staged(marked.select("__row", own.alias("s")).groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("term")), "term-spans")
-    return base.join(small(terms, terms.count(), 256), "__row", "left").withColumn("term", F.coalesce("term", F.array().cast(SPAN)))
+    told = staged(disclosing(base).select("term"), "disclosing-terms")
+    terms = staged(_term_spans(base, told), "term-spans")
+    return base.join(weighed(terms), "__row", "left").withColumn("term", F.coalesce("term", F.array().cast(SPAN)))
 
 
 def _told(kinds: tuple[str, ...]) -> Column:

@@ -145,7 +145,7 @@ def disclosed(rows, disclosure=0.9, evidence=2):
         t = t or ""
         holds.append({f"{k}:{t[a:b]}" for k, a, b in pii_spans(t)})
         bare = re.sub(PII["email"], " ", t)
-        terms.append({x.lower() for x in re.findall(r"[^\W\d_]+", bare) if len(x) >= 4})
+        terms.append({x.lower() for x in re.findall(r"[^\W_]+", bare)})
     n, n_e, n_t = len(rows), Counter(e for h in holds for e in h), Counter(x for ts in terms for x in ts)
     both = Counter((e, x) for h, ts in zip(holds, terms, strict=True) for e in h for x in ts)
     found = set()
@@ -156,11 +156,11 @@ def disclosed(rows, disclosure=0.9, evidence=2):
     return found
 
 
-def term_spans(text, told):
-    """Places of told terms outside emails."""
+def term_spans(text, told, secrets=()):
+    """Places of told terms outside direct identifiers."""
     text = text or ""
-    mails = [(a, b) for k, a, b in pii_spans(text) if k == "email"]
-    return [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in told and not any(m.start() < b and m.end() > a for a, b in mails)]
+    direct = [(a, b) for _, a, b in pii_spans(text)] + list(secrets)
+    return [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in told and not any(m.start() < b and m.end() > a for a, b in direct)]
 
 
 def spelled(rows):

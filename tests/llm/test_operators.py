@@ -376,6 +376,30 @@ def test_pii_terms_against_counts(spark):
     assert told and "ordinary" not in told
 
 
+def test_pii_terms_of_any_length_and_script(spark):
+    tell = "Kim Bob 金 王伟 19870512 a@b.co, +1 555 123 4567"
+    rows = [(1, tell), (2, f"{tell} 4567"), (3, "kim"), (4, "王伟 was born 19870512."), *((10 + i, "plain words that all texts hold") for i in range(600))]
+    got = {r.doc_id: r.spans.split(",") for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == ["term:0:3"] and got[4] == ["term:0:2", "term:12:20"] and got[10] == [""]
+    # what tells is no span of its own inside a direct identifier
+    assert [s for s in got[2] if s.startswith("term:")] == [*(s for s in got[1] if s.startswith("term:")), f"term:{len(tell) + 1}:{len(tell) + 5}"]
+    told = brute.disclosed(rows)
+    for d, text in rows:
+        assert sorted(s for s in got[d] if s.startswith("term:")) == sorted(f"term:{a}:{b}" for a, b in brute.term_spans(text, told))
+
+
+def test_pii_is_linear_in_runs_and_lists(spark):
+    """A run of a million digits; two copies of a list of thousands of addresses among as many terms."""
+    import time
+
+    listed = " ".join(f"u{k}@mail{k}.org name{k}" for k in range(3000))
+    rows = [(1, "1" * 1_000_000 + " 1.2"), (2, "+" + "1 (" * 100_000), (3, "7." * 300_000), (4, listed), (5, listed), *((10 + i, f"w{i}") for i in range(100))]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 90
+    assert got[1].n_ip == 0 and got[4].n_email == 3000 and got[4].n_term == 3000 and got[10].n_term == 0
+
+
 def test_pii_terms_far_from_entities(spark):
     """At both ends of a text, far from the entity, and in a text without any."""
     far = "plain filler words " * 20
