@@ -50,6 +50,7 @@ SECRET = rf"(?i:{_NAMED})[\x22']?\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.~-]{{8,}}+[
 SECRET_HINT = rf"(?i:{_NAMED})[\x22']?\x20?[=:]|AKIA|gh[pousr]_|PRIVATE KEY"
 DIRECT = (*KINDS, "secret")
 TERM = r"[\p{L}\p{N}]++"
+RUN_END = r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])"
 
 EVIDENCE = 2
 DISCLOSURE = 0.9
@@ -169,8 +170,11 @@ def _term_spans(base: DataFrame, told: DataFrame) -> DataFrame:
     """
     texts = base.select("__row", F.explode(_terms()).alias("term")).join(weighed(told), "term", "left_semi").select("__row").distinct()
     texts = staged(texts, "told-texts")
-    marked = with_spans(base.join(weighed(texts), "__row", "left_semi"), F.coalesce("text", F.lit("")), TERM, "__t", F.lit(True))
-    runs = marked.select("__row", F.explode("__t").alias("s")).select("__row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lower("s.value").alias("term"))
+    # a text is cut behind every run, and the lengths of the pieces are summed over the exploded rows
+    pieces = base.join(weighed(texts), "__row", "left_semi").select("__row", F.posexplode(F.split(F.coalesce("text", F.lit("")), RUN_END)).alias("k", "piece"))
+    sized = pieces.select("__row", "k", F.length("piece").alias("length"), F.regexp_extract("piece", f"{TERM}$", 0).alias("run"))
+    placed = sized.withColumn("end", F.sum("length").over(W.partitionBy("__row").orderBy("k").rowsBetween(W.unboundedPreceding, 0)).cast("int")).filter("run <> ''")
+    runs = placed.select("__row", (F.col("end") - F.length("run")).alias("start"), "end", F.lower("run").alias("term"))
     runs = runs.join(weighed(told), "term", "left_semi").select("__row", "start", "end", F.col("term").alias("value"))
     direct = base.join(weighed(texts), "__row", "left_semi").select("__row", F.explode(F.concat(*DIRECT)).alias("s")).select("__row", "s.start", "s.end", F.lit(None).cast("string").alias("value"))
     # in order of places, a run meets a direct identifier if one that began before ends after its start, or the next one begins before its end
