@@ -8,6 +8,7 @@ from .. import vocab as V
 from ..operators import intake as N
 from ..operators import matching as M
 from ..operators import planning as P
+from ..operators import settings as ST
 from ..operators import splits as S
 from ..streaming import manifest as SM
 from . import inputs as I
@@ -179,3 +180,36 @@ SELECT w.image, b.ordinal FROM w JOIN b ON b.image = w.image AND b.rank = w.rank
 def crowded_nms(spark, sf):
     kept = M.suppressed_crowds(_crowds(spark, sf), "image", "boxes", 0.3)
     return kept.select("image", F.explode("kept").alias("b")).select("image", "b.ordinal")
+
+
+# --- settings -----------------------------------------------------------------------------
+
+#: Settings a customer, with faults of every kind among them.
+_GIVEN = {
+    "seed": "cast(c_custkey - 20 as varchar(20))", "count": "case when c_custkey % 7 = 0 then '1.5' else '10' end", "supersample": "case when c_custkey % 11 = 0 then '9' when c_custkey % 13 = 0 then 'four' else '4' end",
+    "font": "case when c_custkey % 5 = 0 then '\"serif\"' else '\"stroke\"' end", "class_weights.type1": "case when c_custkey % 3 = 0 then '0' else '0.5' end", "class_weights.type1a": "case when c_custkey % 6 = 0 then '-1' else '0' end",
+    "difficulties.easy.px_per_mm": "case when c_custkey % 4 = 0 then '[0.5, 0.2]' when c_custkey % 9 = 0 then '[0.01, 0.2]' when c_custkey % 10 = 0 then '[1]' else '[0.2, 0.5]' end",
+    "difficulties.hard.min_plate_contrast": "case when c_custkey % 8 = 0 then '1' else '0.99' end", "difficulties.none.max_effects": "'1'", "three_digit_region_probability": "case when c_custkey % 12 = 0 then '1e1' else '3.5e-1' end",
+}
+
+
+def _settings_sql() -> str:
+    rules = ", ".join(f"('{r.name}', '{r.kind}', {'NULL' if r.low is None else repr(float(r.low))}::double, {'NULL' if r.high is None else repr(float(r.high))}::double, {r.below}, {r.required})" for r in ST.generator_rules())
+    given = " UNION ALL ".join(f"SELECT c_custkey AS config, '{name}' AS name, {value} AS value FROM customer" for name, value in _GIVEN.items())
+    number = f"CASE WHEN regexp_matches(value, '{ST.NUMBER}') THEN try_cast(value AS double) END"
+    pair = "list_transform(string_split(regexp_extract(value, '^\\[(.*)\\]$', 1), ','), lambda p: try_cast(trim(p) AS double))"
+    out = lambda v: f"coalesce({v} < low OR {v} > high OR (below AND {v} = high), FALSE)"
+    return f"""
+WITH r(name, kind, low, high, below, required) AS (VALUES {rules}), s AS ({given}), j AS (SELECT s.*, r.kind, low, high, below, {number} AS x, {pair} AS p FROM s LEFT JOIN r USING (name)),
+f AS (SELECT config, name, CASE WHEN kind IS NULL THEN 'is unknown' WHEN kind = 'pair' THEN CASE WHEN len(p) <> 2 OR p[1] IS NULL OR p[2] IS NULL THEN 'is no pair of numbers' WHEN p[1] > p[2] THEN 'is out of order' WHEN {out('p[1]')} OR {out('p[2]')} THEN 'is outside its bounds' END
+ WHEN kind = 'choice' THEN CASE WHEN value <> '"stroke"' THEN 'is none of its choices' END WHEN x IS NULL THEN 'is no number' WHEN kind = 'whole' AND regexp_matches(value, '[.eE]') THEN 'is no whole number' WHEN {out('x')} THEN 'is outside its bounds' END AS finding FROM j)
+SELECT config, name, finding FROM f WHERE finding IS NOT NULL UNION ALL SELECT c.config, r.name, 'is missing' FROM (SELECT DISTINCT config FROM s) c, r WHERE required AND NOT EXISTS (SELECT 1 FROM s WHERE s.config = c.config AND s.name = r.name)
+UNION ALL SELECT config, 'class_weights', 'has no weight above 0' FROM j WHERE kind = 'weight' GROUP BY config HAVING sum(greatest(coalesce(x, 0), 0)) <= 0"""
+
+
+@query(_settings_sql())
+def setting_findings(spark, sf):
+    customers = I.table(spark, sf, "customer")
+    given = F.map_from_arrays(F.lit(list(_GIVEN)), F.array(*(F.expr(v) for v in _GIVEN.values())))
+    settings = customers.select(F.col("c_custkey").alias("config"), F.explode(given).alias("name", "value"))
+    return ST.setting_findings(settings, ST.rule_table(spark, ST.generator_rules()))

@@ -150,3 +150,35 @@ EFFECT_LEVELS = {
         "rain": 0.18, "snow": 0.20, "motion_blur": 0.38, "defocus": 0.25, "heavy_noise": 0.20,
     }},
 }
+
+# Bounds of a generator's settings as (kind, least, most, most itself not allowed).
+GENERATOR_SETTINGS = {
+    "seed": ("whole", 0, None, False),
+    "count": ("whole", 1, None, False),
+    "three_digit_region_probability": ("number", 0.0, 1.0, False),
+    "max_hidden_characters": ("whole", 0, 4, False),
+    "max_images_per_plate": ("whole", 1, None, False),
+    "supersample": ("whole", 1, 8, False),
+    "min_char_height_px": ("number", 2, 100, False),
+}
+LEVEL_SETTINGS = {
+    "px_per_mm": ("pair", 0.02, 5.0, False),
+    "max_yaw_deg": ("number", 0.0, 70.0, False),
+    "max_pitch_deg": ("number", 0.0, 70.0, False),
+    "max_roll_deg": ("number", 0.0, 70.0, False),
+    "distance_ratio": ("pair", 2.0, 200.0, False),
+    "brightness": ("pair", 0.1, 3.0, False),
+    "contrast": ("pair", 0.1, 3.0, False),
+    "gamma": ("pair", 0.2, 5.0, False),
+    "white_balance": ("number", 0.0, 0.5, False),
+    "noise_sigma": ("pair", 0.0, 0.5, False),
+    "jpeg_quality": ("pair", 5, 100, False),
+    "double_jpeg_probability": ("number", 0.0, 1.0, False),
+    "max_effects": ("whole", 0, None, False),
+    "severity_budget": ("number", 0.0, 20.0, False),
+    "min_plate_contrast": ("number", 0.0, 1.0, True),
+}
+EFFECT_RANGES = {
+    "night": ("darkness", "plate_gain"), "low_light": ("gain",), "shadow": ("strength",), "glare": ("strength", "radius"), "dirt": ("strength",),
+    "occlusion": ("extent",), "rain": ("density",), "snow": ("density",), "motion_blur": ("length_px",), "defocus": ("radius_px",), "heavy_noise": ("sigma",),
+}
