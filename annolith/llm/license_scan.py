@@ -12,6 +12,10 @@ filter stops as soon as the words left cannot reach m. What passes is counted
 exactly, so every block at or above the threshold is found and no other. Runs are
 looked at only where the whole text passes the same filters as one block.
 
+Where the words of one license hold those of another, as the Affero or Lesser General Public License does those of the
+General one, containment alone names both. Such labels have telling words: a block must hold all of them that the template has,
+and none of their siblings' own.
+
 Edge cases: null and empty texts have no words, no labels and score 0; blocks
 without words meet nothing; of equal scores nothing is chosen, all labels are
 returned; repeated rows are judged alike; null doc_ids are kept; an empty table
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import LICENSE_TEXTS
+from .license_texts import LICENSE_TEXTS, TELLING
 
 #: Phrases whose plain presence labels a document.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -52,10 +56,17 @@ def template_words(templates: dict[str, list[str]]) -> list[tuple[str, frozenset
     return [(label, frozenset(t.encode().translate(_FOLD).split())) for label, notices in templates.items() for t in notices]
 
 
+def telling_words(templates: dict[str, list[str]]) -> list[tuple[frozenset[bytes], frozenset[bytes]]]:
+    """The words that must be met and those that must not, in the order of template_words()."""
+    coded = lambda words: frozenset(w.encode() for w in words)
+    return [(words & coded(TELLING.get(label, ((), ()))[0]), coded(TELLING.get(label, ((), ()))[1])) for label, words in template_words(templates)]
+
+
 class Index:
     """Templates under the prefix filter: word -> (template, place of the word in the template's order)."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: dict[bytes, int], containment: float):
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: dict[bytes, int], containment: float, telling: list[tuple[frozenset[bytes], frozenset[bytes]]] | None = None):
+        self.telling = telling or [(frozenset(), frozenset())] * len(templates)
         self.templates, self.needed, self.ordered, self.prefix = templates, [], [], {}
         for k, (_, words) in enumerate(templates):
             ordered = sorted(words, key=lambda w: (frequency.get(w, 0), w))
@@ -69,26 +80,30 @@ class Index:
     def meet_runs(self, words: list[bytes], longest_runs: list[int]) -> list[tuple[int, float]]:
         """(template, highest containment in a run of words) of all templates that a run meets."""
         found = []
-        for k, _ in self.meet(words):
-            holds, longest = frozenset(self.ordered[k]), longest_runs[k]
-            at = [i for i, w in enumerate(words) if w in holds]
+        for k, _ in self._similar(words):
+            holds, longest, (asked, barred) = frozenset(self.ordered[k]), longest_runs[k], self.telling[k]
             inside: Counter[bytes] = Counter()
-            best = first = 0
-            for i in at:
-                inside[words[i]] += 1
-                while i - at[first] >= longest:
-                    gone = words[at[first]]
+            best = 0
+            for i, w in enumerate(words):
+                if w in holds or w in barred:
+                    inside[w] += 1
+                if i >= longest and (gone := words[i - longest]) in inside:
                     inside[gone] -= 1
                     if not inside[gone]:
                         del inside[gone]
-                    first += 1
-                best = max(best, len(inside))
+                if len(inside) > best and barred.isdisjoint(inside) and all(a in inside for a in asked):
+                    best = len(inside)
             if best >= self.needed[k]:
                 found.append((k, best / len(holds)))
         return found
 
     def meet(self, block: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of all that the block meets."""
+        """(template, containment) of all that the block meets and tells from its siblings."""
+        words = frozenset(block)
+        return [(k, c) for k, c in self._similar(block) if self.telling[k][0] <= words and words.isdisjoint(self.telling[k][1])]
+
+    def _similar(self, block: list[bytes]) -> list[tuple[int, float]]:
+        """(template, containment) of all that the block holds enough of."""
         if self.keys.isdisjoint(block):
             return []
         words = frozenset(block)
@@ -131,7 +146,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
     """One row per document: places of the base phrases, labels of phrases and of templates met, and the highest containment."""
     listed, longest_runs = template_words(templates or TEMPLATES), run_lengths(templates or TEMPLATES, containment)
     frequency = _block_frequencies(docs, frozenset().union(*(w for _, w in listed)))
-    index = Index(listed, frequency, containment)
+    index = Index(listed, frequency, containment, telling_words(templates or TEMPLATES))
     phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
     last_words = frozenset(p[-1] for p, _ in phrases)
 

@@ -36,7 +36,7 @@ SEED = "mix-1"
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """Between 0.5 and 2: falls with the share of decoration characters and of capitals among the words' worth of characters."""
+    """Between 0.5 and 2: falls with the decoration characters and double exclamation marks a word. The weight of mix(), unless the caller has a better one."""
     noise = F.regexp_count(text, F.lit("[#*$%&|<>]|!!"))
     share = F.least(F.lit(1.0), noise.cast("double") / F.greatest(size, F.lit(1)).cast("double"))
     return F.lit(2.0) - F.lit(1.5) * share

@@ -120,20 +120,22 @@ _FOLD = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 def _op7() -> str:
     longest = license_scan.run_lengths(license_scan.TEMPLATES)
+    telling = license_scan.telling_words(license_scan.TEMPLATES)
+    listed = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in sorted(words)) + "]::varchar[]"
     templates = ", ".join(
-        "(" + ", ".join([str(k), f"'{label}'", "[" + ", ".join(f"'{w.decode()}'" for w in sorted(words)) + "]", str(longest[k])]) + ")"
+        "(" + ", ".join([str(k), f"'{label}'", listed(words), str(longest[k]), listed(telling[k][0]), listed(telling[k][1])]) + ")"
         for k, (label, words) in enumerate(license_scan.template_words(license_scan.TEMPLATES))
     )
     phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES.items())
     return f"""
-WITH d AS (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents), t(k, label, words, longest) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+WITH d AS (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents), t(k, label, words, longest, asked, barred) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
 w AS (SELECT doc_id, {_FOLD.format("t")} AS w FROM d),
 b AS (SELECT doc_id, i - 1 AS pos, p.label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE list_contains(w, 'license')) x, p WHERE x.w[x.i:x.i + len(p.words) - 1] = p.words),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
 l AS (SELECT doc_id, list_distinct({_FOLD.format("line")}) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT l.doc_id, t.label, len(list_intersect(l.w, t.words))::double / len(t.words) AS share FROM l, t WHERE len(list_intersect(l.w, t.words)) >= {license_scan.CONTAINMENT} * len(t.words) - 1e-9),
+m AS (SELECT l.doc_id, t.label, len(list_intersect(l.w, t.words))::double / len(t.words) AS share FROM l, t WHERE len(list_intersect(l.w, t.words)) >= {license_scan.CONTAINMENT} * len(t.words) - 1e-9 AND list_has_all(l.w, t.asked) AND NOT list_has_any(l.w, t.barred)),
 a AS (SELECT w.doc_id, w.w, t.k FROM w JOIN d USING (doc_id), t WHERE contains(d.t, chr(10)) AND len(list_intersect(list_distinct(w.w), t.words)) >= {license_scan.CONTAINMENT} * len(t.words) - 1e-9),
-z AS (SELECT a.doc_id, t.label, len(list_intersect(list_distinct(w[i:i + t.longest - 1]), t.words))::double / len(t.words) AS share FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM a) a JOIN t USING (k)),
+z AS (SELECT a.doc_id, t.label, len(list_intersect(list_distinct(w[i:i + t.longest - 1]), t.words))::double / len(t.words) AS share FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM a) a JOIN t USING (k) WHERE list_has_all(w[i:i + t.longest - 1], t.asked) AND NOT list_has_any(w[i:i + t.longest - 1], t.barred)),
 r AS (SELECT doc_id, label, max(share) AS share FROM z WHERE share >= {license_scan.CONTAINMENT} - 1e-9 GROUP BY 1, 2),
 met AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score, count(*) FILTER (whole) AS n FROM (SELECT *, TRUE AS whole FROM m UNION ALL SELECT *, FALSE FROM r) GROUP BY doc_id)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

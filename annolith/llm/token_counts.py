@@ -12,7 +12,7 @@ against the library on whole texts.
 
 Edge cases: null and empty texts have 0 tokens; special strings inside texts
 count as one token each, the library's default; a vocabulary whose special strings take white space or
-word ends with them, or that normalises texts, is refused; repeated rows are counted
+word ends with them, that normalises texts, cuts them by another pre-tokenizer or merges by other rules, is refused; repeated rows are counted
 alike; null doc_ids are kept; an empty table gives no rows; extra columns are
 ignored.
 """
@@ -49,11 +49,26 @@ def cutter():
     return regex.compile(PRE_TOKENS)
 
 
+def unlike(spec: dict) -> list[str]:
+    """How a tokenizer's file differs from what is built here: byte-level pre-tokens by PRE_TOKENS, merged by rank and nothing else."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    faults = [f"pre_tokenizer.{k} is {cut.get(k)!r}" for k, v in {"type": "ByteLevel", "add_prefix_space": False}.items() if cut.get(k) != v]
+    faults += ["pre_tokenizer.use_regex is off"] if not cut.get("use_regex", True) else []
+    faults += [f"model.type is {model.get('type')!r}"] if model.get("type", "BPE") != "BPE" else []
+    return faults + [f"model.{k} is set" for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+
+
 class Vocabulary:
     """Merge ranks, special strings and the proven whole tokens of one byte-level BPE file; picklable."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        if not path.endswith(".json"):
+            raise ValueError(f"{path} is no byte-level BPE file in JSON; sentence-piece models are not read")
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        faults = unlike(spec)
+        if faults:
+            raise ValueError(f"{path} is cut or merged in a way that is not built here: {', '.join(faults)}")
         if spec.get("normalizer") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} normalises texts or has special strings that take more than themselves")
         self.byte = {c: bytes([b]) for b, c in byte_alphabet().items()}

@@ -121,3 +121,40 @@ def test_filter_audit(spark, monkeypatch, collide):
     same(got, brute.audited(rows, labels))
     assert filter_audit.audit(docs.limit(0), told).count() == 0
     assert filter_audit.audit(docs, told.limit(0)).agg({"good_lost": "sum"}).first()[0] == 0
+
+
+GNU = "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by\nthe Free Software Foundation; either version {version} of the License, or (at your option) any later version.\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {name} for more details."
+
+
+def test_licenses_are_told_from_their_siblings(spark):
+    from annolith.llm import license_scan
+
+    texts = {
+        "agpl-3.0": GNU.format(what="program", name="Affero General Public License", version="3"), "lgpl-2.1": GNU.format(what="library", name="Lesser General Public License", version="2.1"),
+        "gpl,gpl-2.0": GNU.format(what="program", name="General Public License", version="2"), "gpl,gpl-3.0": GNU.format(what="program", name="General Public License", version="3").replace("software;", "software:"),
+        "cc0-1.0": "2. Waiver. To the greatest extent permitted by, but not in contravention of, applicable law, Affirmer hereby overtly, fully, permanently,\nirrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights and associated claims and causes of action, whether now known or unknown",
+        "epl-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+        "apache-2.0": "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "bsd": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,\nINCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY",
+        "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-4.0": "This work is licensed under a\nCreative Commons Attribution 4.0 International License.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    }
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).orderBy("doc_id").collect()
+    strip = lambda r: ",".join(x for x in r.labels.split(",") if x != "gpl" or x not in r.base_labels)
+    assert [strip(r) if name not in ("gpl,gpl-2.0", "gpl,gpl-3.0") else r.labels for r, name in zip(got, texts, strict=True)] == list(texts)
+    assert all(r.score >= 0.9 for r in got)
+
+
+def test_token_counts_refuse_other_files(tmp_path):
+    import json
+
+    from annolith.llm import queries, token_counts
+
+    spec = json.load(open(queries.vocabulary_path(), encoding="utf-8"))
+    changes = {"prefix": ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True}), "none": ("pre_tokenizer", None), "split": ("pre_tokenizer", {"type": "Whitespace"}), "merges": ("model", spec["model"] | {"ignore_merges": True}), "dropout": ("model", spec["model"] | {"dropout": 0.1})}
+    for name, (key, value) in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | {key: value}))
+        with pytest.raises(ValueError, match="not built here"):
+            token_counts.Vocabulary(str(path))
+    with pytest.raises(ValueError, match="sentence-piece"):
+        token_counts.Vocabulary(str(tmp_path / "x.model"))
