@@ -37,7 +37,7 @@ def dataset_stats(meta: DataFrame) -> DataFrame:
         ),
         F.transform(F.array_distinct("tags"), lambda t: one("by_condition", t)),
     )
-    each = meta.select(F.explode(F.filter(counts, lambda c: c.isNotNull())).alias("c")).groupBy("c.metric", "c.key", "c.item").agg(F.count("*").alias("n"))
+    each = meta.select(F.explode(counts).alias("c")).filter("c IS NOT NULL").groupBy("c.metric", "c.key", "c.item").agg(F.count("*").alias("n"))
     return each.groupBy("metric", "key").agg(F.sum(F.when(F.col("item").isNull(), F.col("n")).otherwise(1)).alias("value"))
 
 

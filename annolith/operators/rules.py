@@ -41,7 +41,8 @@ def findings(df: DataFrame, rules: list[Rule], row: Column) -> DataFrame:
         F.when(r.when, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.column).cast("string").alias("column"), r.message.alias("message")))
         for r in rules
     ))
-    return df.select(row.alias("row"), F.explode(F.filter(each, lambda f: f.isNotNull())).alias("f")).select("row", "f.*")
+    # exploded with its nulls: a filter of the array would be a lambda, and take every rule out of compiled code
+    return df.select(row.alias("row"), F.explode(each).alias("f")).filter("f IS NOT NULL").select("row", "f.*")
 
 
 def problems(rules: list[tuple[Column, Column]]) -> Column:
@@ -61,6 +62,7 @@ def typed(meta: DataFrame) -> DataFrame:
     })
     # Columns of their own, as rules name them more than once.
     df = df.withColumns({"verdict": X.validate_plate(F.col("plate"), F.col("kind")), "licence_clause": X.license_clause(F.col("licence")), "licence_open": X.redistributable(F.col("licence"))})
+    df = df.withColumns({"quad_area": G.signed_area(F.col("quad")), "quad_repeated": F.size(F.array_distinct(G.corners(F.col("quad")))) < 4, "quad_off": G.quad_deviation(F.col("quad"), F.col("bbox"))})
     return df.withColumn("is_background", (F.col("kind") == "other") & zero(F.col("bbox")) & zero(F.col("quad")))
 
 
@@ -151,8 +153,7 @@ def geometry_rules() -> list[Rule]:
     """Not for background rows; repeated corners and zero area end the checks of a quad."""
     plate, b, q = ~F.col("is_background"), F.col("bbox"), F.col("quad")
     at = lambda i: F.get(b, F.lit(i))
-    repeated = F.size(F.array_distinct(G.corners(q))) < 4
-    area = G.signed_area(q)
+    repeated, area = F.col("quad_repeated"), F.col("quad_area")
     whole = plate & q.isNotNull() & ~repeated & (area != 0)
     say = lambda v: v.cast("string")
     return [
@@ -164,7 +165,7 @@ def geometry_rules() -> list[Rule]:
         Rule("quad_repeated", ERROR, None, plate & q.isNotNull() & repeated, F.lit("quad has repeated corners")),
         Rule("quad_degenerate", ERROR, None, plate & q.isNotNull() & ~repeated & (area == 0), F.lit("quad is degenerate (zero area)")),
         Rule("quad_counter_clockwise", ERROR, None, whole & (area < 0), F.lit("quad corners are counter-clockwise")),
-        Rule("quad_bbox", WARNING, None, whole & (G.quad_deviation(q, b) > V.QUAD_TOLERANCE), F.lit("quad extent disagrees with bbox by more than 25% of a side")),
+        Rule("quad_bbox", WARNING, None, whole & (F.col("quad_off") > V.QUAD_TOLERANCE), F.lit("quad extent disagrees with bbox by more than 25% of a side")),
     ]
 
 

@@ -8,31 +8,44 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.hashing import cumulative_edges, hash_score, split_of
-from ..session import staged
+from ..session import BROADCAST_BYTES, staged
+
+
+#: Equal parts of the hash scores; the one that holds a cut of a stratum is looked into.
+SLICES = 4096
 
 
 def stratified_split(df: DataFrame, key: str, strata: list[str], seed: int = V.SPLIT_SEED, weights: dict[str, float] | None = None) -> DataFrame:
-    """df with `split`: within each stratum by hash score, cut at the cumulative shares, half-even rounding.
+    """df with `split`: within each stratum by hash score, cut at the cumulative shares, half-even rounding. Keys must be unique.
 
-    Rows are cut into ranges of (stratum, score) and ranked within a range; the rows of the ranges before it
-    come from the small table of ranges, so a stratum is shared by as many tasks as it has ranges. Keys must be unique.
+    Only the two rows at which a stratum is cut are sought: rows are counted by stratum and slice of the scores, and the slices
+    that hold a cut are ranked. Every row then decides by its own score on the scan, so that no column but the key and the strata is ever written or shuffled.
     """
     weights = weights or V.SYNTHETIC_WEIGHTS
     total = sum(weights.values())
     first, second = (weights.get(s, 0.0) / total for s in V.SYNTHETIC_SPLITS[:2])
     names = [f"__s{k}" for k in range(len(strata))]
-    scored = df.withColumns({"__score": hash_score(F.col(key), seed), **{n: F.struct(c) for n, c in zip(names, strata, strict=True)}})
-    cut = ranges(scored, [*(F.col(n) for n in names), F.col("__score"), F.col(key)], "strata")
-    within = W.partitionBy(*names, "__part").orderBy("__score", key)
-    sizes = cut.groupBy(*names, "__part").agg(F.count("*").alias("__m"))
-    before = W.partitionBy(*names).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*names, "__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(W.partitionBy(*names)).alias("__n"))
-    placed = cut.withColumn("__rank", F.row_number().over(within) - 1).join(offsets, [*names, "__part"])
-    n, place = F.col("__n"), F.col("__before") + F.col("__rank")
-    cut1 = F.least(F.bround(n * F.lit(first), 0), n)
-    cut2 = F.greatest(cut1, F.least(F.bround(n * F.lit(first + second), 0), n))
-    return placed.select(*df.columns, F.when(place < cut1, V.SYNTHETIC_SPLITS[0]).when(place < cut2, V.SYNTHETIC_SPLITS[1]).otherwise(V.SYNTHETIC_SPLITS[2]).alias("split"))
-
+    score, place = hash_score(F.col(key), seed), F.struct(F.col("__score").alias("score"), F.col("__key").alias("key"))
+    own = {n: F.struct(c) for n, c in zip(names, strata, strict=True)} | {"__score": score, "__key": F.col(key)}
+    scored = df.select(*(c.alias(n) for n, c in own.items())).withColumn("__slice", F.floor(F.col("__score") * SLICES).cast("int"))
+    counts = staged(scored.groupBy(*names, "__slice").agg(F.count("*").alias("__m")), "slices")
+    before = W.partitionBy(*names).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    summed = counts.withColumns({"__before": F.coalesce(F.sum("__m").over(before), F.lit(0)), "__n": F.sum("__m").over(W.partitionBy(*names))})
+    n = F.col("__n")
+    cut1 = F.least(F.bround(n * F.lit(first), 0), n).cast("long")
+    cut2 = F.greatest(cut1, F.least(F.bround(n * F.lit(first + second), 0), n).cast("long"))
+    cuts = summed.select(*names, "__slice", "__before", "__m", F.posexplode(F.array(cut1, cut2)).alias("__cut", "__at")).filter("__at >= __before AND __at < __before + __m")
+    cuts = cuts.select(*names, "__slice", "__cut", (F.col("__at") - F.col("__before") + 1).alias("__rank"))
+    wanted = staged(cuts.groupBy(*names, "__slice").agg(F.array_sort(F.collect_list(F.struct("__cut", "__rank"))).alias("__cuts")), "cuts")
+    few = wanted.count() * 128 <= BROADCAST_BYTES
+    inside = scored.join(F.broadcast(wanted) if few else wanted, [*names, "__slice"])
+    ranked = inside.withColumn("__r", F.row_number().over(W.partitionBy(*names, "__slice").orderBy("__score", "__key")))
+    edge = ranked.select(*names, place.alias("__place"), "__r", F.explode("__cuts").alias("__c")).filter("__r = __c.__rank")
+    edges = staged(edge.groupBy(*names).agg(*(F.max(F.when(F.col("__c")["__cut"] == k, F.col("__place"))).alias(f"__edge{k}") for k in (0, 1))), "edges")
+    # a stratum that a cut leaves whole has no row at it
+    rows = df.withColumns(own).join(F.broadcast(edges) if few else edges, names, "left")
+    below = lambda k: F.col(f"__edge{k}").isNull() | (place < F.col(f"__edge{k}"))
+    return rows.select(*df.columns, F.when(below(0), V.SYNTHETIC_SPLITS[0]).when(below(1), V.SYNTHETIC_SPLITS[1]).otherwise(V.SYNTHETIC_SPLITS[2]).alias("split"))
 
 def group_split(group: Column, seed: int, weights: dict[str, float] | None = None) -> Column:
     """A group's split by hash score: no shuffle, the same wherever the group stands."""
@@ -154,6 +167,8 @@ def positions(df: DataFrame, order: str) -> DataFrame:
 
 def stepped(df: DataFrame, order: str, n: int) -> DataFrame:
     """Every step-th row of the order from its first, n at most, the step being the rows over n cut to a whole number."""
+    if n < 1:
+        return positions(df.limit(0), order).drop("position")
     step = max(1, df.count() // n)
     place = F.col("position")
     return positions(df, order).filter((place % step == 0) & (place < n * step)).drop("position")

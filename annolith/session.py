@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a counted table up to which it is broadcast.
+BROADCAST_BYTES = 48 << 20
+
+
 def local_session(cores: int | str = 8, memory: str = "8g", **settings: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName("annolith")
@@ -31,10 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by staged() in this process, in order.
+STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes staged tables that nothing reads any more: those named, or all."""
+    for path in list(STAGED if paths is None else paths):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        STAGED.remove(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: what is sampled or drawn for it is drawn once, and lost executors lose nothing."""
     import uuid
 
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
