@@ -200,3 +200,24 @@ def plan(rows: DataFrame, key: str, seed: int, classes: dict[str, float] | None
     df = df.withColumn("sample_seed", derived_seed(F.lit(seed), F.lit("sample"), place))
     df = df.withColumn("plate_num", identity(place - F.col("__first"), F.col("plate_type"), seed, long_share, repeats)).drop("__first")
     return drawn_effects(df, "sample_seed", "difficulty").select(key, "position", "sample_seed", "plate_type", "difficulty", "plate_num", "effects", "severity")
+
+
+def placements(planned: DataFrame, seed: str = "sample_seed", level: str = "difficulty", kind: str = "plate_type", sizes: tuple[tuple[int, int], ...] = V.IMAGE_SIZES, margin: float = 4.0) -> DataFrame:
+    """planned with `width`, `height`, `scale` and `quad`: where a plate of its kind lies in its image, turned and as far away as its level allows.
+
+    Every value has a draw of its own. The middle of three draws falls towards the middle, as Beta(2, 2) does. A plate that is too large for its image is scaled to fit it.
+    """
+    from ..functions import projective as J
+
+    by_level = lambda name, k: F.create_map(*(x for n, v in V.LEVEL_VIEWS.items() for x in (F.lit(n), F.lit(float(v[name][k])))))[F.col(level)]
+    by_kind = lambda k: F.create_map(*(x for n, v in V.PLATE_SIZES.items() for x in (F.lit(n), F.lit(float(v[k])))))[F.col(kind)]
+    u = F.array(*stream(F.col(seed), "view", 12))
+    between = lambda name, k: by_level(name, 0) + (by_level(name, 1) - by_level(name, 0)) * F.col("__u")[k]
+    df = planned.withColumn("__u", u)
+    size = F.get(F.array(*(F.struct(F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h")) for w, h in sizes)), F.floor(F.col("__u")[0] * len(sizes)).cast("int"))
+    df = df.withColumns({"__size": size, "__turned": J.seen_corners(by_kind(0), by_kind(1), between("yaw", 1), between("pitch", 2), between("roll", 3), between("px_per_mm", 4), between("distance_ratio", 5))})
+    df = df.withColumn("scale", J.fitting_scale(F.col("__turned"), F.col("__size.w"), F.col("__size.h"), margin))
+    df = df.withColumn("__fitted", F.transform("__turned", lambda p: p * F.col("scale")))
+    middle = lambda k: F.get(F.array_sort(F.slice("__u", k, 3)), F.lit(1))
+    placed = J.placed_quad(F.col("__fitted"), F.col("__size.w"), F.col("__size.h"), middle(7), middle(10), margin)
+    return df.withColumns({"width": F.col("__size.w").cast("int"), "height": F.col("__size.h").cast("int"), "quad": placed}).drop("__u", "__size", "__turned", "__fitted")

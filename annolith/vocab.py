@@ -182,3 +182,12 @@ EFFECT_RANGES = {
     "night": ("darkness", "plate_gain"), "low_light": ("gain",), "shadow": ("strength",), "glare": ("strength", "radius"), "dirt": ("strength",),
     "occlusion": ("extent",), "rain": ("density",), "snow": ("density",), "motion_blur": ("length_px",), "defocus": ("radius_px",), "heavy_noise": ("sigma",),
 }
+
+# Views of a level (largest turns in degrees, pixels a millimetre, distance in widths), image sizes, plate sizes in millimetres.
+LEVEL_VIEWS = {
+    "easy": {"yaw": (-12, 12), "pitch": (-8, 8), "roll": (-4, 4), "px_per_mm": (0.30, 0.60), "distance_ratio": (8.0, 20.0)},
+    "medium": {"yaw": (-30, 30), "pitch": (-15, 15), "roll": (-8, 8), "px_per_mm": (0.18, 0.40), "distance_ratio": (5.0, 15.0)},
+    "hard": {"yaw": (-45, 45), "pitch": (-22, 22), "roll": (-12, 12), "px_per_mm": (0.14, 0.28), "distance_ratio": (4.0, 12.0)},
+}
+IMAGE_SIZES = ((640, 480), (800, 600), (1024, 768), (1280, 720))
+PLATE_SIZES = {"type1": (520, 112), "type1a": (290, 170), "type1b": (520, 112)}

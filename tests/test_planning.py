@@ -119,3 +119,31 @@ def test_settings_as_rows(spark):
         ("bad", "seed", "is outside its bounds"), ("bad", "seed", "is given more than once"), ("bad", "count", "is no number"), ("bad", "font", "has no value"), ("bad", "difficulties.easy.gamma", "is outside its bounds"),
         ("bad", "difficulties.hard.jpeg_quality", "is out of order"), ("bad", "nonsense", "is unknown"), ("bad", "supersample", "is missing"),
     }
+
+
+def test_placements(spark):
+    """Corners as the matrix turns them; every plate inside its image, scaled only where it has to be."""
+    import numpy as np
+
+    from annolith.functions import projective as J
+
+    cases = [(520.0, 112.0, 30.0, -20.0, 10.0, 0.4, 5.0), (290.0, 170.0, -45.0, 22.0, -12.0, 0.2, 4.0), (520.0, 112.0, 0.0, 0.0, 0.0, 0.5, 9.0), (520.0, 112.0, 89.0, 0.0, 0.0, 0.5, 0.4)]
+    names = ["width", "height", "yaw", "pitch", "roll", "px_per_mm", "distance_ratio"]
+    df = spark.createDataFrame(cases, ", ".join(f"{n} double" for n in names)).withColumn("q", J.seen_corners(*map(F.col, names)))
+    for r in df.collect()[:3]:
+        flat = np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)]) * (r.width / 2, r.height / 2)
+        expected = r.px_per_mm * J.projected(flat, J.rotation(r.yaw, r.pitch, r.roll), r.distance_ratio * r.width)
+        assert r.q == pytest.approx(expected.ravel().tolist(), abs=1e-9)
+    assert df.collect()[3].q is None
+    plan = planning.plan(spark.range(2000).select(F.col("id").alias("key")), "key", 3)
+    rows = planning.placements(plan).collect()
+    assert len({(r.width, r.height) for r in rows}) == 4
+    for r in rows:
+        xs, ys = r.quad[::2], r.quad[1::2]
+        assert min(xs) >= 4 - 1e-6 and max(xs) <= r.width - 4 + 1e-6 and min(ys) >= 4 - 1e-6 and max(ys) <= r.height - 4 + 1e-6 and 0 < r.scale <= 1
+    one = lambda *a: spark.range(1).select(*a).first()
+    quad = F.array(*(F.lit(float(v)) for v in (-50, -20, 50, -20, 50, 20, -50, 20)))
+    lit = lambda v: F.lit(float(v))
+    assert one(J.fitting_scale(quad, lit(60), lit(100), 5.0), J.fitting_scale(quad, lit(8), lit(100), 5.0)) == (0.5, None)
+    low, none = one(J.placed_quad(quad, lit(200), lit(100), lit(0), lit(0), 0.0, lit(60)), J.placed_quad(quad, lit(90), lit(100), lit(0), lit(0), 0.0))
+    assert low == [0.0, 40.0, 100.0, 40.0, 100.0, 80.0, 0.0, 80.0] and none is None
