@@ -1,8 +1,9 @@
-"""Commands: `queries` lists the catalogue, `run` shows or writes a query's rows, `score` holds predictions against annotations."""
+"""Commands: `queries` lists the catalogue, `run` shows or writes a query's rows, `score` holds predictions against annotations, `predict` writes a submission."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from .functions.geometry import box
 from .operators import matching as M
 from .operators import metrics as T
 from .operators.rules import typed
+from .plans.inference import predicted_to
 from .session import local_session
 from .sources import tables
+from .sources.files import images, listing
 
 
 def scored(spark: SparkSession, meta: str, predictions: str, confidence: float) -> dict[str, DataFrame]:
@@ -41,11 +44,21 @@ def main(argv: list[str] | None = None) -> int:
     score.add_argument("meta")
     score.add_argument("predictions")
     score.add_argument("--confidence", type=float, default=0.5)
+    predict = commands.add_parser("predict")
+    predict.add_argument("images")
+    predict.add_argument("out")
+    predict.add_argument("--stage", default="annolith.plans.inference:placeholder", help="module:function that makes a stage")
+    predict.add_argument("--least", type=float, default=0.0)
     given = parser.parse_args(argv)
     if given.command == "queries":
         print("\n".join(sorted(catalogue.QUERIES)))
         return 0
     spark = SparkSession.getActiveSession() or local_session("*")
+    if given.command == "predict":
+        module, _, name = given.stage.partition(":")
+        files = images(listing(spark, given.images)).select("name", "content")
+        print(predicted_to(files, getattr(importlib.import_module(module), name), given.out, given.least))
+        return 0
     if given.command == "run":
         found = catalogue.QUERIES[given.query](spark, given.folder)
         found.write.mode("errorifexists").parquet(given.out) if given.out else found.show(truncate=False)

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import validate_plate
 from ..operators.metrics import confidence
+from ..session import staged
+from ..sources.sinks import write_submission
 
 READINGS = (
     "name string, ordinal int, x double, y double, w double, h double, detection double, plate_type string, type_confidence double, "
@@ -56,6 +58,17 @@ def run_counters(readings: DataFrame, written: DataFrame) -> DataFrame:
     return readings.agg(F.sum(F.col("error").isNotNull().cast("long")).alias("failed"), F.sum(F.col("error").isNull().cast("long")).alias("readings")).join(written.agg(F.count("*").alias("records")))
 
 
+def predicted_to(images: DataFrame, make_stage: Callable[[], Callable[[bytes], list[dict]]], path: str, least: float = 0.0) -> dict[str, int]:
+    """Reads plates from images (name, content) and writes one submission file; returns images failed, readings, records and rows written.
+
+    The counters are observed in the job that runs the model, which runs once: its records are staged before their order is sampled.
+    """
+    read, kept = Observation(), Observation()
+    readings = read_plates(images, make_stage).observe(read, F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error").isNull()).alias("readings"))
+    found = staged(records(readings, least).observe(kept, F.count(F.lit(1)).alias("records")), "records")
+    return {**read.get, **kept.get, "written": write_submission(found, path)}
+
+
 def onnx_stage(model: bytes, encode: Callable[[bytes], dict], decode: Callable[[list, dict], list[dict]]) -> Callable[[], Callable[[bytes], list[dict]]]:
     """make_stage for read_plates(): a session of the model, made once for each worker's task; encode makes its inputs of an image, decode readings of its outputs.
 

@@ -74,3 +74,31 @@ def test_sheet_inputs(spark, tmp_path):
     assert (row.image, row.difficulty, row.char_height, row.hidden) == ("images/real/a.jpg", "hard", 7.5, 1)
     (tmp_path / "s.csv").write_text("image;split;plate_type;difficulty;stratum\na;train;type1;easy;x\nb;val;type1;;x\n")
     assert {r.image: r.difficulty for r in tables.read_difficulty(spark, str(tmp_path / "s.csv")).collect()} == {"a": "easy", "b": "?"}
+
+
+def test_a_run_is_counted_by_the_job_that_writes_it(spark, tmp_path):
+    """The model sees every image once: what it was shown is counted by an accumulator."""
+    shown = spark.sparkContext.accumulator(0)
+
+    def make():
+        read = stage()
+
+        def run(data):
+            shown.add(1)
+            return read(data)
+
+        return run
+
+    counted = N.predicted_to(images(spark), make, str(tmp_path / "out"), 0.5)
+    assert counted == {"failed": 1, "readings": 3, "records": 3, "written": 3} and shown.value == 3
+    text = (tmp_path / "out/part-00000.csv").read_text()
+    assert text == "c;A123BC77;type1;0.900\nc;A123BC77;type1;0.900\nimages/real/a.jpg;A123BC77;type1;0.900\n"
+    nothing = N.predicted_to(images(spark).limit(0), make, str(tmp_path / "none"))
+    assert nothing["written"] == 0 and (tmp_path / "none/part-00000.csv").read_text() == ""
+
+
+def test_predict_command(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jpg").write_bytes(b"1")
+    assert command.main(["predict", str(tmp_path / "in"), str(tmp_path / "out"), "--stage", "tests.test_runs:stage"]) == 0
+    assert "'written': 1" in capsys.readouterr().out and (tmp_path / "out/part-00000.csv").read_text().startswith("a.jpg;A123BC77")
