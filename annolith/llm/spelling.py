@@ -48,6 +48,8 @@ FLUSH = 4 << 20
 COUNTED = 200_000
 #: Keys of a radix bucket, about, and code points whose keys a worker makes at once.
 BUCKET_KEYS, AT_ONCE = 500_000, 1 << 18
+#: Buckets for each task of the shuffle at least.
+EACH = 8
 U = np.uint64
 
 
@@ -120,8 +122,9 @@ def shared_keys(vocabulary: DataFrame) -> DataFrame:
     """key, id, length, place of the keys that may link words: those of one place that several words of one length have, and those of a whole word with the deletions that give it."""
     spark = vocabulary.sparkSession
     n_keys = vocabulary.agg(F.sum(F.col("length") + 1)).first()[0] or 0
-    bits = max(0, (n_keys // BUCKET_KEYS).bit_length())
-    parts = max(shuffle_width(spark), 1)
+    parts = shuffle_width(spark)
+    # as many buckets as the keys need, and some for every task however few there are
+    bits = max((n_keys // BUCKET_KEYS).bit_length(), (EACH * parts - 1).bit_length())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
