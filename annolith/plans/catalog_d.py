@@ -339,13 +339,16 @@ def groups_round_trip(spark, sf):
     return TB.read_groups(spark, place)
 
 
-@query(f"SELECT doc_id::varchar AS image, source AS \"group\", {_edges(_score('doc_id', 8))} AS split, lang AS source, 'day 1' AS assigned_on, '' AS note FROM documents WHERE source IS NOT NULL AND source <> ''")
+@query(f"SELECT doc_id::varchar AS image, coalesce(nullif(source, ''), 'no group') AS \"group\", {_edges(_score('doc_id', 8))} AS split, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(lang, '') END AS source, 'day 1' AS assigned_on, CASE WHEN doc_id % 3 = 0 THEN 'a; \"b\"' ELSE '' END AS note FROM documents")
 def manifest_round_trip(spark, sf):
     place = _fresh(spark, "manifest")
-    docs = I.table(spark, sf, "documents").filter("source <> ''")
-    rows = docs.select(F.col("doc_id").cast("string").alias("image"), F.col("source").alias("group"), S.group_split(F.col("doc_id"), 8).alias("split"), F.col("lang").alias("source"), F.lit("day 1").alias("assigned_on"), F.lit("").alias("note"))
+    docs = I.table(spark, sf, "documents")
+    # blank and missing cells, delimiters and quotes are the sink's to write; the reader refuses a blank group
+    group = F.when(F.coalesce("source", F.lit("")) == "", "no group").otherwise(F.col("source"))
+    note = F.when(F.col("doc_id") % 3 == 0, 'a; "b"')
+    rows = docs.select(F.col("doc_id").cast("string").alias("image"), group.alias("group"), S.group_split(F.col("doc_id"), 8).alias("split"), F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("source"), F.lit("day 1").alias("assigned_on"), note.alias("note"))
     K.write_manifest(rows, place)
-    return TB.read_split_manifest(spark, place)
+    return TB.read_split_manifest(spark, place).na.fill("")
 
 
 @query(f"SELECT {', '.join(V.CANDIDATE_FIELDS)} FROM ({_sql('orders', CANDIDATE)})")
@@ -364,14 +367,27 @@ def submission_round_trip(spark, sf):
     return spark.read.csv(place, sep=";", schema="image string, plate_num string, plate_type string, confidence string")
 
 
-@query("SELECT doc_id::varchar AS image, lang || ',' || source AS tags, '' AS human_plate_type FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT doc_id::varchar AS image, CASE WHEN doc_id % 5 = 0 THEN coalesce(source, '') WHEN doc_id % 7 = 0 THEN '' ELSE concat_ws(',', lang, source) END AS tags, '' AS human_plate_type FROM documents")
 def review_round_trip(spark, sf):
     place = _fresh(spark, "review")
-    rows = I.table(spark, sf, "documents").filter("source is not null and lang is not null").select(F.col("doc_id").cast("string").alias("image"), F.array("lang", "source").alias("tags"))
+    some = F.col("doc_id") % 7 != 0
+    tags = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(None).cast("string"), "source")).when(some, F.array("lang", "source"))
+    rows = I.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("image"), tags.alias("tags"))
     K.write_review(rows, place, ["human_plate_type"])
     return spark.read.csv(place, sep=";", header=True, schema="image string, tags string, human_plate_type string").na.fill("")
 
 
+@query("""SELECT row_number() OVER (ORDER BY image, l_linenumber, plate_num, confidence) AS line, image || ';' || plate_num || ';type1;' || confidence AS text
+FROM (SELECT l_orderkey || '.jpg' AS image, 'A' || l_partkey AS plate_num, l_linenumber, printf('%.3f', least(1.0, l_discount * 12)) AS confidence FROM lineitem)""")
+def submission_lines(spark, sf):
+    """The lines of the file as they stand in it: its order is compared too."""
+    place = _fresh(spark, "submission-lines")
+    text = lambda *p: F.concat(*p)
+    rows = I.table(spark, sf, "lineitem").select(text(F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("image"), text(F.lit("A"), F.col("l_partkey").cast("string")).alias("plate_num"), F.lit("type1").alias("plate_type"), (F.col("l_discount") * 12).alias("confidence"), F.col("l_linenumber").alias("ordinal"))
+    K.write_submission(rows, place)
+    return TB.numbered_lines(spark, place)
+
+
 @query("SELECT user_id::varchar AS image, 'hard' AS difficulty, max(value) AS char_height, (count(*) % 3)::int AS hidden FROM events GROUP BY user_id")
 def generation_round_trip(spark, sf):
     place = _fresh(spark, "generation")

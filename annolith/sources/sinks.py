@@ -103,9 +103,9 @@ def write_ordered(df: DataFrame, path: str, order: list[str], drop: tuple[str, .
 
 
 def write_submission(records: DataFrame, path: str, header: bool = False) -> int:
-    """image;plate_num;plate_type;confidence in one file, in order of image and ordinal; returns the rows written."""
+    """image;plate_num;plate_type;confidence in one file, in order of image and ordinal, then of the other columns; returns the rows written."""
     rows = records.select("image", "plate_num", "plate_type", three_decimals(F.col("confidence")).alias("confidence"), "ordinal")
-    return write_ordered(rows, path, ["image", "ordinal", "plate_num"], ("ordinal",), header)
+    return write_ordered(rows, path, ["image", "ordinal", "plate_num", "plate_type", "confidence"], ("ordinal",), header)
 
 
 def write_manifest(rows: DataFrame, path: str) -> int:

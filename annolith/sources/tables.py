@@ -139,6 +139,17 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return keep_last(images, ["image"], "place").select("image", F.posexplode("detections").alias("ordinal", "d")).select("image", "ordinal", "d.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of one delimited file, lines from 1 as they stand in it: those of a block are numbered in it, and the blocks before are added."""
+    from pyspark.sql import Window as W
+
+    rows = spark.read.text(path).select(F.input_file_block_start().alias("b"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("text"))
+    within = rows.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("i")))
+    # as many rows as the file has blocks
+    before = rows.groupBy("b").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return within.join(F.broadcast(before), "b").select((F.col("before") + F.col("r")).alias("line"), "text")
+
+
 def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
     """Live licence metadata from saved API answers: (title, url, descriptionurl, width, height, size, mime, sha1, license, ...); markup goes, missing titles are absent."""
     field = "struct<value: string>"
