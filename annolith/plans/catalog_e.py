@@ -154,7 +154,7 @@ def keyed_manifest(spark, sf):
 
 #: Four images a supplier, of some 150 boxes each.
 CROWDS = {
-    "image": "l_suppkey * 4 + l_orderkey % 4", "ordinal": "cast(row_number() over (partition by l_suppkey * 4 + l_orderkey % 4 order by l_orderkey, l_linenumber, l_partkey) - 1 as int)",
+    "image": "l_suppkey * 4 + l_orderkey % 4", "ordinal": "cast(row_number() over (partition by l_suppkey * 4 + l_orderkey % 4 order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_extendedprice) - 1 as int)",
     "x": "cast(l_partkey * 37 % 2500 as double)", "y": "cast(l_orderkey * 53 % 1900 as double)", "w": "cast(60.0 + l_quantity as double)", "h": "cast(30.0 + l_linenumber * 5 as double)", "score": "round(l_discount * 8 + 0.1, 2)",
 }
 _A, _B = tuple(f"a.{c}" for c in "xywh"), tuple(f"b.{c}" for c in "xywh")
