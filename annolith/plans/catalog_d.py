@@ -385,7 +385,7 @@ def submission_lines(spark, sf):
     text = lambda *p: F.concat(*p)
     rows = I.table(spark, sf, "lineitem").select(text(F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("image"), text(F.lit("A"), F.col("l_partkey").cast("string")).alias("plate_num"), F.lit("type1").alias("plate_type"), (F.col("l_discount") * 12).alias("confidence"), F.col("l_linenumber").alias("ordinal"))
     K.write_submission(rows, place)
-    return TB.numbered_lines(spark, place)
+    return TB.lines_in_order(spark, place)
 
 
 @query("SELECT user_id::varchar AS image, 'hard' AS difficulty, max(value) AS char_height, (count(*) % 3)::int AS hidden FROM events GROUP BY user_id")

@@ -139,7 +139,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return keep_last(images, ["image"], "place").select("image", F.posexplode("detections").alias("ordinal", "d")).select("image", "ordinal", "d.*")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
     """(line, text) of one delimited file, lines from 1 as they stand in it: those of a block are numbered in it, and the blocks before are added."""
     from pyspark.sql import Window as W
 
