@@ -95,9 +95,10 @@ def top_below(df: DataFrame, value: str, below: float, k: int, tie: str) -> Data
     return df.filter(F.col(value) < below).orderBy(F.col(value).desc(), F.col(tie).desc()).limit(k)
 
 
-def largest_per_group(df: DataFrame, keys: list[str], value: Column, ordinal: str) -> DataFrame:
-    """The row of the largest value in each group, the first on ties."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(value, -F.col(ordinal))).alias("r")).select("r.*")
+def largest_per_group(df: DataFrame, keys: list[str], value: Column, *ordinal: str) -> DataFrame:
+    """The row of the largest value in each group, the first on ties; missing values come last. The ordinals may be strings, as the name of a row's file is."""
+    falling = F.struct(value.isNull(), ~F.isnan(value.cast("double")), -value)
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(falling, *ordinal)).alias("r")).select("r.*")
 
 
 def run_stats(records: DataFrame, stage_columns: list[str]) -> DataFrame:

@@ -267,8 +267,10 @@ def topk_below_threshold(spark, sf):
 
 @query("SELECT l_orderkey, arg_max(l_linenumber, l_extendedprice) AS l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY l_orderkey")
 def largest_per_group(spark, sf):
-    lines = I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return A.largest_per_group(lines, ["l_orderkey"], F.col("l_extendedprice"), "l_linenumber")
+    # the SQL takes the first of equal prices as the table has its rows, which are in no order of theirs
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    lines = I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", *place)
+    return A.largest_per_group(lines, ["l_orderkey"], F.col("l_extendedprice"), "file", "row").drop("file", "row")
 
 
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents), w AS (SELECT unnest(range(0, 37)) AS i) SELECT doc_id FROM r, w WHERE p = floor(i * (n / 37.0))""")

@@ -1,8 +1,20 @@
 """Steps whose figures grew faster than their input, and ties that the SQL leaves to the order of the rows."""
 
+import duckdb
+
+from annolith import catalogue
 from annolith.streaming import manifest
 
 
+def test_largest_takes_the_first_of_equal_rows(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"COPY (SELECT * REPLACE (floor(l_extendedprice / 20000)::double AS l_extendedprice) FROM '/root/testdata/sf0.001/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    expected = con.execute(catalogue.ORACLES["largest_per_group"]).fetchall()
+    assert sorted(map(tuple, catalogue.QUERIES["largest_per_group"](spark, str(tmp_path)).collect())) == sorted(expected)
+
+
 def test_a_manifest_calls_its_state_by_bucket(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(manifest, "BUCKETS", 4)
     items = spark.range(300).selectExpr("cast(id AS string) AS image", "cast(id % 7 AS string) AS `group`", "'s' AS source")
