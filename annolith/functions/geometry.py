@@ -106,11 +106,16 @@ def quad_from_crop(q: Column, crop: Column) -> Column:
     return F.transform(q, lambda v, i: F.when(i % 2 == 0, crop["x"] + v * crop["w"]).otherwise(crop["y"] + v * crop["h"]))
 
 
+def six_decimals(share: Column) -> Column:
+    """A share of an image, 0 to 1, with six decimals, half-even; as a decimal, since a formatter parses its pattern for every cell."""
+    return F.bround(share, 6).cast("decimal(20, 6)").cast("string")
+
+
 def yolo_line(b: Column, width: Column, height: Column, label: Column) -> Column:
     """`class cx cy w h` in shares of the image, clipped, six decimals; NULL for a box outside the image."""
     x1, y1 = F.greatest(F.lit(0.0), b["x"]), F.greatest(F.lit(0.0), b["y"])
     x2, y2 = F.least(width.cast("double"), b["x"] + b["w"]), F.least(height.cast("double"), b["y"] + b["h"])
-    six = lambda v: F.format_string("%.6f", F.bround(v, 6))
+    six = six_decimals
     line = F.concat_ws(" ", label.cast("string"), six((x1 + x2) / 2 / width), six((y1 + y2) / 2 / height), six((x2 - x1) / width), six((y2 - y1) / height))
     return F.when((x2 > x1) & (y2 > y1), line)
 
@@ -147,11 +152,10 @@ def ring_value(outer: Column, inner: Column) -> Column:
 
 def keypoint_line(b: Column, quad: Column, width: Column, height: Column) -> Column:
     """`0 cx cy w h` and each corner as `x y 2`, in shares of the image, clipped, six decimals; NULL for a box outside it."""
-    six = lambda v: F.format_string("%.6f", F.bround(v, 6))
     inside = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-    points = F.transform(quad, lambda v, i: F.concat(six(inside(v / F.when(i % 2 == 0, width).otherwise(height))), F.when(i % 2 == 1, " 2").otherwise("")))
-    box_part = yolo_line(b, width, height, F.lit(0))
-    return F.when(box_part.isNotNull(), F.concat_ws(" ", box_part, F.array_join(points, " ")))
+    points = (F.concat(six_decimals(inside(F.get(quad, F.lit(i)) / (height if i % 2 else width))), F.lit(" 2" if i % 2 else "")) for i in range(8))
+    # concat gives NULL for the NULL line of a box outside the image; points that are missing are left out
+    return F.concat(yolo_line(b, width, height, F.lit(0)), F.when(quad.isNull(), "").otherwise(F.concat(F.lit(" "), F.concat_ws(" ", *points))))
 
 
 def yellow_candidate(reliable: Column, y: Column, cb: Column, cr: Column, margin: Column) -> Column:

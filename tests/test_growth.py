@@ -1,8 +1,10 @@
 """Steps whose figures grew faster than their input, and ties that the SQL leaves to the order of the rows."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from annolith import catalogue
+from annolith.functions import geometry as G
 from annolith.streaming import manifest
 
 
@@ -25,3 +27,15 @@ def test_a_manifest_calls_its_state_by_bucket(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 250
     state = spark.read.format("statestore").option("stateVarName", "held").option("operatorId", 0).load(f"{tmp_path}/log")
     assert 1 <= state.count() <= 4
+
+
+def test_keypoint_cells_are_no_formatted_strings(spark):
+    values = [0.0, 0.1234565, 1e-7, 5e-7, 33.3333335, 99.9999999, 100.0, 150.0]
+    quad = F.array(*(F.lit(v) for v in values))
+    line = G.keypoint_line(G.box(F.lit(10.0), F.lit(20.0), F.lit(30.0), F.lit(1 / 3)), quad, F.lit(100.0), F.lit(100.0))
+    df = spark.range(1).select(line.alias("l"), G.keypoint_line(G.box(F.lit(10.0), F.lit(20.0), F.lit(30.0), F.lit(1.0)), F.lit(None).cast("array<double>"), F.lit(100.0), F.lit(100.0)).alias("b"))
+    row = df.first()
+    assert row.l == "0 0.250000 0.201667 0.300000 0.003333 0.000000 0.001235 2 0.000000 0.000000 2 0.333333 1.000000 2 1.000000 1.000000 2"
+    assert row.b == "0 0.250000 0.205000 0.300000 0.010000"
+    rows = spark.range(1).select(G.keypoint_line(G.box(F.col("id"), F.col("id"), F.col("id"), F.col("id")), F.array(*(F.col("id").cast("double") for _ in range(8))), F.lit(100.0), F.lit(100.0)))
+    assert "format_string" not in rows._jdf.queryExecution().optimizedPlan().toString()
