@@ -37,20 +37,24 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
-#: Vectors that meet at once in one task.
-BLOCK_ROWS = 2048
+#: Vectors of a block; every block meets every other in a task, so that a vector is shuffled once a block.
+BLOCK_ROWS = 8192
+#: Vectors of a block that are multiplied with another block at once.
+STRIPE_ROWS = 512
 
 
 def correlated_pairs(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     """(first, second, score): all pairs whose Pearson correlation reaches the threshold, first < second; exact.
 
     The vectors are dealt into blocks of about BLOCK_ROWS, and every two blocks
-    meet in one task as a matrix product of standardised vectors. The work is
-    quadratic, as the operator is; a task's memory is not. Vectors of different lengths, and NULL ones, never pair;
+    meet in one task as matrix products of standardised vectors, a stripe at a time. The work is
+    quadratic, as the operator is; a task's memory is not. Vectors travel in single precision if they came so, and are
+    multiplied in double. Vectors of different lengths, and NULL ones, never pair;
     a constant vector correlates with nothing. For large tables use banded_pairs().
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    precision = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast(precision).alias("v"))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
@@ -59,14 +63,17 @@ def correlated_pairs(df: DataFrame, key: str, vector: str, threshold: float) ->
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, same in pdf.groupby(pdf.v.map(len)):
-            z = np.vstack(same.v.to_numpy())
+            z = np.vstack(same.v.to_numpy()).astype(np.float64)
             spread = z.std(1, keepdims=True)
             z = (z - z.mean(1, keepdims=True)) / np.where(spread == 0, 1, spread)
             left, right = np.flatnonzero(same.b == pdf.i.iloc[0]), np.flatnonzero(same.b == pdf.j.iloc[0])
-            score = z[left] @ z[right].T / z.shape[1]
-            a, b = np.nonzero(score >= threshold)
-            ids = same.id.to_numpy()
-            found = pd.DataFrame({"first": ids[left[a]], "second": ids[right[b]], "score": score[a, b]})
+            ids, other, met = same.id.to_numpy(), z[right].T, []
+            for k in range(0, max(1, len(left)), STRIPE_ROWS):
+                score = z[left[k : k + STRIPE_ROWS]] @ other / z.shape[1]
+                a, b = np.nonzero(score >= threshold)
+                met.append((ids[left[a + k]], ids[right[b]], score[a, b]))
+            first, second, score = (np.concatenate(x) for x in zip(*met, strict=True))
+            found = pd.DataFrame({"first": first, "second": second, "score": score})
             inside = pdf.i.iloc[0] == pdf.j.iloc[0]
             swap = found["first"] > found["second"]
             if not inside:

@@ -1,10 +1,13 @@
 """Steps whose figures grew faster than their input, and ties that the SQL leaves to the order of the rows."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from annolith import catalogue
 from annolith.functions import geometry as G
+from annolith.operators import dedup as D
 from annolith.streaming import manifest
 
 
@@ -39,3 +42,16 @@ def test_keypoint_cells_are_no_formatted_strings(spark):
     assert row.b == "0 0.250000 0.205000 0.300000 0.010000"
     rows = spark.range(1).select(G.keypoint_line(G.box(F.col("id"), F.col("id"), F.col("id"), F.col("id")), F.array(*(F.col("id").cast("double") for _ in range(8))), F.lit(100.0), F.lit(100.0)))
     assert "format_string" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_and_stripes_give_all_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(D, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(D, "STRIPE_ROWS", 3)
+    vectors = np.random.default_rng(4).standard_normal((90, 6)).astype("f4" if kind == "float" else "f8")
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], f"id int, v array<{kind}>")
+    pairs = D.correlated_pairs(df, "id", "v", 0.6)
+    exact = np.corrcoef(vectors.astype(float))
+    assert {(r["first"], r["second"]) for r in pairs.collect()} == {(a, b) for a in range(90) for b in range(a + 1, 90) if exact[a, b] >= 0.6}
+    # vectors are shuffled as they come
+    assert kind == "double" or "as array<double>" not in pairs._jdf.queryExecution().optimizedPlan().toString()
