@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annolith import catalogue
 from annolith.functions import geometry as G
 from annolith.operators import dedup as D
+from annolith.sources import tables as TB
 from annolith.streaming import manifest
 
 
@@ -55,3 +56,18 @@ def test_blocks_and_stripes_give_all_pairs(spark, monkeypatch, kind):
     assert {(r["first"], r["second"]) for r in pairs.collect()} == {(a, b) for a in range(90) for b in range(a + 1, 90) if exact[a, b] >= 0.6}
     # vectors are shuffled as they come
     assert kind == "double" or "as array<double>" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_meta_file_is_read_in_blocks(spark, tmp_path):
+    rows = [f"images/{k}.jpg;A{k}" for k in range(4000)]
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_bytes(("\ufeffimage;plate_num\r\n" + "\r\n".join([*rows[:10], " ; ", *rows[10:]])).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = TB.read_meta(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 10
+        found = sorted((r.line, r.image, r.plate_num, r.cell_count) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted((k + 2 + (k >= 10), f"images/{k}.jpg", f"A{k}", 2) for k in range(4000) for _ in "ab")
