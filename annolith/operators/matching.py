@@ -1,12 +1,18 @@
-"""Greedy box matching and suppression: a fold over each image's own boxes, inside one row, with explicit tie rules."""
+"""Greedy box matching and suppression: a fold over each image's own boxes, which are in one row, with explicit tie rules; batches of images fold at once (fold.py)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import iou
 from ..functions.text import once
+from . import fold
 
 MATCHES = "array<struct<t:int,p:int,score:double>>"
 #: Pairs of one image above which its boxes meet by grid cells.
@@ -108,21 +114,26 @@ def greedy_matches(candidates: Column, threshold: float | Column) -> Column:
     return once(F.aggregate(candidates, start, step, lambda acc: acc["chosen"]), chosen)
 
 
+def _folded(images: DataFrame, columns: tuple[str, ...], name: str, kind: T.DataType, run: Callable[..., pa.Array]) -> DataFrame:
+    """images with a column of what run(boxes of the columns) gives for a chunk of them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in fold.chunks(batches, *columns):
+            values = run(batch.num_rows, *(fold.Boxes(batch.column(c)) for c in columns))
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+
+    return images.mapInArrow(each, T.StructType([*images.schema.fields, T.StructField(name, kind)]))
+
+
 def suppressed_crowds(images: DataFrame, image: str, boxes: str, threshold: float) -> DataFrame:
-    """images with `kept`: what suppressed() keeps, for images of any number of boxes.
+    """images with `kept`: what suppressed() keeps, for images of any number of boxes."""
+    crowd = CROWD
 
-    A box meets only those of higher score that it overlaps by more than the threshold, by grid cells; a fold in score order then asks whether one of these was kept, which is a bit.
-    """
-    numbered = images.withColumn("__ranked", F.transform(by_score(F.col(boxes)), lambda b, i: F.struct(i.alias("rank"), b["ordinal"].alias("ordinal"), b["score"].alias("score"), b["box"].alias("box"))))
-    close = close_pairs(numbered.select(image, "__ranked", F.col("__ranked").alias("__other")), image, "__ranked", "__other", threshold)
-    before = close.filter((F.col("l.rank") < F.col("r.rank")) & (F.col("overlap") > threshold)).groupBy(image, F.col("r.rank").alias("rank")).agg(F.collect_list("l.rank").alias("over"))
-    listed = before.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("rank", "over"))).alias("__over"))
-    # a box that overlaps none before it is kept; the others are decided in order
-    joined = numbered.join(listed, image, "left").withColumn("__over", F.coalesce("__over", F.array().cast("array<struct<rank:int,over:array<int>>>")))
-    step = lambda gone, s: F.when(F.exists(s["over"], lambda k: ~_bit(gone, k)), _with_bit(gone, s["rank"])).otherwise(gone)
-    gone = F.aggregate("__over", _no_bits(F.size("__ranked")), step)
-    kept = once(gone, lambda g: F.filter("__ranked", lambda b: ~_bit(g, b["rank"])))
-    return joined.withColumn("kept", kept).drop("__ranked", "__over")
+    def run(rows: int, own: fold.Boxes) -> pa.Array:
+        at = fold.kept(own, own.ranked(), threshold, crowd)
+        return fold.lists(own.items.take(pa.array(at)), own.image[at], rows)
+
+    return _folded(images, (boxes,), "kept", images.schema[boxes].dataType, run)
 
 
 def suppressed(boxes: Column, threshold: float) -> Column:
@@ -147,31 +158,99 @@ def postprocess(boxes: Column, size: float, scale_x: Column, scale_y: Column, sc
     ))
 
 
+def postprocessed(images: DataFrame, image: str, boxes: str, size: float, scale_x: Column, scale_y: Column, score: float, overlap: float, top: int, most: int) -> DataFrame:
+    """images with `kept`: what postprocess() gives."""
+    crowd = CROWD
+
+    def run(rows: int, own: fold.Boxes) -> pa.Array:
+        own.clip(size)
+        scores = own.items.field("score")
+        likely = np.asarray(scores.cast(pa.float64()).fill_null(-np.inf))
+        order = own.ranked()
+        order = order[(likely[order] > score) | np.isnan(likely[order])]
+        place = lambda at: np.arange(len(at)) - np.searchsorted(own.image[at], own.image[at], "left")
+        at = fold.kept(own, order[place(order) < top], overlap, crowd)
+        at = at[place(at) < most]
+        box = pa.StructArray.from_arrays([pa.array(v[at]) for v in (own.x, own.y, own.w, own.h)], list("xywh"))
+        chosen = pa.array(at)
+        return fold.lists(pa.StructArray.from_arrays([own.items.field("ordinal").take(chosen), scores.take(chosen), box], ["ordinal", "score", "box"]), own.image[at], rows)
+
+    kept = _folded(images, (boxes,), "kept", T.ArrayType(T._parse_datatype_string("ordinal int, score double, box struct<x:double,y:double,w:double,h:double>")), run)
+    scaled = lambda b: F.struct((b["x"] * scale_x).alias("x"), (b["y"] * scale_y).alias("y"), (b["w"] * scale_x).alias("w"), (b["h"] * scale_y).alias("h"))
+    return kept.withColumn("kept", F.transform("kept", lambda b: F.struct(b["ordinal"].alias("ordinal"), b["score"].alias("score"), scaled(b["box"]).alias("box"))))
+
+
 def grouped_boxes(df: DataFrame, image: str, ordinal: Column, box: Column, score: Column | None = None, name: str = "boxes", more: tuple[str, ...] = ()) -> DataFrame:
     """One row per image: its boxes in order of their ordinals, with the columns `more`. An image's boxes fit one row."""
     fields = [ordinal.cast("int").alias("ordinal"), box.alias("box")]
     if score is not None:
         fields.insert(1, score.cast("double").alias("score"))
-    return df.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(*fields, *more))).alias(name))
+    return df.groupBy(image).agg(F.sort_array(F.collect_list(F.struct(*fields, *more))).alias(name))
+
+
+def grouped_pairs(df: DataFrame, image: str, ordinal: Column, truth: Column, predicted: Column, score: Column, more: tuple[str, ...] = (), read: dict[str, str] | None = None) -> DataFrame:
+    """images (image, truth, predictions) of rows that hold a true and a predicted box each, grouped once; `more` of the truths, `read` of the predictions by name."""
+    own = F.struct(ordinal.cast("int").alias("ordinal"), truth.alias("box"), *more)
+    found = F.struct(ordinal.cast("int").alias("ordinal"), score.cast("double").alias("score"), predicted.alias("box"), *(F.col(c).alias(k) for k, c in (read or {}).items()))
+    return df.groupBy(image).agg(F.sort_array(F.collect_list(own)).alias("truth"), F.sort_array(F.collect_list(found)).alias("predictions"))
 
 
-def paired(truth: DataFrame, predictions: DataFrame, image: str) -> DataFrame:
-    """Truth images with their predictions by score; predictions of unknown images are ignored. truth (image, truth), predictions (image, predictions)."""
+def paired(truth: DataFrame, predictions: DataFrame | None, image: str) -> DataFrame:
+    """Truth images with their predictions; predictions of unknown images are ignored. truth (image, truth), predictions (image, predictions), or none if truth has both."""
+    if predictions is None:
+        return truth
     empty = F.array().cast(predictions.schema["predictions"].dataType)
-    return truth.join(predictions.withColumn("predictions", by_score(F.col("predictions"))), image, "left").withColumn("predictions", F.coalesce("predictions", empty))
+    return truth.join(predictions, image, "left").withColumn("predictions", F.coalesce("predictions", empty))
+
+
+def matched_images(truth: DataFrame, predictions: DataFrame | None, image: str, threshold: float) -> DataFrame:
+    """Truth images with their predictions and matches at one threshold: each prediction in score order takes the free truth of highest IoU at or above it, the later one on ties."""
+    crowd = CROWD
 
+    def run(rows: int, own: fold.Boxes, found: fold.Boxes) -> pa.Array:
+        t, p, overlap = fold.candidates(own, found, threshold, crowd)
+        at = fold.matched(own, found, t, p, overlap, threshold)
+        t, p = t[at], p[at]
+        ordinal = lambda boxes, k: boxes.items.field("ordinal").take(pa.array(k)).cast(pa.int32())
+        matches = pa.StructArray.from_arrays([ordinal(own, t), ordinal(found, p), found.items.field("score").take(pa.array(p)).cast(pa.float64())], ["t", "p", "score"])
+        return fold.lists(matches, found.image[p], rows)
 
-def matched_images(truth: DataFrame, predictions: DataFrame, image: str, threshold: float) -> DataFrame:
-    """Truth images with their predictions and matches at one threshold."""
-    found = with_candidates(paired(truth, predictions, image), image, threshold)
-    return found.withColumn("matches", greedy_matches(F.col("candidates"), threshold)).drop("candidates")
+    return _folded(paired(truth, predictions, image), ("truth", "predictions"), "matches", T._parse_datatype_string(MATCHES), run)
+
+
+def ladder_rows(images: DataFrame, image: str, ladder: tuple[float, ...]) -> DataFrame:
+    """(image, score, n, hits_0, hits_1, ..., truths): predictions of an image that share a score, and how many of them are matched at each threshold.
+
+    Overlapping pairs are found once, for the least threshold. `truths` is counted in rows of its own, a row a chunk, whose n is 0.
+    """
+    crowd = CROWD
+    names = [image, "score", "n", *(f"hits_{k}" for k in range(len(ladder))), "truths"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in fold.chunks(batches, "truth", "predictions"):
+            own, found = fold.Boxes(batch.column("truth")), fold.Boxes(batch.column("predictions"))
+            order, key = found.ranked(), found.rank()
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (found.image[order][1:] != found.image[order][:-1]) | (key[order][1:] != key[order][:-1])
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(fresh) - 1
+            lead = order[fresh]
+            t, p, overlap = fold.candidates(own, found, min(ladder), crowd)
+            hits = [np.bincount(group[p[fold.matched(own, found, t, p, overlap, th)]], minlength=len(lead)) for th in ladder]
+            counts = [np.append(c, 0) for c in (np.bincount(group, minlength=len(lead)), *hits)] + [np.append(np.zeros(len(lead), np.int64), len(own.x))]
+            picked = lambda values, at: values.take(pa.array([*at.tolist(), None], pa.int64()))
+            columns = [picked(batch.column(image), found.image[lead]), picked(found.items.field("score"), lead), *(pa.array(c.astype(np.int64)) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = [T.StructField(image, images.schema[image].dataType), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in names[2:])]
+    return images.mapInArrow(each, T.StructType(kinds))
 
 
 def scored_list(matched: DataFrame, *keys: str) -> DataFrame:
     """(keys, place, score, is_tp): the list that average precision ranks; by image, all matches first, then the unmatched by score."""
     hits = F.transform("matches", lambda m: F.struct(m["score"].alias("score"), F.lit(True).alias("is_tp")))
     own = F.transform("matches", lambda m: m["p"])
-    free = F.filter("predictions", lambda q: ~F.array_contains(own, q["ordinal"]))
+    free = F.filter(by_score(F.col("predictions")), lambda q: ~F.array_contains(own, q["ordinal"]))
     misses = F.transform(free, lambda q: F.struct(q["score"].alias("score"), F.lit(False).alias("is_tp")))
     # The outer form: from the inner one Spark infers a filter on the array and evaluates the fold once more.
     listed = matched.select(*keys, F.posexplode_outer(F.concat(hits, misses)).alias("place", "s")).filter("place is not null")

@@ -1,5 +1,7 @@
 """Steps whose figures grew faster than their input, and ties that the SQL leaves to the order of the rows."""
 
+import random
+
 import duckdb
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from annolith import catalogue
 from annolith.functions import geometry as G
 from annolith.operators import dedup as D
+from annolith.operators import matching as M
 from annolith.sources import tables as TB
 from annolith.streaming import manifest
 
@@ -71,3 +74,24 @@ def test_a_meta_file_is_read_in_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == sorted((k + 2 + (k >= 10), f"images/{k}.jpg", f"A{k}", 2) for k in range(4000) for _ in "ab")
+
+
+def crowds(spark, images, boxes):
+    """Images of boxes of every size, empty ones and ties among them; some have no truth or no prediction."""
+    draw = random.Random(8)
+    rows = [(i, k, draw.uniform(-50, 300), draw.uniform(-50, 300), draw.choice([0.0, 5.0, 30.0, 30.0, 200.0]), draw.choice([5.0, 20.0, 20.0, 300.0]), draw.randrange(5) / 5) for i in range(images) for k in range(draw.randrange(boxes))]
+    df = spark.createDataFrame(rows, "image int, o int, x double, y double, w double, h double, s double")
+    truth = M.grouped_boxes(df.filter("image % 5 > 0"), "image", F.col("o"), F.struct("x", "y", "w", "h"), name="truth")
+    moved = F.struct((F.col("x") + F.col("o") % 3).alias("x"), "y", "w", "h")
+    return truth, M.grouped_boxes(df.filter("image % 7 > 0"), "image", F.col("o"), moved, F.col("s"), "predictions")
+
+
+@pytest.mark.parametrize("crowd", [1, 1 << 14])
+def test_crowds_are_suppressed_in_one_pass(spark, monkeypatch, crowd):
+    monkeypatch.setattr(M, "CROWD", crowd)
+    _, boxes = crowds(spark, 60, 40)
+    kept = M.suppressed_crowds(boxes, "image", "predictions", 0.2)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    fold = boxes.select("image", M.suppressed(F.col("predictions"), 0.2).alias("k"))
+    assert {r.image: [b.ordinal for b in r.kept] for r in kept.collect()} == {r.image: [b.ordinal for b in r.k] for r in fold.collect()}
