@@ -247,8 +247,8 @@ UNION ALL SELECT o.image, o.rank, NOT list_has_any(coalesce(o.worse, []), w.held
 k AS (SELECT w.image, r.ordinal, r.cx * 2 AS x, r.ch * 0.5::double AS h, row_number() OVER (PARTITION BY w.image ORDER BY w.rank) AS i FROM w JOIN r ON r.image = w.image AND r.rank = w.rank WHERE w.kept) SELECT image, ordinal, x, h FROM k WHERE i <= 2""")
 def postprocessed_boxes(spark, sf):
     boxes = M.grouped_boxes(I.boxes(spark, sf), "image", F.col("ordinal"), _box(True), F.col("score"))
-    kept = boxes.withColumn("k", M.postprocess(F.col("boxes"), 100.0, F.lit(2.0), F.lit(0.5), score=0.2, overlap=0.3, top=4, most=2))
-    return kept.select("image", F.explode("k").alias("k")).select("image", "k.ordinal", F.col("k.box.x").alias("x"), F.col("k.box.h").alias("h"))
+    kept = M.postprocessed(boxes, "image", "boxes", 100.0, F.lit(2.0), F.lit(0.5), score=0.2, overlap=0.3, top=4, most=2)
+    return kept.select("image", F.explode("kept").alias("k")).select("image", "k.ordinal", F.col("k.box.x").alias("x"), F.col("k.box.h").alias("h"))
 
 
 @query("SELECT doc_id, (substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS seed FROM (SELECT doc_id, upper(sha256('7:sample:' || doc_id)) AS h FROM documents)")

@@ -95,3 +95,13 @@ def test_crowds_are_suppressed_in_one_pass(spark, monkeypatch, crowd):
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
     fold = boxes.select("image", M.suppressed(F.col("predictions"), 0.2).alias("k"))
     assert {r.image: [b.ordinal for b in r.kept] for r in kept.collect()} == {r.image: [b.ordinal for b in r.k] for r in fold.collect()}
+
+
+@pytest.mark.parametrize("crowd", [1, 1 << 14])
+def test_postprocessed_as_the_fold(spark, monkeypatch, crowd):
+    monkeypatch.setattr(M, "CROWD", crowd)
+    _, boxes = crowds(spark, 60, 40)
+    how = (250.0, F.lit(2.0), F.lit(0.5), 0.1, 0.3, 12, 5)
+    got = M.postprocessed(boxes, "image", "predictions", *how)
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.image: r.kept for r in got.collect()} == {r.image: r.k for r in boxes.select("image", M.postprocess(F.col("predictions"), *how).alias("k")).collect()}
