@@ -139,37 +139,57 @@ def reading_report(readings: DataFrame, dimensions: dict[str, Column], tags: Col
     return out.withColumn("cer", F.try_divide("edits", "characters"))
 
 
-def detection_report(truth: DataFrame, predictions: DataFrame, image: str = "image", ladder: tuple[float, ...] = IOU_LADDER) -> DataFrame:
-    """(threshold, ap, n_truth) over a ladder of IoU thresholds; truth (image, truth), predictions (image, predictions).
+def detection_report(truth: DataFrame, predictions: DataFrame | None, image: str = "image", ladder: tuple[float, ...] = IOU_LADDER) -> DataFrame:
+    """(threshold, ap, n_truth) over a ladder of IoU thresholds; truth (image, truth), predictions (image, predictions), or none if truth has both.
 
-    Overlapping pairs are found once, for the least threshold; every threshold then folds over an image's short list of them.
+    The list that average precision ranks is by score, then image, an image's matches first. It is ranked once, with a column of hits a
+    threshold: of an image's predictions of one score, precision is highest at the last match, and all its matches have the envelope there.
     """
-    found = M.with_candidates(M.paired(truth, predictions, image), image, min(ladder))
-    found = found.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in ladder))))
-    matched = found.withColumn("matches", M.greedy_matches(F.col("candidates"), F.col("threshold")))
-    scored = M.scored_list(matched, "threshold", image).withColumnRenamed(image, "image")
-    total = truth.agg(F.sum(F.size("truth")).alias("n")).scalar()
-    ap = average_precision(scored, F.max(total), ["threshold"], "score", "is_tp", ["image", "place"], costly=True)
-    return ap.withColumn("n_truth", total)
-
-
-def operating_point(truth: DataFrame, predictions: DataFrame, confidence: float, threshold: float = 0.5, image: str = "image") -> DataFrame:
+    steps = range(len(ladder))
+    cut = ranges(M.ladder_rows(M.paired(truth, predictions, image), image, ladder), [F.col("score").desc(), F.col(image)], "ranked", costly=True)
+    counted = ["n", *(f"hits_{k}" for k in steps)]
+    rows = cut.filter("n > 0")
+    totals = rows.groupBy("__part").agg(*(F.sum(c).alias(f"__{c}") for c in counted))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    # a row for each range
+    carried = totals.select("__part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in counted))
+    upto = W.partitionBy("__part").orderBy(F.col("score").desc(), image).rowsBetween(W.unboundedPreceding, 0)
+    running = rows.withColumns({f"__up_{c}": F.sum(c).over(upto) for c in counted}).join(F.broadcast(carried), "__part")
+    hits = lambda k: F.col(f"hits_{k}")
+    precision = lambda k: (F.col(f"__hits_{k}") + F.col(f"__up_hits_{k}")) / (F.col("__n") + F.col("__up_n") - F.col("n") + hits(k))
+    running = running.select("__part", "score", image, *counted[1:], *(F.when(hits(k) > 0, precision(k)).otherwise(F.lit(0.0)).alias(f"__p_{k}") for k in steps))
+    later = W.orderBy(F.col("__part").desc()).rowsBetween(W.unboundedPreceding, -1)
+    peaks = running.groupBy("__part").agg(*(F.max(f"__p_{k}").alias(f"__peak_{k}") for k in steps))
+    peaks = peaks.select("__part", *(F.coalesce(F.max(f"__peak_{k}").over(later), F.lit(0.0)).alias(f"__later_{k}") for k in steps))
+    onward = W.partitionBy("__part").orderBy(F.col("score").asc(), F.col(image).desc()).rowsBetween(W.unboundedPreceding, 0)
+    best = running.withColumns({f"__on_{k}": F.max(f"__p_{k}").over(onward) for k in steps}).join(F.broadcast(peaks), "__part")
+    areas = best.agg(F.count(F.lit(1)).alias("__rows"), *(F.sum(hits(k) * F.greatest(f"__on_{k}", f"__later_{k}")).alias(f"__area_{k}") for k in steps)).filter("__rows > 0")
+    total = cut.agg(F.sum("truths").alias("n")).scalar()
+    each = F.explode(F.array(*(F.struct(F.lit(th).alias("threshold"), F.col(f"__area_{k}").alias("area")) for k, th in enumerate(ladder))))
+    ap = F.when(F.col("n_truth") > 0, F.col("e.area") / F.col("n_truth")).otherwise(F.lit(0.0))
+    return areas.select(each.alias("e")).withColumn("n_truth", total).select("e.threshold", ap.alias("ap"), "n_truth")
+
+
+def _matched_above(truth: DataFrame, predictions: DataFrame | None, image: str, confidence: float, threshold: float) -> DataFrame:
+    images = M.paired(truth, predictions, image)
+    return M.matched_images(images.withColumn("predictions", F.filter("predictions", lambda p: p["score"] >= confidence)), None, image, threshold)
+
+
+def operating_point(truth: DataFrame, predictions: DataFrame | None, confidence: float, threshold: float = 0.5, image: str = "image") -> DataFrame:
     """One row of TP, FP, FN and rates at an operating confidence, and the images with a false positive."""
-    kept = predictions.withColumn("predictions", F.filter("predictions", lambda p: p["score"] >= confidence))
-    m = M.matched_images(truth, kept, image, threshold)
+    m = _matched_above(truth, predictions, image, confidence, threshold)
     tp, fp, fn = F.size("matches"), F.size("predictions") - F.size("matches"), F.size("truth") - F.size("matches")
     sums = m.agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"), F.sum((fp > 0).cast("long")).alias("images_with_fp"))
     return sums.withColumn("r", rates(F.col("tp"), F.col("fp"), F.col("fn"))).select("tp", "fp", "fn", "images_with_fp", "r.precision", "r.recall", "r.f1")
 
 
-def end_to_end(truth: DataFrame, predictions: DataFrame, confidence: float = 0.0, threshold: float = 0.5, image: str = "image") -> DataFrame:
+def end_to_end(truth: DataFrame, predictions: DataFrame | None, confidence: float = 0.0, threshold: float = 0.5, image: str = "image") -> DataFrame:
     """(outcome, n) of every truth and every false detection: a plate that no detection meets is a failure, not an absence.
 
     truth (image, truth array of ordinal, box, plate_num, plate_type), predictions (image, predictions array of ordinal, score, box,
     plate_num, plate_type); detections below the confidence count for nothing.
     """
-    kept = predictions.withColumn("predictions", F.filter("predictions", lambda p: p["score"] >= confidence))
-    m = M.matched_images(truth, kept, image, threshold)
+    m = _matched_above(truth, predictions, image, confidence, threshold)
     at = lambda rows, ordinal: F.get(F.filter(rows, lambda r: r["ordinal"] == ordinal), F.lit(0))
 
     def outcome(pair: Column) -> Column:

@@ -11,6 +11,7 @@ from annolith import catalogue
 from annolith.functions import geometry as G
 from annolith.operators import dedup as D
 from annolith.operators import matching as M
+from annolith.operators import metrics as T
 from annolith.sources import tables as TB
 from annolith.streaming import manifest
 
@@ -105,3 +106,18 @@ def test_postprocessed_as_the_fold(spark, monkeypatch, crowd):
     got = M.postprocessed(boxes, "image", "predictions", *how)
     assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r.image: r.kept for r in got.collect()} == {r.image: r.k for r in boxes.select("image", M.postprocess(F.col("predictions"), *how).alias("k")).collect()}
+
+
+@pytest.mark.parametrize("crowd", [1, 1 << 14])
+def test_a_ladder_is_ranked_once(spark, monkeypatch, crowd):
+    monkeypatch.setattr(M, "CROWD", crowd)
+    truth, predictions = crowds(spark, 40, 12)
+    ladder = (0.3, 0.6, 0.9)
+    got = {r.threshold: (round(r.ap, 12), r.n_truth) for r in T.detection_report(truth, predictions, ladder=ladder).collect()}
+    n = truth.agg(F.sum(F.size("truth"))).first()[0]
+    for th in ladder:
+        listed = M.scored_list(M.matched_images(truth, predictions, "image", th), "image").withColumn("all", F.lit(1))
+        ap = T.average_precision(listed, F.max(F.lit(n)), ["all"], "score", "is_tp", ["image", "place"]).first().ap
+        assert got.pop(th) == (round(ap, 12), n) and ap > 0
+    assert not got
+    assert T.detection_report(truth, predictions.limit(0), ladder=ladder).count() == 0
