@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import iou
-from ..functions.text import once
 from . import fold
 
 MATCHES = "array<struct<t:int,p:int,score:double>>"
 #: Pairs of one image above which its boxes meet by grid cells.
 CROWD = 1 << 14
-CANDIDATES = "array<struct<rank:struct<k:double,p:int,k2:double,o:int>,overlap:double>>"
 
 
 def by_score(predictions: Column) -> Column:
@@ -68,52 +66,6 @@ def close_pairs(images: DataFrame, image: str, left: str, right: str, least: flo
     return pairs.filter(F.col("overlap") >= least)
 
 
-def with_candidates(images: DataFrame, image: str, least: float) -> DataFrame:
-    """images (image, truth, predictions) with `candidates`: pairs whose IoU reaches `least`, in the order in which a greedy match tries them.
-
-    Predictions come by falling score, ties in input order; for each the truths by falling IoU, the later one on ties.
-    """
-    close = close_pairs(images, image, "truth", "predictions", least)
-    rank = F.struct((-F.col("r.score")).alias("k"), F.col("r.ordinal").cast("int").alias("p"), (-F.col("overlap")).alias("k2"), (-F.col("l.ordinal")).cast("int").alias("o"))
-    listed = close.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("overlap").alias("overlap")))).alias("candidates"))
-    return images.join(listed, image, "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(CANDIDATES)))
-
-
-def _bit(words: Column, k: Column) -> Column:
-    """Whether bit k of an array of 64-bit words is set."""
-    return F.call_function("shiftright", F.get(words, F.shiftright(k, 6)), k.bitwiseAND(63)).bitwiseAND(1) == 1
-
-
-def _with_bit(words: Column, k: Column) -> Column:
-    one, at = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63)), F.shiftright(k, 6)
-    return F.concat(F.slice(words, F.lit(1), at), F.array(F.get(words, at).bitwiseOR(one)), F.slice(words, at + 2, F.size(words) - at - 1))
-
-
-def _no_bits(most: Column) -> Column:
-    """Words for the bits 0 to most."""
-    return F.array_repeat(F.lit(0).cast("long"), F.shiftright(F.greatest(F.coalesce(most, F.lit(0)), F.lit(0)), 6) + 1)
-
-
-def greedy_matches(candidates: Column, threshold: float | Column) -> Column:
-    """array<struct(t, p, score)> of ordinals: each prediction in score order takes the free truth of highest IoU at or above the threshold, the later one on ties.
-
-    A prediction's candidates are neighbours, so the last match tells whether it is taken; the truths taken and the candidates
-    chosen are bits. A step costs the same however many matches there are.
-    """
-    least = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    truth = lambda c: (-c["rank"]["o"]).cast("int")
-    start = F.struct(_no_bits(F.size(candidates)).alias("chosen"), _no_bits(F.array_max(F.transform(candidates, truth))).alias("taken"), F.lit(-1).alias("p"), F.lit(0).alias("k"))
-
-    def step(acc: Column, c: Column) -> Column:
-        free = (c["overlap"] >= least) & (acc["p"] != c["rank"]["p"]) & ~_bit(acc["taken"], truth(c))
-        taken = F.struct(_with_bit(acc["chosen"], acc["k"]).alias("chosen"), _with_bit(acc["taken"], truth(c)).alias("taken"), c["rank"]["p"].alias("p"), (acc["k"] + 1).alias("k"))
-        return F.when(free, taken).otherwise(F.struct(acc["chosen"].alias("chosen"), acc["taken"].alias("taken"), acc["p"].alias("p"), (acc["k"] + 1).alias("k")))
-
-    match = lambda c: F.struct(truth(c).alias("t"), c["rank"]["p"].alias("p"), (-c["rank"]["k"]).alias("score"))
-    chosen = lambda bits: F.transform(F.filter(candidates, lambda c, k: _bit(bits, k)), match)
-    return once(F.aggregate(candidates, start, step, lambda acc: acc["chosen"]), chosen)
-
-
 def _folded(images: DataFrame, columns: tuple[str, ...], name: str, kind: T.DataType, run: Callable[..., pa.Array]) -> DataFrame:
     """images with a column of what run(boxes of the columns) gives for a chunk of them."""
 
