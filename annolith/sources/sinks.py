@@ -83,17 +83,26 @@ def _concat(spark: SparkSession, fs, target, pieces: list) -> None:
     fs.concat(target, array)
 
 
+#: Rows that a task sorts for an ordered file.
+RANGE_ROWS = 100_000
+
+
 def write_ordered(df: DataFrame, path: str, order: list[str], drop: tuple[str, ...] = (), header: bool = False, delimiter: str = ";") -> int:
     """One delimited file in a new folder, sorted; returns the rows written.
 
-    Ranges of the order are sorted and written by as many tasks as there are ranges, and their files joined. The rows are counted by the job that writes them.
+    Ranges of the order, of about RANGE_ROWS rows each, are sorted and written by as many tasks as there are ranges, and their files joined.
+    The rows returned are counted by the job that writes them.
     """
     spark = df.sparkSession
     fs, place, _ = _files(spark, path)
     if fs.exists(place) and fs.listStatus(place):
         raise UnsafeOutput(f"{path} is not empty")
     counted = Observation()
-    rows = (df.orderBy(*order) if order else df).drop(*drop)
+    if order:
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+        # rows that tie are spread over ranges too, so that a key of very many rows is sorted by several tasks
+        df = df.withColumn("__spread", F.rand(5)).repartitionByRange(ranges, *order, "__spread").sortWithinPartitions(*order)
+    rows = df.drop(*drop, "__spread")
     parts = f"{path}/_parts"
     rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.csv(parts, sep=delimiter, header=False, **CSV)
     head = [(delimiter.join(rows.columns) + "\n").encode()] if header else []

@@ -12,6 +12,7 @@ from annolith.functions import geometry as G
 from annolith.operators import dedup as D
 from annolith.operators import matching as M
 from annolith.operators import metrics as T
+from annolith.sources import sinks
 from annolith.sources import tables as TB
 from annolith.streaming import manifest
 
@@ -77,6 +78,17 @@ def test_a_meta_file_is_read_in_blocks(spark, tmp_path):
     assert found == sorted((k + 2 + (k >= 10), f"images/{k}.jpg", f"A{k}", 2) for k in range(4000) for _ in "ab")
 
 
+def test_an_ordered_file_has_as_many_ranges_as_its_rows_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "RANGE_ROWS", 100)
+    lengths = []
+    joined = sinks.joined
+    monkeypatch.setattr(sinks, "joined", lambda s, parts, target: (lengths.extend(len(p.read_text().split()) for p in (tmp_path / "out/_parts").glob("part-*")), joined(s, parts, target)))
+    # two thirds of all rows share a key
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("1").alias("image"))
+    assert sinks.write_ordered(df, f"{tmp_path}/out", ["image"]) == 3000 and len(lengths) >= 25 and max(lengths) < 400
+    assert (tmp_path / "out/part-00000.csv").read_text().split() == sorted(r.image for r in df.collect())
+
+
 def crowds(spark, images, boxes):
     """Images of boxes of every size, empty ones and ties among them; some have no truth or no prediction."""
     draw = random.Random(8)
