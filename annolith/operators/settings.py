@@ -80,22 +80,30 @@ def _fault() -> Column:
     return parts, F.when(kind == "pair", of_pair).when(kind == "choice", of_choice).otherwise(of_number)
 
 
+#: Settings that meet in one task.
+TASK_ROWS = 250_000
+
+
 def setting_findings(settings: DataFrame, rules: DataFrame) -> DataFrame:
     """(config, name, finding) of settings (config, name, value): unknown, missing and repeated names, values of another kind or out of bounds, families of weights without any.
 
     The rules, some hundred rows of a parameter, are broadcast; a configuration's names meet in one row, which holds each once.
+    Configurations are dealt to as many tasks as their settings need.
     """
+    tasks = max(int(settings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-settings.count() // TASK_ROWS))
     known = settings.join(F.broadcast(rules), "name", "left")
     parts, fault = _fault()
     judged = known.withColumn("__pair", parts).withColumn("finding", F.when(F.col("kind").isNull(), "is unknown").when(F.col("value").isNull(), "has no value").otherwise(fault))
     of_values = judged.filter("finding IS NOT NULL").select("config", "name", "finding")
-    repeated = settings.groupBy("config", "name").count().filter("count > 1").select("config", "name", F.lit("is given more than once").alias("finding"))
+    repeated = settings.repartition(tasks, "config").groupBy("config", "name").count().filter("count > 1").select("config", "name", F.lit("is given more than once").alias("finding"))
     # the required names are one array of the rules' own size
     required = rules.filter("required").agg(F.collect_set("name").alias("names"))
-    held = settings.join(F.broadcast(rules.filter("required").select("name")), "name").groupBy("config").agg(F.collect_set("name").alias("held"))
-    every = settings.select("config").distinct().join(held, "config", "left").withColumn("__all", required.scalar())
-    missing = every.select("config", F.explode(F.array_except("__all", F.coalesce("held", F.array().cast("array<string>")))).alias("name"), F.lit("is missing").alias("finding"))
+    asked = rules.filter("required").select("name", F.lit(True).alias("asked"))
+    marked = settings.select("config", "name").join(F.broadcast(asked), "name", "left").select("config", F.when(F.col("asked"), F.col("name")).alias("name"))
+    every = marked.repartition(tasks, "config").groupBy("config").agg(F.collect_set("name").alias("held")).withColumn("__all", required.scalar())
+    missing = every.select("config", F.explode(F.array_except("__all", "held")).alias("name"), F.lit("is missing").alias("finding"))
     family = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)
-    sums = judged.filter("kind = 'weight'").groupBy("config", family.alias("name")).agg(F.sum(F.greatest(F.coalesce(_number(F.col("value")), F.lit(0.0)), F.lit(0.0))).alias("s"))
+    weights = judged.filter("kind = 'weight'").select("config", "name", "value").repartition(tasks, "config")
+    sums = weights.groupBy("config", family.alias("name")).agg(F.sum(F.greatest(F.coalesce(_number(F.col("value")), F.lit(0.0)), F.lit(0.0))).alias("s"))
     light = sums.filter("s <= 0").select("config", "name", F.lit("has no weight above 0").alias("finding"))
     return of_values.unionByName(repeated).unionByName(missing).unionByName(light)

@@ -12,6 +12,7 @@ from annolith.functions import geometry as G
 from annolith.operators import dedup as D
 from annolith.operators import matching as M
 from annolith.operators import metrics as T
+from annolith.operators import settings
 from annolith.sources import sinks
 from annolith.sources import tables as TB
 from annolith.streaming import manifest
@@ -89,6 +90,15 @@ def test_an_ordered_file_has_as_many_ranges_as_its_rows_need(spark, tmp_path, mo
     assert (tmp_path / "out/part-00000.csv").read_text().split() == sorted(r.image for r in df.collect())
 
 
+def test_settings_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    df = spark.range(900).select((F.col("id") % 100).alias("config"), F.concat(F.lit("n"), F.floor(F.col("id") / 100)).alias("name"), F.lit("1").alias("value"))
+    rules = settings.rule_table(spark, [settings.Rule("n1", "number"), settings.Rule("gone", "number")])
+    monkeypatch.setattr(settings, "TASK_ROWS", 30)
+    found = settings.setting_findings(df, rules)
+    assert "hashpartitioning(config" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 30), REPARTITION_BY_NUM" in plan
+    assert found.filter("finding = 'is missing'").count() == 100 and found.filter("finding = 'is unknown'").count() == 800 and found.count() == 900
+
+
 def crowds(spark, images, boxes):
     """Images of boxes of every size, empty ones and ties among them; some have no truth or no prediction."""
     draw = random.Random(8)
