@@ -66,15 +66,17 @@ def close_pairs(images: DataFrame, image: str, left: str, right: str, least: flo
     return pairs.filter(F.col("overlap") >= least)
 
 
-def _folded(images: DataFrame, columns: tuple[str, ...], name: str, kind: T.DataType, run: Callable[..., pa.Array]) -> DataFrame:
-    """images with a column of what run(boxes of the columns) gives for a chunk of them."""
+def _folded(images: DataFrame, columns: tuple[str, ...], name: str, kind: T.DataType, run: Callable[..., pa.Array], without: tuple[str, ...] = ()) -> DataFrame:
+    """images with a column of what run(boxes of the columns) gives for a chunk of them; the columns `without` do not travel back."""
+    back = [f for f in images.schema.fields if f.name not in without]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in fold.chunks(batches, *columns):
             values = run(batch.num_rows, *(fold.Boxes(batch.column(c)) for c in columns))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], [*names, name])
 
-    return images.mapInArrow(each, T.StructType([*images.schema.fields, T.StructField(name, kind)]))
+    names = [f.name for f in back]
+    return images.mapInArrow(each, T.StructType([*back, T.StructField(name, kind)]))
 
 
 def suppressed_crowds(images: DataFrame, image: str, boxes: str, threshold: float) -> DataFrame:
@@ -111,7 +113,7 @@ def postprocess(boxes: Column, size: float, scale_x: Column, scale_y: Column, sc
 
 
 def postprocessed(images: DataFrame, image: str, boxes: str, size: float, scale_x: Column, scale_y: Column, score: float, overlap: float, top: int, most: int) -> DataFrame:
-    """images with `kept`: what postprocess() gives."""
+    """images with `kept`, what postprocess() gives, in place of their boxes."""
     crowd = CROWD
 
     def run(rows: int, own: fold.Boxes) -> pa.Array:
@@ -127,7 +129,7 @@ def postprocessed(images: DataFrame, image: str, boxes: str, size: float, scale_
         chosen = pa.array(at)
         return fold.lists(pa.StructArray.from_arrays([own.items.field("ordinal").take(chosen), scores.take(chosen), box], ["ordinal", "score", "box"]), own.image[at], rows)
 
-    kept = _folded(images, (boxes,), "kept", T.ArrayType(T._parse_datatype_string("ordinal int, score double, box struct<x:double,y:double,w:double,h:double>")), run)
+    kept = _folded(images, (boxes,), "kept", T.ArrayType(T._parse_datatype_string("ordinal int, score double, box struct<x:double,y:double,w:double,h:double>")), run, (boxes,))
     scaled = lambda b: F.struct((b["x"] * scale_x).alias("x"), (b["y"] * scale_y).alias("y"), (b["w"] * scale_x).alias("w"), (b["h"] * scale_y).alias("h"))
     return kept.withColumn("kept", F.transform("kept", lambda b: F.struct(b["ordinal"].alias("ordinal"), b["score"].alias("score"), scaled(b["box"]).alias("box"))))
 
